@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from spanforge.llm.fertility import op1_fertility
 from spanforge.llm.language import op4_language
+from spanforge.llm.minhash import op7_minmax
 from spanforge.llm.packing import op8_packing
 
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op4_language": op4_language,
+    "op7_minmax": op7_minmax,
     "op8_packing": op8_packing,
 }
 
