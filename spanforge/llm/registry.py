@@ -7,12 +7,14 @@ from spanforge.llm.fertility import op1_fertility
 from spanforge.llm.language import op4_language
 from spanforge.llm.minhash import op7_minmax
 from spanforge.llm.packing import op8_packing
+from spanforge.llm.passages import op6_passages
 from spanforge.llm.sharding import op5_rendezvous
 
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op4_language": op4_language,
     "op5_rendezvous": op5_rendezvous,
+    "op6_passages": op6_passages,
     "op7_minmax": op7_minmax,
     "op8_packing": op8_packing,
     "op9_snapshots": op9_snapshots,
