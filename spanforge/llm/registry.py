@@ -9,6 +9,7 @@ from spanforge.llm.minhash import op7_minmax
 from spanforge.llm.packing import op8_packing
 from spanforge.llm.passages import op6_passages
 from spanforge.llm.sharding import op5_rendezvous
+from spanforge.llm.vectors import OP10_SQL, op10_hnsw
 
 QUERIES = {
     "op1_fertility": op1_fertility,
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_minmax": op7_minmax,
     "op8_packing": op8_packing,
     "op9_snapshots": op9_snapshots,
+    "op10_hnsw": op10_hnsw,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_snapshots": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_snapshots": OP9_SQL, "op10_hnsw": OP10_SQL}
