@@ -5,6 +5,7 @@ from __future__ import annotations
 from spanforge.llm.chat import OP9_SQL, op9_snapshots
 from spanforge.llm.fertility import op1_fertility
 from spanforge.llm.language import op4_language
+from spanforge.llm.lattice import op2_gumbel
 from spanforge.llm.minhash import op7_minmax
 from spanforge.llm.packing import op8_packing
 from spanforge.llm.passages import op6_passages
@@ -13,6 +14,7 @@ from spanforge.llm.vectors import OP10_SQL, op10_hnsw
 
 QUERIES = {
     "op1_fertility": op1_fertility,
+    "op2_gumbel": op2_gumbel,
     "op4_language": op4_language,
     "op5_rendezvous": op5_rendezvous,
     "op6_passages": op6_passages,
