@@ -10,11 +10,13 @@ from spanforge.llm.minhash import op7_minmax
 from spanforge.llm.packing import op8_packing
 from spanforge.llm.passages import op6_passages
 from spanforge.llm.sharding import op5_rendezvous
+from spanforge.llm.shards import op3_training_order
 from spanforge.llm.vectors import OP10_SQL, op10_hnsw
 
 QUERIES = {
     "op1_fertility": op1_fertility,
     "op2_gumbel": op2_gumbel,
+    "op3_training_order": op3_training_order,
     "op4_language": op4_language,
     "op5_rendezvous": op5_rendezvous,
     "op6_passages": op6_passages,
