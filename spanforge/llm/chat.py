@@ -72,8 +72,8 @@ def collapse(conversations: DataFrame, **columns) -> DataFrame:
     last = rows.filter("position = all_position")
     whole = last.groupBy("position", "s1", "s2").agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_copies"))
     longer = rows.filter("position < all_position").select("position", "s1", "s2").distinct()
-    kept = materialise(whole.join(longer, ["position", "s1", "s2"], "left_anti").select("conv", F.col("position").alias("n_key"), "n_copies"), "maximal")
-    return attach(rows, kept, "conv", rows.count()).select("conv_id", "position", "turn", "role", render(F.col("role"), F.col("text")).alias("rendered"), "start", F.col("n_key").alias("n_turns"), "n_copies")
+    kept = materialise(whole.join(longer, ["position", "s1", "s2"], "left_anti").select("conv", F.col("position").alias("n_turns"), "n_copies"), "maximal")
+    return attach(rows, kept, "conv").select("conv_id", "position", "turn", "role", render(F.col("role"), F.col("text")).alias("rendered"), "start", "n_turns", "n_copies")
 
 
 def op9_snapshots(spark, sf_dir: str) -> DataFrame:

@@ -7,32 +7,29 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.storage import discard, materialise
 
-#: At most so many keys are hot, whatever the input: a hot key holds over a HOT_KEYS-th of the rows.
-HOT_KEYS = 2000
 
+def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has one row per key.
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one row per key of ``facts``, whose column ``n_key`` counts the rows of the key.
-
-    Keys with over a HOT_KEYS-th of ``total`` rows are broadcast: there are at most
-    HOT_KEYS of them. The rest is shuffled, and none of those keys is large.
+    Both sides are shuffled for the join itself: the key goes in as a struct, so that
+    ``facts`` never counts as partitioned already. Adaptive execution can then split the
+    rows of a hot key over many tasks, as it does for no other shape of join.
     """
-    limit = max(64, total // HOT_KEYS)
-    hot = facts.filter(F.col("n_key") > limit)
-    cold = facts.filter(F.col("n_key") <= limit)
-    found = rows.join(F.broadcast(hot), key)
-    left = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return found.unionByName(left.join(cold, key))
+    own = [c for c in rows.columns if c != key]
+    left = rows.select(F.struct(key).alias("hot_safe_key"), *own)
+    right = facts.select(F.struct(key).alias("hot_safe_key"), *[c for c in facts.columns if c != key])
+    joined = left.join(right, "hot_safe_key")
+    return joined.select(F.col(f"hot_safe_key.{key}").alias(key), *[c for c in joined.columns if c != "hot_safe_key"])
 
 
-def _star(edges: DataFrame, total: int, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a > b)."""
     if large:
         rows = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         rows = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n_key"))
-    joined = attach(rows, least, "u", total * (2 if large else 1))
+    least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    joined = attach(rows, least, "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -51,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges, "edges")
     state = _state(now)
     while True:
-        after = materialise(_star(_star(now, state[0], True), state[0], False), "stars")
+        after = materialise(_star(_star(now, True), False), "stars")
         found = _state(after)
         discard(now)
         now, same, state = after, found == state, found

@@ -235,33 +235,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id, kept for every row."""
     own = with_clear_names(docs, {"doc_id": id_col, "text": text_col})
     signed = materialise(own.mapInArrow(_sign(width), SIGNED), "signed")
-    n_rows = signed.count()
     some = signed.filter("n_shingles > 0")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_key"), F.max("n_shingles").alias("n_shingles"))
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("n_shingles").alias("n_shingles"))
 
     keyed = some.select(F.explode("keys").alias("key"), "node")
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("n_key")).filter("x != y").select("key", "n_key")
-    members = materialise(attach(keyed, buckets, "key", 32 * n_rows).select("key", "node").distinct(), "members")
-    n_members = members.count()
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).withColumn("blocks", F.ceil(F.col("n_key") / block).cast("int"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key")
+    members = materialise(attach(keyed, buckets, "key").select("key", "node").distinct(), "members")
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     sketches = some.select("node", "sketch").dropDuplicates(["node"])
-    sketched = attach(members, sizes, "key", n_members).join(sketches, "node")
+    sketched = attach(members, sizes, "key").join(sketches, "node")
     maybe = block_pairs(sketched, "key", "blocks", "sketch").mapInArrow(_link_sketches(least_estimate), "a binary, b binary")
     bounds = materialise(components(maybe), "bounds")
 
     known = classes.join(bounds, "node").select("node", "least_id", "n_shingles", F.col("root").alias("grp"))
-    groups_ = known.groupBy("grp").agg(F.count(F.lit(1)).alias("n_key"), F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    candidates = materialise(attach(known, groups_, "grp", n_rows).select(F.col("least_id").alias("cand_id"), "node", "grp", "blocks"), "candidates")
+    groups_ = known.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    candidates = materialise(attach(known, groups_, "grp").select(F.col("least_id").alias("cand_id"), "node", "grp", "blocks"), "candidates")
     few = candidates.count() <= BROADCAST_ROWS
     texts = own.join(F.broadcast(candidates) if few else candidates, F.col("doc_id").eqNullSafe(F.col("cand_id"))).select("text", "node", "grp", "blocks")
     sets = texts.mapInArrow(_sets(width), "node binary, grp binary, blocks int, shingles binary").dropDuplicates(["node"])
     links = block_pairs(sets, "grp", "blocks", "shingles").mapInArrow(_confirm(percent), "a binary, b binary")
     linked = materialise(components(links), "linked")
 
-    least = linked.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_key"))
-    of_node = attach(linked, least, "root", n_rows).select("node", "component_id")
-    labels = classes.join(of_node, "node", "left").select("node", "n_key", F.coalesce("component_id", "least_id").alias("component_id"))
-    full = attach(some.select("doc_id", "n_shingles", "node"), labels, "node", n_rows).select("doc_id", "n_shingles", "component_id")
+    least = linked.join(classes, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    of_node = attach(linked, least, "root").select("node", "component_id")
+    labels = classes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id"))
+    full = attach(some.select("doc_id", "n_shingles", "node"), labels, "node").select("doc_id", "n_shingles", "component_id")
     empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -147,10 +147,9 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1))
     texts = keyed.select(F.col(key).alias("rk"), rank.alias("rank"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
     listed = materialise(texts.mapInArrow(_listed, UNITS), "units")
-    n = listed.count()
-    several = listed.groupBy("d1", "d2").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.count(F.lit(1)).alias("n_key")).filter("least != most")
+    several = listed.groupBy("d1", "d2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least != most")
     digest = F.struct("d1", "d2").alias("digest")
-    found = attach(listed.select(digest, "rk", "rank", "unit"), several.select(digest, "least", "n_key"), "digest", n).filter("rank > least")
+    found = attach(listed.select(digest, "rk", "rank", "unit"), several.select(digest, "least"), "digest").filter("rank > least")
     flagged = materialise(found.groupBy("rk").agg(F.collect_set("unit").alias("repeats")).select(F.col("rk").alias(key), F.col("repeats").alias(removed)), "repeats")
     joined = keyed.join(flagged, key, "left").select(*[f"`{c}`" for c in docs.columns], f"`{removed}`")
     shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{removed}` {REMOVED}"])

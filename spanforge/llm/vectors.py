@@ -129,10 +129,10 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     own = with_clear_names(rows, {"vec_id": id_col, "vector": vector_col}).select("vec_id", F.col("vector").cast("array<double>"))
     checked = materialise(own.mapInArrow(_checked, "vec_id long, node binary, dim int, raw binary"), "vectors")
     good = checked.filter("node is not null")
-    labels = good.groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("n_key"))
+    labels = good.groupBy("node").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     vectors = good.select("node", "dim", "raw").dropDuplicates(["node"])
-    classes = materialise(vectors.join(labels.select("node", F.col("n_key").alias("n")), "node"), "classes")
-    n, n_rows = classes.count(), checked.count()
+    classes = materialise(vectors.join(labels.select("node", F.col("copies").alias("n")), "node"), "classes")
+    n = classes.count()
     shards, chunks = max(least_shards, -(-n // shard_rows)), max(1, -(-n // chunk_rows))
 
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
@@ -144,11 +144,11 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
 
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     linked = components(found.filter("b is not null").select("a", "b"))
-    of_class = labels.join(linked, "node", "left").select("node", "least_id", "n_key", F.coalesce("root", "node").alias("root"))
-    roots = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_key"))
-    named = attach(of_class.withColumnRenamed("n_key", "copies"), roots, "root", n).drop("n_key")
-    facts = named.join(counts, "node", "left").select("node", F.col("copies").alias("n_key"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = attach(good.select("vec_id", "node"), facts, "node", n_rows).select("vec_id", "n_links", "component_id")
+    of_class = labels.join(linked, "node", "left").select("node", "least_id", "copies", F.coalesce("root", "node").alias("root"))
+    roots = of_class.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = attach(of_class, roots, "root")
+    facts = named.join(counts, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    full = attach(good.select("vec_id", "node"), facts, "node").select("vec_id", "n_links", "component_id")
     alone = checked.filter("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return full.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
