@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.graph import attach, components
-from spanforge.llm.storage import materialise, with_clear_names
+from spanforge.llm.storage import fresh, materialise, with_clear_names
 from spanforge.llm.words import mixed, shingle_set
 
 PERMUTATIONS = 64
@@ -231,6 +231,22 @@ def block_pairs(rows: DataFrame, key: str, blocks: str, payload: str) -> DataFra
     return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "node", "side")
 
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of the least doc_id of each component, and rows of components without an id, with all their columns.
+
+    Rows that share both doc_id and text are one document and give one row; rows that
+    share a doc_id but not the text are told apart by the text.
+    """
+    key, times = fresh("row_key", docs.columns), fresh("row_times", docs.columns)
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **parameters).filter("kept or component_id is null")
+    ids = materialise(found.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias(times)), "kept")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key))
+    once = docs.join(ids.filter(F.col(times) == 1), same, "left_semi")
+    if ids.filter(F.col(times) > 1).isEmpty():
+        return once
+    return once.unionByName(docs.join(ids.filter(F.col(times) > 1), same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 256, least_estimate: float = 0.6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     own = with_clear_names(docs, {"doc_id": id_col, "text": text_col})

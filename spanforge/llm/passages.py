@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.graph import attach
-from spanforge.llm.storage import materialise
+from spanforge.llm.storage import fresh, materialise
 
 _END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)|\n")
 _WORD = re.compile(r"\S+")
@@ -132,14 +132,6 @@ def _cleaned(position: int, least_run: int):
     return run
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """``name``, lengthened until no column has it."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name += "_"
-    return name
-
-
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, removed_col: str = "removed") -> DataFrame:
     """All rows and columns of ``docs``, the text without its repeats, and the removed spans in ``removed_col``."""
     key, removed = fresh("row_key", docs.columns), fresh(removed_col, docs.columns)

@@ -43,3 +43,11 @@ def with_clear_names(df: DataFrame, needed: dict[str, str]) -> DataFrame:
     from pyspark.sql import functions as F
 
     return df.select(*[F.col(f"`{column}`").alias(own) for own, column in needed.items()])
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
