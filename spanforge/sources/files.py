@@ -150,7 +150,7 @@ def depth_preview(pixels: DataFrame, keys: list[str]) -> DataFrame:
     d = F.when((F.col("depth") > 0) & ~F.isnan("depth"), F.col("depth").cast("double"))
     ends = pixels.groupBy(*keys).agg(F.percentile(d, F.array(F.lit(0.02), F.lit(0.98))).alias("e"))
     span = F.col("e")[1] - F.col("e")[0]
-    level = F.when(span > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d - F.col("e")[0]) / span))).otherwise(0.0)
+    level = F.when(d.isNotNull() & (span > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d - F.col("e")[0]) / span))).otherwise(0.0)
     return pixels.join(ends, keys).withColumn("level", F.coalesce((level * 255).cast("int"), F.lit(0))).drop("e")
 
 
