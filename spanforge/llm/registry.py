@@ -6,7 +6,7 @@ from spanforge.llm.chat import OP9_SQL, op9_snapshots
 from spanforge.llm.fertility import op1_fertility
 from spanforge.llm.language import op4_language
 from spanforge.llm.lattice import op2_gumbel
-from spanforge.llm.minhash import op7_minmax
+from spanforge.llm.minhash import OP7_SQL, op7_minmax
 from spanforge.llm.packing import op8_packing
 from spanforge.llm.passages import op6_passages
 from spanforge.llm.sharding import op5_rendezvous
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_hnsw": op10_hnsw,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_snapshots": OP9_SQL, "op10_hnsw": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_minmax": OP7_SQL, "op9_snapshots": OP9_SQL, "op10_hnsw": OP10_SQL}

@@ -1,10 +1,11 @@
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from spanforge.llm.graph import components
-from spanforge.llm.minhash import common_counts, near_duplicates, op7_minmax
+from spanforge.llm.minhash import OP7_SQL, common_counts, near_duplicates, op7_minmax
 from spanforge.llm.words import word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,4 +91,7 @@ def test_empty_table(spark):
 
 def test_query_equals_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert sorted(map(tuple, op7_minmax(spark, sf).select("doc_id", "n_shingles", "component_id").collect())) == sorted(brute(rows, 4))
+    got = op7_minmax(spark, sf)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(brute(rows, 4))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{sf}/documents.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(OP7_SQL).fetchall()) and got.columns == duckdb.sql(OP7_SQL).columns
