@@ -1,13 +1,19 @@
 """Training-order materialisation: token sequences in a keyed random order, as fixed-stride shards.
 
 Texts become token sequences of ``length`` ids, the last of which is always the closing
-id 0; a long text gives several. Sequences are numbered without gaps by a hash of what
-they are (4,096 ranges are counted, summed up and numbered inside). A keyed Feistel
-network over the smallest even number of bits that holds the count, walked on until it
-lands below the count, permutes the numbers: a bijection, so every sequence has its own
-slot and every slot a sequence. Shard k holds slots k * shard_rows and on, in order, with
-the same number of bytes for each, so slot s lies at a place that its number alone gives,
-and a reader can stop and go on anywhere.
+id 0; a long text gives several. Sequences are numbered without gaps in the order of the
+scan: its partitions one after the other. A keyed Feistel network over the smallest even
+number of bits that holds the count, walked on until it lands below the count, permutes
+the numbers: a bijection, so every sequence has its own slot and every slot a sequence.
+Shard k holds slots k * shard_rows and on, in order, with the same number of bytes for
+each, so slot s lies at a place that its number alone gives, and a reader can stop and go
+on anywhere.
+
+Texts are encoded twice: once for the index, which gives the counts, and once for the
+shards, whose records move in a single shuffle. Keeping the ids between the two would
+save the second encoding for once more the size of the ids on disk. Both passes scan the
+same rows in the same partitions, as file scans do; a task that meets other rows than
+the index has fails. Only the first number of each partition is sent to the tasks.
 
 Files are written by the engine's own text writer with its committer, so a lost task
 leaves no half shard: a record is the bytes of its ids but the last one, and the record
@@ -27,15 +33,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import bpe
 from spanforge.llm.storage import materialise, table_path, with_clear_names
 from spanforge.llm.words import mixed
 
-SEQUENCES = "doc_id long, seq int, n_tokens int, crc32 long, h long, payload binary"
-RANGE_BITS = 12
+INDEX = "doc_id long, seq int, n_tokens int, crc32 long, part int, ordinal long"
 ROUNDS = 4
 
 
@@ -55,37 +61,50 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _cut(vocabulary: str, length: int, width: int):
-    kind = {2: "<u2", 4: "<u4"}[width]
+def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int, width: int) -> Iterator[list[tuple]]:
+    """(doc_id, seq, n_tokens, record) of every sequence, a list per batch."""
+    encoder, room, kind = bpe.load(vocabulary), length - 1, f"<u{width}"
+    for batch in batches:
+        out = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids = encoder.ids(text.as_py())
+            n = max(1, -(-len(ids) // room))
+            grid = np.zeros((n, length), dtype=kind)
+            for seq in range(n):
+                part = ids[seq * room : (seq + 1) * room]
+                grid[seq, : len(part)] = part
+                out.append((doc_id, seq, len(part), grid[seq].tobytes()))
+        yield out
 
+
+def _index(vocabulary: str, length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, room = bpe.load(vocabulary), length - 1
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text)
-                for seq in range(max(1, -(-len(ids) // room))):
-                    part = ids[seq * room : (seq + 1) * room]
-                    row = np.zeros(length, dtype=kind)
-                    row[: len(part)] = part
-                    raw = row.tobytes()
-                    name = xxhash.xxh3_64_intdigest(f"{doc_id}/{seq}/".encode() + raw)
-                    for column, value in zip(out, (doc_id, seq, len(part), zlib.crc32(raw), name - (1 << 63), raw[:-1]), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "seq", "n_tokens", "crc32", "h", "payload"])
+        part, done = TaskContext.get().partitionId(), 0
+        for rows in _sequences(batches, vocabulary, length, width):
+            n = len(rows)
+            columns = ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [zlib.crc32(r[3]) for r in rows], [part] * n, range(done, done + n))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            done += n
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "seq", "n_tokens", "crc32", "part", "ordinal"])
 
     return run
 
 
-def _numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
-    """A gapless ``number`` for every sequence, in the order of its hash, and how many there are."""
-    parted = sequences.withColumn("part", F.shiftrightunsigned("h", 64 - RANGE_BITS))
-    counts = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    starts = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))  # 4,096 rows at most
-    inside = Window.partitionBy("part").orderBy("h", "doc_id", "seq", "crc32")
-    return parted.withColumn("inner", F.row_number().over(inside)).join(F.broadcast(starts), "part").withColumn("number", F.col("first") + F.col("inner") - 1).drop("part", "inner", "first"), total
+def _records(vocabulary: str, length: int, width: int, starts, total: int, key: int, shard_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        first, expected = starts.value.get(part, (0, 0))
+        for rows in _sequences(batches, vocabulary, length, width):
+            n = len(rows)
+            if done + n > expected:
+                raise RuntimeError("the scan gave other rows than it gave for the index")
+            slots = feistel(first + done + np.arange(n), total, key)
+            done += n
+            yield pa.record_batch([pa.array((slots // shard_rows).astype(np.int32)), pa.array(slots), pa.array([r[3][:-1] for r in rows], pa.binary())], names=["shard", "slot", "payload"])
+        if done != expected:
+            raise RuntimeError("the scan gave fewer rows than it gave for the index")
+
+    return run
 
 
 def training_order(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = 512, shard_rows: int = 16_384, key: int = 77, vocabulary: str = bpe.DEFAULT) -> DataFrame:
@@ -93,18 +112,23 @@ def training_order(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     width = 2 if vocabulary.endswith("50k") else 4  # ids under 2**16 take two bytes
     own = with_clear_names(docs, {"doc_id": id_col, "text": text_col})
-    sequences = materialise(own.mapInArrow(_cut(vocabulary, length, width), SEQUENCES), "sequences")
-    numbered, total = _numbered(sequences)
+    index = materialise(own.mapInArrow(_index(vocabulary, length, width), INDEX), "index")
+    starts, total = {}, 0
+    for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row per task of the scan
+        starts[r["part"]] = (total, r["n"])
+        total += r["n"]
+    shared = spark.sparkContext.broadcast(starts)
+    if total:
+        records = own.mapInArrow(_records(vocabulary, length, width, shared, total, key, shard_rows), "shard int, slot long, payload binary")
+        ordered = records.repartitionById(-(-total // shard_rows), F.col("shard")).sortWithinPartitions("slot")
+        ordered.select(F.col("payload").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
     @F.pandas_udf("long")
-    def slot(number: pd.Series) -> pd.Series:
-        return pd.Series(feistel(number.to_numpy(), total, key))
+    def slot_of(part: pd.Series, ordinal: pd.Series) -> pd.Series:
+        first = np.array([shared.value[p][0] for p in part.tolist()], dtype=np.int64)
+        return pd.Series(feistel(first + ordinal.to_numpy(), total, key))
 
-    placed = numbered.withColumn("slot", slot("number")).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
-    if total:
-        shards = -(-total // shard_rows)
-        ordered = placed.select("shard", "slot", "payload").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-        ordered.select(F.col("payload").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    placed = index.withColumn("slot", slot_of("part", "ordinal")).withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
     return placed.select("doc_id", "seq", "n_tokens", "slot", "shard", ((F.col("slot") - F.col("shard") * shard_rows) * (length * width)).alias("byte_offset"), "crc32")
 
 
