@@ -216,3 +216,44 @@ def first_item(items: Column) -> Column:
 def roles(views: DataFrame, keys: list[str]) -> DataFrame:
     """First view of each role."""
     return views.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "role").orderBy("ord"))).filter("nth = 1").drop("nth")
+
+
+def profile_features(profiles: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """A profile as flat columns ``<prefix>_...``: bins, percentiles, thirds, density and box."""
+    q = lambda k: F.try_element_at("height_percentiles", F.lit(k))
+    third = lambda n, s: F.try_element_at("thirds", F.lit(n))[s]
+    out = [F.lit(True).alias(f"{prefix}_profile_available"), F.col("n_points").alias(f"{prefix}_point_count")]
+    out += [F.col(f"bbox_{c}_in").alias(f"{prefix}_bbox_{c}_in") for c in ("length", "width", "height")]
+    out += [F.col("vertical_density_bins").alias(f"{prefix}_vertical_density_bins"), F.col("occupied_bin_count").alias(f"{prefix}_occupied_bin_count"), F.col("max_bin_density").alias(f"{prefix}_max_bin_density"), F.col("density_center_of_mass_y").alias(f"{prefix}_density_center_of_mass_y"), F.col("compactness").alias(f"{prefix}_compactness_point_count_per_bbox_volume")]
+    out += [q(f"y_p{p}").alias(f"{prefix}_y_p{p}") for p in K.PROFILE_PERCENTILES]
+    out += [third(f"{n}_third", s).alias(f"{prefix}_{n}_third_{s}") for n in ("lower", "middle", "upper") for s in ("width_in", "depth_in")]
+    return profiles.select(*keys, *out)
+
+
+def view_features(geometry: DataFrame, object_profile: DataFrame, leaf_profile: DataFrame, segmentation: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of features per view; a side that is missing leaves nulls, and leaf fields of a fallback mask go.
+
+    ``geometry``: dimensions of the object cloud with geometry_status and warnings.
+    ``segmentation``: object_status, leaf_status, table_status, pot_diameter_in.
+    """
+    out = geometry.join(profile_features(object_profile, keys, "object"), keys, "left").join(profile_features(leaf_profile, keys, "leaf"), keys, "left").join(segmentation, keys, "left")
+    flags = {
+        "object_available": F.col("geometry_status").isin("ok", "degraded") & F.col("object_point_count").isNotNull(),
+        "leaf_available": (F.col("leaf_status") == "ok") & F.col("leaf_point_count").isNotNull(),
+        "table_available": F.col("table_status") == "ok",
+        "object_profile_available": F.col("object_profile_available"),
+        "leaf_profile_available": F.col("leaf_profile_available"),
+    }
+    out = out.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in flags.items()})
+    return suppress_leaf(out, F.col("leaf_status") == "fallback")
+
+
+def quality_flags(geometry_status: Column, warnings: Column, pot_source: Column, leaf_status: Column) -> Column:
+    """Struct of what a reader of the features should know about their sources."""
+    return F.struct(geometry_status.alias("geometry_status"), F.array_sort(F.array_distinct(warnings)).alias("warnings"), F.coalesce(pot_source, F.lit("none")).alias("pot_source"), F.coalesce(leaf_status == "fallback", F.lit(False)).alias("leaf_from_fallback"))
+
+
+def geometry_record(status: Column, source: Column, dims: Column, warnings: Column, reason: Column) -> Column:
+    """Geometry of a view with the same fields whether it worked or not; a failed one has null dimensions."""
+    failed = status.isin("failed", "missing")
+    return F.struct(status.alias("status"), source.alias("source_cloud"), F.when(~failed, dims).alias("dimensions"), F.coalesce(warnings, F.array().cast("array<string>")).alias("warnings"), reason.alias("reason"))

@@ -122,3 +122,21 @@ def ground_truth(rows: DataFrame, *, job: str = "job_id") -> DataFrame:
 
     last = Window.partitionBy(job).orderBy(F.col("recorded_at").desc())
     return rows.filter(F.col("completed") & valid_label(F.col("actual_box"))).withColumn("nth", F.row_number().over(last)).filter("nth = 1").drop("nth")
+
+
+def make_box(length: Column, width: Column, height: Column) -> Column:
+    """A box of three positive, finite sides; null otherwise."""
+    sides = [T.positive(c) for c in (length, width, height)]
+    known = sides[0].isNotNull() & sides[1].isNotNull() & sides[2].isNotNull()
+    return F.when(known, F.struct(*[s.alias(n) for s, n in zip(sides, K.LABEL_FIELDS, strict=True)]))
+
+
+def truth_record(box: Column, fit: Column, damage: Column, notes: Column, at: Column, source: str = "operator") -> Column:
+    """A ground-truth record; completed only with a valid box."""
+    return F.struct(box.isNotNull().alias("completed"), F.lit(source).alias("source"), box.alias("actual_box"), fit.alias("fit"), F.coalesce(damage, F.lit(False)).alias("damage"), F.coalesce(notes, F.lit("")).alias("notes"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("recorded_at"))
+
+
+def segmentation_record(status: Column, segments: dict[str, Column]) -> Column:
+    """A segmentation record and the error of a status that is none of ok, fallback and missing."""
+    bad = T.first_match([(~F.coalesce(c.isin("ok", "fallback", "missing"), F.lit(False)), F.lit(f"invalid_status:{n}")) for n, c in segments.items()])
+    return F.struct(status.alias("status"), F.struct(*[c.alias(n) for n, c in segments.items()]).alias("segments"), bad.alias("error"))

@@ -147,3 +147,16 @@ def compare_boxes(predicted: Column, actual: Column, tolerance: float = K.MATCH_
     ok = F.greatest(*[F.abs(d) for d in diffs]) <= tolerance
     known = diffs[0].isNotNull() & diffs[1].isNotNull() & diffs[2].isNotNull()
     return F.when(known, F.struct(*[d.alias(f) for d, f in zip(diffs, K.LABEL_FIELDS, strict=True)], ok.alias("match")))
+
+
+def save_models(models, path: str, report: DataFrame) -> None:
+    """Models by label, and a report table, under one path."""
+    for label, model in models.items():
+        model.write().overwrite().save(f"{path}/{label}")
+    report.write.mode("overwrite").parquet(f"{path}/report")
+
+
+def load_models(path: str, labels: tuple[str, ...] = K.LABEL_FIELDS) -> dict:
+    from pyspark.ml import PipelineModel
+
+    return {label: PipelineModel.load(f"{path}/{label}") for label in labels}

@@ -169,3 +169,9 @@ def public_columns(df: DataFrame, prefix: str = "_runtime_") -> DataFrame:
 def append_predictions(predictions: DataFrame, path: str) -> None:
     """Append the predictions that a model gave, with their time."""
     predictions.filter("model is not null").withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def capture_meta(meta: DataFrame, raw: DataFrame, aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """Capture metadata with the statistics of both depth frames as structs; ``raw`` and ``aligned`` come from depth_stats."""
+    side = lambda df, name: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+    return meta.join(side(raw, "raw_depth"), keys, "left").join(side(aligned, "aligned_depth"), keys, "left")
