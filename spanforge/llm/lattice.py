@@ -53,13 +53,17 @@ class Vocabulary:
     """Pieces with their log weights; bytes stand in for characters without a piece."""
 
     def __init__(self, pieces: list[str], ranks: list[float], byte_ids: dict[int, int], alpha: float):
-        used = [i for i, p in enumerate(pieces) if 0 < len(p) <= WIDTH and i not in set(byte_ids.values())]
-        hashes = np.array([self._hash(pieces[i]) for i in used], dtype=np.uint64)
+        byte_set = set(byte_ids.values())
+        names = {p: i for i, p in enumerate(pieces) if 0 < len(p) <= WIDTH and i not in byte_set}
+        for p in list(names):  # beginnings of pieces are marked, so that a search stops where no piece goes on
+            for end in range(1, len(p)):
+                names.setdefault(p[:end], -1)
+        hashes = np.array([self._hash(p) for p in names], dtype=np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(used, dtype=np.int32)[order]
+        self.hashes, self.ids = hashes[order], np.array(list(names.values()), dtype=np.int32)[order]
         slots = (self.hashes >> np.uint64(44)).astype(np.int64)
-        self.first = np.searchsorted(slots, np.arange(1 << 20))
-        self.deepest = int(np.bincount(slots, minlength=1).max()) if len(used) else 0
+        self.first = np.searchsorted(slots, np.arange(1 << 20)).astype(np.int32)
+        self.deepest = int(np.bincount(slots, minlength=1).max()) if names else 0
         self.log_weight = np.array([-alpha * math.log(r + 3.0) for r in ranks])
         self.byte_ids = byte_ids
         self.texts = [p.replace(BLANK, " ").encode() for p in pieces]
@@ -73,13 +77,18 @@ class Vocabulary:
         return int(mixed(np.array([int((points * _POWER[: len(points)]).sum()) * len(points) % 2**64], dtype=np.uint64))[0])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of pieces by hash, -1 without one."""
+        """Ids of pieces by hash; -1 for a mere beginning of one, -2 for neither."""
         at = self.first[(hashes >> np.uint64(44)).astype(np.int64)]
-        out = np.full(len(hashes), -1, dtype=np.int32)
+        out = np.full(len(hashes), -2, dtype=np.int32)
+        left = np.arange(len(hashes))
         for d in range(self.deepest):
-            place = np.minimum(at + d, len(self.hashes) - 1)
-            same = self.hashes[place] == hashes
-            out[same] = self.ids[place[same]]
+            place = np.minimum(at[left] + d, len(self.hashes) - 1)
+            found = self.hashes[place]
+            same = found == hashes[left]
+            out[left[same]] = self.ids[place[same]]
+            left = left[found < hashes[left]]  # the table is sorted: a greater one ends the slot
+            if not len(left):
+                break
         return out
 
     def decode(self, ids) -> str:
@@ -104,7 +113,7 @@ def load(alpha: float = 1.0, folder: str | None = None) -> Vocabulary:
 class Lattices:
     """Lattice nodes of the segments seen so far; choice c at a node is the piece of c + 1 characters. Emptied when full."""
 
-    def __init__(self, vocabulary: Vocabulary, nodes: int = 700_000):
+    def __init__(self, vocabulary: Vocabulary, nodes: int = 1_000_000):
         self.v, self.capacity = vocabulary, nodes
         self._clear(nodes)
 
@@ -117,13 +126,15 @@ class Lattices:
 
     def bases(self, segments: list[str]) -> np.ndarray:
         """First node of each segment, all valid together."""
-        new = {s for s in segments if s not in self.base}
+        found = list(map(self.base.get, segments))
+        new = dict.fromkeys(s for s, f in zip(segments, found, strict=True) if f is None) if None in found else {}
+        if not new:
+            return np.array(found, dtype=np.int64)
         need = sum(map(len, new)) + len(new)
         if self.used + need > len(self.cum):
-            new = set(segments)
+            new = dict.fromkeys(segments)
             self._clear(max(self.capacity, sum(map(len, new)) + len(new)))
-        if new:
-            self._add(sorted(new, key=len))
+        self._add(sorted(new, key=len))
         return np.fromiter(map(self.base.__getitem__, segments), dtype=np.int64, count=len(segments))
 
     def _add(self, new: list[str]) -> None:
@@ -133,18 +144,20 @@ class Lattices:
         n = int((size + 1).sum())
         points = np.frombuffer("\0".join(new).encode("utf-32-le") + b"\0" * 4, dtype="<u4").astype(np.uint64)
         left = np.repeat(base + size, size + 1) - np.arange(n)
-        weight = np.full((n, WIDTH), -np.inf)
+        weight = np.full((n, WIDTH), -np.inf, dtype=np.float32)
         piece = np.full((n, WIDTH), -1, dtype=np.int32)
-        total = np.zeros(n, dtype=np.uint64)
+        rows = np.flatnonzero(left > 0)
+        total = np.zeros(len(rows), dtype=np.uint64)
         for c in range(WIDTH):
-            rows = np.flatnonzero(left > c)
             if not len(rows):
                 break
-            total[rows] += points[rows + c] * _POWER[c]
-            found = self.v.find(mixed(total[rows] * np.uint64(c + 1)))
+            total += points[rows + c] * _POWER[c]
+            found = self.v.find(mixed(total * np.uint64(c + 1)))
             hit = found >= 0
             piece[rows[hit], c] = found[hit]
             weight[rows[hit], c] = self.v.log_weight[found[hit]]
+            on = (found > -2) & (left[rows] > c + 1)
+            rows, total = rows[on], total[on]
         bare = np.flatnonzero((left > 0) & (piece[:, 0] < 0))
         if len(bare):
             own = points[bare]
@@ -155,15 +168,19 @@ class Lattices:
         ahead, at = np.arange(1, WIDTH + 1), self.used
         for d in range(1, int(size.max(initial=0)) + 1):
             rows = (base + size - d)[np.searchsorted(size, d) :]  # the segments come in rising order of length
-            w = weight[rows, : min(d, WIDTH)]
-            w += beta[rows[:, None] + ahead[: min(d, WIDTH)]]
+            reach = min(d, WIDTH)
+            w = beta[rows[:, None] + ahead[:reach]]
+            w += weight[rows, :reach]
             best = w.max(axis=1)
-            share = np.cumsum(np.exp(w - best[:, None]), axis=1)
+            w -= best[:, None]
+            share = np.cumsum(np.exp(w.astype(np.float32)), axis=1)
             whole = share[:, -1:]
-            beta[rows] = b = best + np.log(whole[:, 0])
+            log_whole = np.log(whole[:, 0].astype(np.float64))
+            beta[rows] = best + log_whole
+            w -= log_whole[:, None]
             to = rows + at
-            self.log_q[to, : w.shape[1]] = np.minimum(0.0, w - b[:, None])
-            self.cum[to, : w.shape[1]] = np.where(share == whole, 2.0, share / whole)
+            self.log_q[to, :reach] = np.minimum(0.0, w)
+            self.cum[to, :reach] = np.where(share >= whole, np.float32(2.0), share / whole)
             if d < WIDTH:
                 self.log_q[to, d:] = -np.inf
                 self.cum[to, d:] = 2.0
@@ -217,7 +234,7 @@ class Search:
         s = len(self.paths)
         self.paths.append(path)
         self.scores.append(score)
-        log_q, reach = path[1], born + 256
+        log_q, reach = path[1], born + 640
         while True:  # masses only fall along a path, so what lies beyond a hopeless one is hopeless
             mass = np.concatenate(([0.0], np.cumsum(log_q[:reach], dtype=np.float64)))
             with np.errstate(divide="ignore"):
@@ -354,7 +371,7 @@ def _sampled(k: int, seed: int, alpha: float, folder: str | None):
                 for doc_id, text, found in zip(ids[at:to], texts[at:to], sample_block(texts[at:to], keys, k, lattices), strict=True):
                     for rank, (codes, p, g, inclusion) in enumerate(found):
                         plain = plain_ids(codes, vocabulary)
-                        same = vocabulary.decode(plain.tolist()) == text.replace(BLANK, " ")
+                        same = b"".join(map(vocabulary.texts.__getitem__, plain.tolist())) == (f" {text}".replace(BLANK, " ").encode() if text else b"")
                         for column, value in zip(columns, (doc_id, rank + 1, len(plain), p, g, inclusion, same, plain), strict=True):
                             column.append(value)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
