@@ -30,6 +30,8 @@ from spanforge.llm.storage import with_clear_names
 BITS = 18
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
+#: Texts scored together; their feature lists are held at once.
+BLOCK = 256
 _letters: list[np.ndarray] = []
 _SLOT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -153,9 +155,11 @@ def held_out(column: str):
 def _predicted(model, position: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scratch = np.zeros(1 << BITS, dtype=bool)
-        for batch in batches:
-            langs, scores = model.value.predict([features(t.as_py(), scratch) for t in batch.column(position)])
-            yield batch, langs, scores
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                langs, scores = model.value.predict([features(t.as_py(), scratch) for t in batch.column(position)])
+                yield batch, langs, scores
 
     return run
 
