@@ -51,3 +51,12 @@ def test_query_equals_brute_force(spark, sf):
         n, chars, symbols, dups, repeats = brute(texts[r.doc_id]) if len(texts[r.doc_id]) < 12_000 else base_counts(texts[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dups, repeats)
         assert r.base_failed == (n < 20 or 100 * repeats > 30 * n) and not (r.base_failed and r.kept)
+
+
+def test_bands_reject_labelled_junk_and_keep_clean_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    past_base = [r for r in op1_fertility(spark, sf).collect() if not r.base_failed and r.doc_id in quality]
+    junk, clean = ([r for r in past_base if quality[r.doc_id] == q] for q in (0, 1))
+    assert sum(not r.kept for r in junk) > 0.9 * len(junk) > 20
+    assert sum(r.kept for r in clean) > 0.98 * len(clean)
