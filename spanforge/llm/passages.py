@@ -1,16 +1,18 @@
 """Repeated passages across documents by hashing normalised units.
 
-A unit is a line or a sentence of it; fewer than ``least_unit`` words join what follows,
-and a sentence of over 40 words is cut where a word's own hash says so, so that a passage
-pasted into the middle of a line still falls into the same units. Units are lower-cased
-and their blanks collapsed before they are hashed to 96 bits. Of equal units the one of
-the least doc_id stays, in a document the first; the rest are repeats. Repeats go when a
-run of neighbours holds ``least_run`` words or more: a short sentence that two documents
-share by chance stays. Offsets of what went refer to the original text.
-
-Defined results: a null text stays null; a null doc_id ranks last; rows that share a
-doc_id share its rank and lose nothing to each other; repeated rows lose the same spans;
-an empty table gives no rows; extra columns pass through whatever their names.
+A unit is a sentence of a line or a part of one; in a line, sentences of fewer than four
+words join what follows. A sentence is cut after words whose hash is the least of three
+words either side, so that where a passage pasted into a line is cut depends, but for
+three words at its ends, on its own words; a repeat loses all but the words before its
+first cut and after its last one. Units are lower-cased and their blanks collapsed before
+they are hashed to 96 bits. Of equal units the one of the least doc_id stays, in a
+document the first; the rest are repeats. Repeats go when a
+run of neighbours holds ``least_run`` words or more: a short sentence that two documents share by chance stays. Offsets of what went
+refer to the original text.
+
+Defined results: a null text stays null; a null doc_id ranks last; rows that
+share a doc_id share its rank and lose nothing to each other; repeated rows lose the same
+spans; an empty table gives no rows; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -26,45 +28,59 @@ from pyspark.sql import functions as F
 from spanforge.llm.graph import attach
 from spanforge.llm.storage import fresh, materialise
 
-_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)|\n")
+_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)")
 _WORD = re.compile(r"\S+")
-LEAST_UNIT, LONG_UNIT, LEAST_RUN = 4, 40, 16
+LEAST_UNIT, LEAST_RUN = 4, 16
 UNITS = "rk long, rank long, unit int, d1 long, d2 int"
 REMOVED = "array<struct<start:int,end:int>>"
 
 
-def _pieces(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of sentences and lines; long ones are cut after words whose hash is a multiple of eight."""
-    at = 0
-    for m in _END.finditer(text):
+def _sentences(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    for m in _END.finditer(text, at, end):
         yield at, m.end()
         at = m.end()
-    if at < len(text):
-        yield at, len(text)
+    if at < end:
+        yield at, end
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Numbers of words before each cut of a sentence: after a word whose hash is least among three words either side."""
+    h = [xxhash.xxh32_intdigest(w) for w in words]
+    out, i, last = [], LEAST_UNIT - 1, len(h) - LEAST_UNIT
+    while i < last:
+        x = h[i]
+        after = h[i + 1 : i + LEAST_UNIT]
+        if x <= min(after):
+            if x < min(h[i - LEAST_UNIT + 1 : i]):
+                out.append(i + 1)
+            i += LEAST_UNIT  # the words up to there have this one or a lesser one before them
+        else:
+            i += 1
+    return out
 
 
 def units(text: str) -> Iterator[tuple[int, int, int, str]]:
     """(start, end, words, normalised) of each unit of a whole text; spans follow each other without a gap."""
-    start = None
-    for a, b in _pieces(text):
-        start = a if start is None else start
-        words = text[start:b].lower().split()
-        if len(words) < LEAST_UNIT:
-            continue
-        if len(words) <= LONG_UNIT:
-            yield start, b, len(words), " ".join(words)
-        else:
-            cut, held = start, []
-            for m in _WORD.finditer(text, start, b):
-                held.append(m.group().lower())
-                if len(held) >= LEAST_UNIT and xxhash.xxh32_intdigest(held[-1]) % 8 == 0:
-                    yield cut, m.end(), len(held), " ".join(held)
-                    cut, held = m.end(), []
-            if held:
-                yield cut, b, len(held), " ".join(held)
-        start = None
-    if start is not None and (words := text[start:].lower().split()):
-        yield start, len(text), len(words), " ".join(words)
+    start = at = 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        held: list[str] = []
+        for a, b in _sentences(text, at, end):
+            held += text[a:b].lower().split()
+            if len(held) < LEAST_UNIT:
+                continue
+            done = 0
+            if len(held) >= 2 * LEAST_UNIT and (cuts := _cuts(held)):
+                ends = [m.end() for m in _WORD.finditer(text, start, b)]
+                for cut in cuts:
+                    yield start, ends[cut - 1], cut - done, " ".join(held[done:cut])
+                    start, done = ends[cut - 1], cut
+            yield start, b, len(held) - done, " ".join(held[done:])
+            start, held = b, []
+        if held:
+            yield start, end, len(held), " ".join(held)
+            start = end
+        at = end
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,17 @@ def test_offsets_refer_to_the_original(spark, sf):
     assert sorted((r.doc_id, r.text) for r in got) == sorted(brute(sorted(texts.items())))
     for r in got:
         assert without(texts[r.doc_id], [(s.start, s.end) for s in r.removed]) == r.text
+
+
+def words(rng, n):
+    return " ".join(f"w{i}" for i in rng.integers(0, 5000, n))
+
+
+def test_passages_pasted_into_a_line_are_found():
+    rng = np.random.default_rng(7)
+    for passage in [f"{words(rng, 27)}. {words(rng, 27)}" for _ in range(100)] + [words(rng, n) for n in (52, 60) for _ in range(100)]:
+        first, second = f"{words(rng, 30)} {passage} {words(rng, 25)}", f"{words(rng, 40)} {passage} {words(rng, 33)}"
+        known = {plain for *_, plain in units(first)}
+        spans = repeated_spans(second, {i for i, (*_, plain) in enumerate(units(second)) if plain in known})
+        gone = " ".join(second[a:b].strip() for a, b in spans)
+        assert gone in passage and len(gone.split()) > 0.5 * len(passage.split())
