@@ -6,13 +6,14 @@ words either side, so that where a passage pasted into a line is cut depends, bu
 three words at its ends, on its own words; a repeat loses all but the words before its
 first cut and after its last one. Units are lower-cased and their blanks collapsed before
 they are hashed to 96 bits. Of equal units the one of the least doc_id stays, in a
-document the first; the rest are repeats. Repeats go when a
-run of neighbours holds ``least_run`` words or more: a short sentence that two documents share by chance stays. Offsets of what went
+document the first; the rest are repeats. Lines of four words or more that equal an
+earlier line go; other repeats go when a run of neighbours holds ``least_run`` words or
+more: a short sentence that two documents share by chance stays. Offsets of what went
 refer to the original text.
 
-Defined results: a null text stays null; a null doc_id ranks last; rows that
-share a doc_id share its rank and lose nothing to each other; repeated rows lose the same
-spans; an empty table gives no rows; extra columns pass through whatever their names.
+Defined results: a null text stays null; a null doc_id ranks last; rows that share a
+doc_id, or have none, rank by a hash of id and text, and those with the same text lose
+the same spans; an empty table gives no rows; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -60,10 +61,17 @@ def _cuts(words: list[str]) -> list[int]:
 
 
 def units(text: str) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words, normalised) of each unit of a whole text; spans follow each other without a gap."""
+    """(start, end, words, normalised) of each unit of a whole text; spans follow each other without a gap.
+
+    Before the units of a line comes one of no width for the whole of it: the words that
+    follow belong to it, and a line break leads what it holds.
+    """
     start = at = 0
     while at < len(text):
         end = text.find("\n", at) + 1 or len(text)
+        line = text[at:end].lower().split()
+        if len(line) >= LEAST_UNIT:
+            yield start, start, len(line), "\n" + " ".join(line)
         held: list[str] = []
         for a, b in _sentences(text, at, end):
             held += text[a:b].lower().split()
@@ -103,22 +111,32 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(text: str, repeats: set[int], least_run: int = LEAST_RUN) -> list[tuple[int, int]]:
-    """Spans of runs of repeated units; a unit equal to an earlier repeat or to an earlier unit of this text is one too."""
+    """Spans of repeated lines and of long runs of repeated units; a unit equal to an earlier unit of this text is a repeat too."""
     spans: list[tuple[int, int]] = []
     seen: set[str] = set()
-    start, end, words = 0, 0, 0
+    run: list[tuple[int, int, int, bool]] = []  # start, end, words, in a repeated line
+
+    def close() -> None:
+        whole = sum(n for _, _, n, _ in run) >= least_run
+        for a, b, _, in_line in run:
+            if whole or in_line:
+                if spans and spans[-1][1] == a:
+                    a = spans.pop()[0]
+                spans.append((a, b))
+        run.clear()
+
+    line_left = 0
     for i, (a, b, n, plain) in enumerate(units(text)):
-        if i in repeats or plain in seen:
-            if not words:
-                start = a
-            end, words = b, words + n
-        else:
-            if words >= least_run:
-                spans.append((start, end))
-            words = 0
+        repeated = i in repeats or plain in seen
         seen.add(plain)
-    if words >= least_run:
-        spans.append((start, end))
+        if a == b:
+            line_left = n if repeated else 0
+        elif repeated or line_left:
+            run.append((a, b, n, line_left > 0))
+            line_left = max(0, line_left - n)
+        else:
+            close()
+    close()
     return spans
 
 
@@ -155,9 +173,10 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rank = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1))
     texts = keyed.select(F.col(key).alias("rk"), rank.alias("rank"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
     listed = materialise(texts.mapInArrow(_listed, UNITS), "units")
-    several = listed.groupBy("d1", "d2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least != most")
+    order = F.struct("rank", "rk")
+    several = listed.groupBy("d1", "d2").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1")
     digest = F.struct("d1", "d2").alias("digest")
-    found = attach(listed.select(digest, "rk", "rank", "unit"), several.select(digest, "least"), "digest").filter("rank > least")
+    found = attach(listed.select(digest, "rk", "rank", "unit"), several.select(digest, "least"), "digest").filter(order > F.col("least"))
     flagged = materialise(found.groupBy("rk").agg(F.collect_set("unit").alias("repeats")).select(F.col("rk").alias(key), F.col("repeats").alias(removed)), "repeats")
     joined = keyed.join(flagged, key, "left").select(*[f"`{c}`" for c in docs.columns], f"`{removed}`")
     shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{removed}` {REMOVED}"])

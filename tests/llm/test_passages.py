@@ -70,3 +70,19 @@ def test_passages_pasted_into_a_line_are_found():
         spans = repeated_spans(second, {i for i, (*_, plain) in enumerate(units(second)) if plain in known})
         gone = " ".join(second[a:b].strip() for a, b in spans)
         assert gone in passage and len(gone.split()) > 0.5 * len(passage.split())
+
+
+def test_short_lines_go_but_for_the_earliest(spark):
+    rng = np.random.default_rng(8)
+    line = "Licensed under the Apache License, Version 2.0."
+    docs = spark.createDataFrame([(i, f"{sentences(rng, 3)}\n{line}\n{sentences(rng, 3)}") for i in range(6)] + [(9, f"{sentences(rng, 2)} {line} {sentences(rng, 2)}")], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in drop_repeats(docs).collect()}
+    assert [i for i, t in sorted(left.items()) if line in t] == [0, 9]
+
+
+def test_rows_without_an_id_or_with_the_same_lose_repeats(spark):
+    rng = np.random.default_rng(9)
+    passage = sentences(rng, 8)
+    for doc_id in (None, 4):
+        docs = spark.createDataFrame([(doc_id, f"{sentences(rng, 2)} {passage} {sentences(rng, 2)}") for _ in range(5)], "doc_id long, text string")
+        assert sum(passage in r.text for r in drop_repeats(docs).collect()) == 1
