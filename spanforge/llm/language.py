@@ -7,6 +7,10 @@ labelled texts; kernel ridge regression, one language against the rest, is solve
 Nyström features K_nm K_mm^(-1/2). A batch of texts is scored by the product of its
 kernel block with the folded weights.
 
+The score is a softmax of the regression scores, but where the best of those is under half
+of what 99.5 % of the training texts reach, it falls below 0.3 however few languages there
+are: such a text is in none of them.
+
 Only the training sample is bounded: at most about ``per_language`` labelled texts of
 each of the ``max_languages`` most frequent labels, drawn by a hash of id and text. It is
 the one thing collected; the model (2**18 x landmarks bytes at most) goes to the workers.
@@ -32,6 +36,8 @@ ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Texts scored together; their feature lists are held at once.
 BLOCK = 256
+#: A score under it is no recognition; texts under the model's least regression score get less.
+RECOGNISED = 0.3
 _letters: list[np.ndarray] = []
 _SLOT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -72,8 +78,8 @@ def features(text: str | None, scratch: np.ndarray) -> np.ndarray:
 class KernelModel:
     """Landmark features as a dense presence matrix and the folded regression weights."""
 
-    def __init__(self, languages: list[str], landmarks: np.ndarray, row_of: np.ndarray, sizes: np.ndarray, weights: np.ndarray):
-        self.languages, self.landmarks, self.row_of, self.sizes, self.weights = languages, landmarks, row_of, sizes, weights
+    def __init__(self, languages: list[str], landmarks: np.ndarray, row_of: np.ndarray, sizes: np.ndarray, weights: np.ndarray, least: float = 0.1):
+        self.languages, self.landmarks, self.row_of, self.sizes, self.weights, self.least = languages, landmarks, row_of, sizes, weights, least
 
     def kernel(self, found: list[np.ndarray]) -> np.ndarray:
         """Block of kernel values: texts by landmarks."""
@@ -91,7 +97,8 @@ class KernelModel:
         scores = self.kernel(found) @ self.weights
         best = scores.argmax(axis=1)
         odds = np.exp(4.0 * (scores - scores.max(axis=1, keepdims=True)))
-        sure = 1.0 / odds.sum(axis=1)
+        raw = scores.max(axis=1)
+        sure = np.where(raw < self.least, np.minimum(1.0 / odds.sum(axis=1), RECOGNISED * np.maximum(raw, 0.0) / self.least), 1.0 / odds.sum(axis=1))
         known = [len(f) > 0 for f in found]
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(s) if k else 0.0 for s, k in zip(sure, known, strict=True)]
 
@@ -124,7 +131,9 @@ def fit(texts: list[str], labels: list[str], *, landmarks: int = 128, ridge: flo
     z = model.kernel([f for f, _ in pairs]) @ whiten
     y = np.array([[1.0 if label == language else -1.0 for language in languages] for _, label in pairs])
     balance = np.array([1.0 / sum(1 for _, b in pairs if b == a) for _, a in pairs])[:, None]
-    model.weights = whiten @ np.linalg.solve(z.T @ (balance * z) + ridge / len(pairs) * np.eye(z.shape[1]), z.T @ (balance * y))
+    solved = np.linalg.solve(z.T @ (balance * z) + ridge / len(pairs) * np.eye(z.shape[1]), z.T @ (balance * y))
+    model.weights = whiten @ solved
+    model.least = max(0.1, 0.5 * float(np.quantile((z @ solved).max(axis=1), 0.005)))
     return model
 
 
@@ -187,7 +196,7 @@ def identify(docs: DataFrame, model: KernelModel, *, id_col: str = "doc_id", tex
     return own.mapInArrow(_labelled(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_recognised(docs: DataFrame, model: KernelModel, *, text_col: str = "text", least: float = 0.3) -> DataFrame:
+def keep_recognised(docs: DataFrame, model: KernelModel, *, text_col: str = "text", least: float = RECOGNISED) -> DataFrame:
     """The documents in a language that the model knows, with all their columns; a score under ``least`` is no recognition."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_recognised(shared, docs.columns.index(text_col), least), docs.schema)

@@ -56,3 +56,17 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = [r for r in op4_language(spark, sf).collect() if r.held_out and truth[r.doc_id]]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.98
+
+
+def test_texts_in_no_learned_language_are_not_recognised(spark):
+    rng = np.random.default_rng(3)
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.lang and r.text and len(r.text.split()) >= 20]
+    foreign = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.", "Все люди рождаются свободными и равными в своем достоинстве и правах."]
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (20, 100, 400) for _ in range(10)]
+    scratch = np.zeros(1 << BITS, dtype=bool)
+    for languages in (["en", "de", "fr", "es"], ["en", "de"], ["en"]):
+        own = [r for r in docs if r.lang in languages]
+        held = [zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in own]
+        model = fit([r.text for r, h in zip(own, held, strict=True) if not h], [r.lang for r, h in zip(own, held, strict=True) if not h])
+        scores = {name: np.array(model.predict([features(t, scratch) for t in texts])[1]) for name, texts in {"none": foreign + junk, "held": [r.text for r, h in zip(own, held, strict=True) if h]}.items()}
+        assert (scores["none"] < 0.3).all() and (scores["held"] >= 0.3).mean() > 0.98
