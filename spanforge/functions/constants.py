@@ -20,6 +20,7 @@ DBSCAN_EPS, DBSCAN_MIN = 0.04, 30
 # --- measuring
 M_TO_IN = 39.3701
 MAX_MEASURE_POINTS, MEASURE_VOXEL, MEASURE_PLANE = 120_000, 0.005, 0.015
+MEASURE_ITERATIONS = 1000
 MIN_ROBUST_POINTS = 10
 OBJECT_MIN_POINTS, LEAF_MIN_POINTS = 500, 300
 OUTLIER_REVIEW, FRAGMENTED_REVIEW, FRAGMENTED_FAIL, MAX_DIMENSION_IN = 1.75, 0.70, 0.40, 120.0

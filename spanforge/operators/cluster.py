@@ -52,7 +52,7 @@ def fit_plane(points: DataFrame, keys: list[str], triples: DataFrame, threshold:
     """Best plane of each view: ``plane``, ``n_inliers``, ``iteration``; null where too few points agree.
 
     ``triples`` has, per view, ``iteration`` and the indices a, b, c into the order
-    ``ord`` of the fit points; there are at most 160 of them, so each view's points are
+    ``ord`` of the fit points; there are at most a thousand of them, so each view's points are
     held against a short list of planes and only sums leave the scan.
     """
     numbered = points.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1)
@@ -286,7 +286,7 @@ def measure_fallback(points: DataFrame, keys: list[str], triples: DataFrame | No
     thin = P.voxel_centroids(many.filter(F.col("n_in") > K.MAX_MEASURE_POINTS), keys, K.MEASURE_VOXEL).select(*keys, *P.AXES)
     kept = P.central_crop(many.filter(F.col("n_in") <= K.MAX_MEASURE_POINTS).select(*keys, *P.AXES).unionByName(thin), keys)
     ordered = kept.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(*P.AXES)))
-    planes = fit_plane(ordered, keys, draw_table(ordered, keys) if triples is None else triples, K.MEASURE_PLANE)
+    planes = fit_plane(ordered, keys, draw_table(ordered, keys, K.MEASURE_ITERATIONS) if triples is None else triples, K.MEASURE_PLANE)
     table = planes.filter(F.col("n_inliers") >= F.greatest(F.lit(100), F.floor(F.col("n_points") * 0.05))).filter("plane is not null")
     above = P.remove_plane(ordered, table, keys, K.MEASURE_PLANE).unionByName(ordered.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
     return P.dimensions(largest_cluster(above.drop("ord"), keys), keys)

@@ -191,3 +191,19 @@ def test_reprojection_and_pixel_maps(spark):
     assert {(r.ord, r.px_row, r.px_col) for r in seen.collect()} == {(0, 5, 5), (1, 5, 10)}
     check = P.pixel_map_check(seen.unionByName(seen), ["view"], F.lit(12), F.lit(12)).first()
     assert (check.n_points, check.n_repeated, check.n_outside) == (4, 2, 0)
+
+
+def table_and_object(seed):
+    """A flat table of 20 % of the points beside a box full of points."""
+    rng = np.random.default_rng(seed)
+    table = np.column_stack([rng.uniform(-0.25, 0.25, 300), np.full(300, 0.3), rng.uniform(0.5, 0.9, 300)])
+    box = np.column_stack([rng.uniform(-0.25, 0.25, 1200), rng.uniform(-0.3, 0.28, 1200), rng.uniform(0.5, 0.9, 1200)])
+    return np.concatenate([table, box])
+
+
+def test_fallback_finds_a_table_of_a_fifth_of_the_points(spark, monkeypatch):
+    fits, fit = [], C.fit_plane
+    monkeypatch.setattr(C, "fit_plane", lambda *args: fits.append(fit(*args)) or fits[-1])
+    C.measure_fallback(cloud(spark, table_and_object(1)), ["view"])
+    plane = fits[0].first()  # none of the first 160 draws lies on the table
+    assert abs(plane.plane[1]) > 0.99 and abs(abs(plane.plane[3]) - 0.3) < 0.01
