@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from spanforge.llm.graph import components
-from spanforge.llm.minhash import OP7_SQL, common_counts, near_duplicates, op7_minmax
+from spanforge.llm.minhash import OP7_SQL, common_counts, keep_one, near_duplicates, op7_minmax, spanning
 from spanforge.llm.words import word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,3 +95,45 @@ def test_query_equals_brute_force(spark, sf):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(brute(rows, 4))
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS FROM '{sf}/documents.parquet'")
     assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(OP7_SQL).fetchall()) and got.columns == duckdb.sql(OP7_SQL).columns
+
+
+def test_spanning_trees_are_the_components():
+    rng = np.random.default_rng(6)
+    for n, share in ((300, 0.004), (300, 0.02), (200, 0.5)):
+        m = rng.random((n, n)) < share
+        m |= m.T
+        side = rng.integers(0, 2, n)
+        for left, right in ((np.arange(n), np.arange(n)), (np.flatnonzero(side == 0), np.flatnonzero(side == 1))):
+            use = np.zeros((n, n), bool)
+            use[np.ix_(left, right)] = m[np.ix_(left, right)]
+            use |= use.T
+            want = np.arange(n)
+            for _ in range(n):
+                want = np.minimum(want, np.where(use, want[None, :], n).min(axis=1))
+            assert spanning(n, left, right, lambda i, rows, m=m: m[i, rows]).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("block", [16_384, 90])
+def test_large_group_in_blocks(spark, block):
+    texts = [*shuffled_copies(260, 90, 4, 5), *shuffled_copies(120, 40, 2, 6)]
+    rows = list(enumerate(texts))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 5))
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b, c = shuffled_copies(1, 50, 0, 1)[0], shuffled_copies(1, 50, 0, 2)[0], shuffled_copies(1, 50, 0, 3)[0]
+    rows = [(1, a, "p"), (None, a, "q"), (None, b, "r"), (5, c, "s"), (5, a, "t"), (7, c, "u"), (None, None, "v"), (8, "", "w"), (8, "", "x"), (9, " ", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string")
+    kept = keep_one(docs)
+    got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert kept.columns == docs.columns and got == sorted([("1", a), ("None", b), ("5", c), ("None", ""), ("8", ""), ("9", " ")])
+
+
+def test_many_rows_without_or_with_the_same_id(spark):
+    texts = [t for k in range(10) for t in shuffled_copies(10, 80, 1, 20 + k)]
+    rows = [(None, t) for t in texts[:50]] + [(3, t) for t in texts[50:]] + [(None, texts[0])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs)
+    assert got.count() == len(rows) and sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()])) == sorted(map(str, brute(rows, 5)))
+    assert keep_one(docs).count() == len({c for *_, c in brute(list(enumerate(texts)), 5)})
