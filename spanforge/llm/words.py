@@ -20,6 +20,13 @@ def _grow(n: int) -> None:
         _powers[k] = np.multiply.accumulate(factors)
 
 
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers, or more, of an odd factor and of its inverse modulo 2**64."""
+    if n > len(_powers[0]):
+        _grow(n)
+    return _powers
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     h = h ^ (h >> np.uint64(30))

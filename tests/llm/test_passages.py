@@ -2,7 +2,11 @@ from collections import defaultdict
 
 import numpy as np
 
-from spanforge.llm.passages import drop_repeats, op6_passages, repeated_spans, units, without
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from spanforge.llm.passages import cut, drop_repeats, op6_passages, repeated_spans, units, without
+from tests.llm import plain_passages
 
 
 def brute(rows, least_run=16):
@@ -86,3 +90,32 @@ def test_rows_without_an_id_or_with_the_same_lose_repeats(spark):
     for doc_id in (None, 4):
         docs = spark.createDataFrame([(doc_id, f"{sentences(rng, 2)} {passage} {sentences(rng, 2)}") for _ in range(5)], "doc_id long, text string")
         assert sum(passage in r.text for r in drop_repeats(docs).collect()) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b.", "C", "İd", "É", "long", "word", 'x."', "ok?!", ".", "日本。", "\n", "\n\n", "\x1c", "\x85", "\u2003", "𝔘", "q)", "end.)"]), max_size=60).map(" ".join), max_size=4))
+def test_units_equal_the_plain_rules(texts):
+    u = cut(texts)
+    names = {}
+    for i, text in enumerate(texts):
+        a, b = u.first[i], u.first[i + 1]
+        want = list(plain_passages.units(text))
+        assert [(x, y, n) for x, y, n, _ in want] == list(zip(u.start[a:b].tolist(), u.end[a:b].tolist(), u.words[a:b].tolist(), strict=True))
+        assert [(x, y, n) for x, y, n, _ in want] == [(x, y, n) for x, y, n, _ in units(text)]
+        for (*_, what), d in zip(want, zip(u.d1[a:b].tolist(), u.d2[a:b].tolist(), strict=True), strict=True):
+            assert names.setdefault(what, d) == d
+        assert u.repeated[a:b].tolist() == [what in [w for *_, w in want[:k]] for k, (*_, what) in enumerate(want)]
+    assert len(set(names.values())) == len(names)
+
+
+def test_query_equals_the_plain_rules(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sorted((r.doc_id, r.text) for r in op6_passages(spark, sf).collect()) == sorted(plain_passages.brute(sorted(texts.items())))
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(11)
+    long = words(rng, 300_000)
+    docs = spark.createDataFrame([(1, long), (2, f"before {long}"), (3, "x" * 500_000), (4, "y " * 200_000)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in drop_repeats(docs).collect()}
+    assert left[1] == long and len(left[2]) < 200 and left[3] == "x" * 500_000 and len(left[4]) <= 400_000
