@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ from spanforge.llm.words import mixed, powers
 LEAST_UNIT, LEAST_RUN = 4, 16
 #: Texts cut together hold about so many characters.
 BLOCK_CHARS = 1_000_000
-UNITS = "k1 long, k2 long, rank long, unit int, d1 long, d2 int"
+#: Units of numbered texts, and for each text one row of unit -1 that names it.
+UNITS = "num long, unit int, d1 long, d2 int, k1 long, k2 long, rank long"
 REMOVED = "array<struct<start:int,end:int>>"
 ENDS, CLOSERS = ".!?…。！？", "\"'”’)]"
 #: No letter with a case and no blank lies at or above this code point.
@@ -179,16 +181,20 @@ def blocks(lengths: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for the first of equal units of each text."""
+    """A row for each text, and one for the first of equal units of a text. Numbers are a task's own; the written table keeps them."""
+    num = TaskContext.get().partitionId() << 40
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
-        texts = batch.column(3).to_pylist()
-        keys = [batch.column(i).to_numpy() for i in range(3)]
+        texts, n = batch.column(3).to_pylist(), batch.num_rows
         for a, b in blocks(list(map(len, texts))):
             u = cut(texts[a:b])
             use = np.flatnonzero(~u.repeated)
             owner = u.owner[use]
-            columns = [*[k[a:b][owner] for k in keys], (use - u.first[owner]).astype(np.int32), u.d1[use], u.d2[use]]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["k1", "k2", "rank", "unit", "d1", "d2"])
+            columns = (num + a + owner, use - u.first[owner], u.d1[use], u.d2[use])
+            yield pa.record_batch([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], *[pa.nulls(len(use), k) for k in kinds[4:]]], names=[c.split()[0] for c in UNITS.split(", ")])
+        named = [pa.array(num + np.arange(n)), pa.array(np.full(n, -1), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *batch.columns[:3]]
+        yield pa.record_batch(named, names=[c.split()[0] for c in UNITS.split(", ")])
+        num += n
 
 
 def _spans(u: Units, a: int, b: int, repeated: np.ndarray, least_run: int) -> list[tuple[int, int]]:
@@ -266,12 +272,16 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rank = F.coalesce(own_id.cast("long"), F.lit(2**63 - 1))
     texts = keyed.select(F.col(f"`{key}`.k1"), F.col(f"`{key}`.k2"), rank.alias("rank"), text.alias("text")).filter("text is not null")
     listed = materialise(texts.mapInArrow(_listed, UNITS), "units")
-    order = F.struct("rank", "k1", "k2")
-    several = listed.groupBy("d1", "d2").agg(F.min(order).alias("least"), F.count("*").alias("n")).filter("n > 1")
-    digest = F.struct("d1", "d2").alias("digest")
-    found = attach(listed.select(digest, "k1", "k2", "rank", "unit"), several.select(digest, "least"), "digest").filter(order > F.col("least"))
-    flagged = materialise(found.groupBy("k1", "k2").agg(F.collect_set("unit").alias("repeats")).select(F.struct("k1", "k2").alias(key), F.col("repeats").alias(removed)), "repeats")
+    found = listed.filter("unit >= 0")
+    several = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    digest, order = F.struct("d1", "d2").alias("digest"), F.struct("rank", "k1", "k2")
+    shared = attach(found.select(digest, "num", "unit"), several.select(digest), "digest")
+    shared = materialise(shared.join(listed.filter("unit < 0").select("num", "k1", "k2", "rank"), "num").drop("num"), "shared")
     discard(listed)
+    least = shared.groupBy("digest").agg(F.min(order).alias("least"))
+    again = attach(shared, least, "digest").filter(order > F.col("least"))
+    flagged = materialise(again.groupBy("k1", "k2").agg(F.collect_set("unit").alias("repeats")).select(F.struct("k1", "k2").alias(key), F.col("repeats").alias(removed)), "repeats")
+    discard(shared)
     joined = keyed.join(flagged, key, "left").select(*[f"`{c}`" for c in docs.columns], f"`{removed}`")
     shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{removed}` {REMOVED}"])
     return joined.mapInArrow(_cleaned(docs.columns.index(text_col), least_run), shape)
