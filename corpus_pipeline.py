@@ -2,42 +2,71 @@
 
 Each stage reads what the one before it wrote, works on all of it and, but for the last,
 returns the columns of documents. Stages call the operators of ``spanforge.llm`` with
-their production parameters; shingles have five words here.
+their production parameters; shingles have five words here. A stage starts when its
+predecessor's result has been written, so it first deletes the intermediate tables that
+the predecessor left; ``run`` deletes a stage's result once the next one is written.
+
+Defined results: a document without a text or with an empty one fails the base counts and
+goes; without any labelled document languages reject nothing; of equal or repeated rows,
+with an id or without, one stays (the least doc_id, then one of the least text hash);
+ties are decided by doc_id and text alone; an empty table gives an empty result; further
+columns of whatever names pass through all stages but the last, which gives pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import fertility, language, minhash, packing, passages
-from spanforge.llm.storage import table_path
+from spanforge.llm.storage import recorded, remove, table_path
 
+#: Intermediate tables of the stage that ran last.
+_left: list[str] = []
 
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, *_left)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _left[:] = made
+        return out
+
+    return run_one
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base counts and the fertility bands."""
     return fertility.keep_good(docs)
 
 
+@_stage
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that a model of their own labels recognises; all of them if none has a label."""
     model = language.train(docs)
     return language.keep_recognised(docs, model) if model.languages else docs
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of the least doc_id."""
     return minhash.keep_one(docs)
 
 
+@_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; character counts follow."""
     left = passages.drop_repeats(docs, removed_col="removed_spans").select(*[f"`{c}`" for c in docs.columns])
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
+@_stage
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left in sequences of 1024 tokens."""
     return packing.pack(docs)
@@ -57,9 +86,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         path = table_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
