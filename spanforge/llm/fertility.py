@@ -7,13 +7,16 @@ many distinct tokens, 1,024 at most, would have; prose uses up that share as it
 longer, so the least one of a script that was measured follows the number of tokens.
 
 Defined results: a null text counts as empty (all counts 0, base failed, rejected);
-repeated rows are measured each for itself; an empty table gives no rows; only ``doc_id``
-and ``text`` are read for the measures, so extra columns cannot clash.
+repeated rows are measured each for itself; ties cannot arise, as every row is judged
+alone; a very long text is measured whole, in memory in proportion to its length; an empty
+table gives no rows; the measures read only ``doc_id`` and ``text`` and name their output
+columns themselves, so extra columns and clashing names change nothing.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +25,11 @@ from pyspark.sql import DataFrame
 
 from spanforge.llm import bpe
 from spanforge.llm.storage import with_clear_names
+from spanforge.llm.words import word_hashes
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+BLANK = "▁"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -61,30 +66,21 @@ MOST_DIGITS = 0.15
 COLUMNS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "script": pa.string(), "chars_per_token": pa.float64(), "chars_per_piece": pa.float64(), "byte_share": pa.float64(), "entropy_share": pa.float64(), "reject_reason": pa.string(), "kept": pa.bool_()}
 DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, script string, chars_per_token double, chars_per_piece double, byte_share double, entropy_share double, reject_reason string, kept boolean"
 
-_rng = np.random.default_rng(20)
-_SLOT = _rng.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
+_SLOT = np.random.default_rng(20).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
+#: Words whose pieces a worker remembers.
+REMEMBERED = 200_000
+_BLANKS_AND_WORD = re.compile(" +[^ ]*")
 _loaded: dict = {}
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def repeated_words(words: list[bytes]) -> int:
-    """Words that lie in windows of eight words found at least twice, the first one included."""
+def repeated_words(words: np.ndarray) -> int:
+    """Words that lie in windows of eight words found at least twice, the first one included; ``words`` are hashes."""
     n = len(words) - WINDOW + 1
     if n < 2:
         return 0
-    number: dict[bytes, int] = {}
-    ids = _mixed(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.uint64))
-    if len(number) == len(words):
-        return 0
-    h = ids[:n] * _SLOT[0]
+    h = words[:n] * _SLOT[0]
     for j in range(1, WINDOW):
-        h += ids[j : j + n] * _SLOT[j]
+        h += words[j : j + n] * _SLOT[j]
     order = np.argsort(h)
     same = h[order[1:]] == h[order[:-1]]
     if not same.any():
@@ -101,7 +97,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
-    words = text.encode().split()  # bytes split at the six blanks and at nothing else
+    words = word_hashes(text, fold=False)
     seen: set[str] = set()
     dups = 0
     for line in text.split("\n"):
@@ -136,12 +132,54 @@ def main_script(text: str) -> str:
     return max(sorted(total), key=total.get)
 
 
-def _pieces(folder: str | None):
-    if folder not in _loaded:
+class Pieces:
+    """Counts of pieces and of byte pieces by the piece vocabulary.
+
+    No piece spans the start of a blank run, so a text's pieces are those of its words,
+    each with the blanks before it; what a word gives is remembered.
+    """
+
+    def __init__(self, folder: str | None):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path("piece_bpe_32k", ".model", folder))
-        _loaded[folder] = model, np.array([model.is_byte(i) for i in range(model.vocab_size())])
+        self.model = sentencepiece.SentencePieceProcessor(model_file=bpe.vocabulary_path("piece_bpe_32k", ".model", folder))
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
+        self.starts = np.array([self.model.id_to_piece(i).startswith(BLANK) for i in range(self.model.vocab_size())])
+        self.known: dict[str, int] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        plain = [w for w in new if w and " " not in w]
+        if plain:  # each begins with a piece of its own, so one call does for all
+            ids = np.array(self.model.encode(" ".join(plain)))
+            first = np.flatnonzero(self.starts[ids])
+            whole = np.diff(first, append=len(ids)) + (np.add.reduceat(self.is_byte[ids], first, dtype=np.int64) << 32)
+            self.known.update(zip(plain, whole.tolist(), strict=True))
+        for word in new:
+            if word not in self.known:
+                ids = self.model.encode(word)
+                # the encoder puts one blank in front, and gives nothing for that alone
+                self.known[word] = (len(ids) or 1) + (int(np.count_nonzero(self.is_byte[ids])) << 32 if ids else 0)
+
+    def counts(self, text: str) -> tuple[int, int]:
+        """Pieces and byte pieces of a whole text."""
+        if not text:
+            return 0, 0
+        led = f" {text}".replace(BLANK, " ")  # the vocabulary's own sign for a blank
+        words = [m[1:] for m in _BLANKS_AND_WORD.findall(led)] if "  " in led else led.split(" ")[1:]
+        try:
+            total = sum(map(self.known.__getitem__, words))
+        except KeyError:
+            self._learn(set(words))
+            total = sum(map(self.known.__getitem__, words))
+        return total & 0xFFFFFFFF, total >> 32
+
+
+def _pieces(folder: str | None) -> Pieces:
+    if folder not in _loaded:
+        _loaded[folder] = Pieces(folder)
     return _loaded[folder]
 
 
@@ -171,10 +209,9 @@ def measure_text(text: str | None, bands=BANDS, folder: str | None = None) -> tu
     n_words, word_chars, n_symbols, dups, repeats = base_counts(text)
     failed = n_words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n_words
     ids = bpe.load(folder=folder).ids(text)
-    model, is_byte = _pieces(folder)
-    pieces = np.asarray(model.encode(text), dtype=np.int64)
-    per_token, per_piece = len(text) / max(1, len(ids)), len(text) / max(1, len(pieces))
-    share = float(is_byte[pieces].mean()) if len(pieces) else 0.0
+    pieces, bytes_ = _pieces(folder).counts(text)
+    per_token, per_piece = len(text) / max(1, len(ids)), len(text) / max(1, pieces)
+    share = bytes_ / max(1, pieces)
     entropy, script = entropy_share(ids), main_script(text)
     reason = "base" if failed else verdict(script, per_token, share, entropy, bands, least_share(script, text, len(ids)))
     return n_words, word_chars, n_symbols, dups, repeats, failed, script, per_token, per_piece, share, entropy, reason, reason is None

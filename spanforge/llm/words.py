@@ -36,9 +36,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased, in text order."""
-    data = np.frombuffer((text or "").encode().lower(), dtype=np.uint8)
+def word_hashes(text: str | None, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased unless ``fold`` is off, in text order."""
+    raw = (text or "").encode()
+    data = np.frombuffer(raw.lower() if fold else raw, dtype=np.uint8)
     if not len(data):
         return np.empty(0, dtype=np.uint64)
     if len(data) >= len(_powers[0]):

@@ -1,9 +1,15 @@
+import math
 import re
+from collections import Counter
 
+import public_tokenizers
+import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from spanforge.llm.fertility import DDL, base_counts, keep_good, main_script, measure, op1_fertility, verdict
+from spanforge.llm.fertility import BANDS, DDL, LEAST_ENTROPY, base_counts, keep_good, main_script, measure, measure_text, op1_fertility, verdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,3 +66,46 @@ def test_bands_reject_labelled_junk_and_keep_clean_documents(spark):
     junk, clean = ([r for r in past_base if quality[r.doc_id] == q] for q in (0, 1))
     assert sum(not r.kept for r in junk) > 0.9 * len(junk) > 20
     assert sum(r.kept for r in clean) > 0.98 * len(clean)
+
+
+def fertility_of(text, tokenizer, model):
+    """Script aside, the measures of a text by other tools: characters per token and per piece, byte share, entropy share."""
+    ids, pieces = tokenizer.encode(text, add_special_tokens=False).ids, model.encode(text)
+    p = [n / len(ids) for n in Counter(ids).values()]
+    entropy = -sum(x * math.log(x) for x in p) / math.log(min(len(ids), 1024)) if len(ids) > 1 else 1.0
+    return len(text) / max(1, len(ids)), len(text) / max(1, len(pieces)), sum(model.is_byte(i) for i in pieces) / max(1, len(pieces)), entropy
+
+
+@pytest.fixture(scope="module")
+def tools():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@settings(max_examples=100, deadline=None)
+@given(text=st.lists(st.sampled_from(["a", "word", " ", "  ", "é", "日", "𓀀", "\n", "\t", "▁", "Wort", "\0", "x1", "</s>", "\u00a0"]), max_size=40).map("".join))
+def test_pieces_are_those_of_the_words(tools, text):
+    assert measure_text(text)[7:11] == pytest.approx(fertility_of(text, *tools), abs=1e-9)
+
+
+def test_query_equals_other_tools(spark, sf, tools):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op1_fertility(spark, sf).collect():
+        want = fertility_of(texts[r.doc_id], *tools)
+        assert (r.chars_per_token, r.chars_per_piece, r.byte_share, r.entropy_share) == pytest.approx(want, abs=1e-9)
+        n = len(tools[0].encode(texts[r.doc_id], add_special_tokens=False).ids)
+        line, digits = LEAST_ENTROPY["latin"], sum(map(texts[r.doc_id].count, "0123456789"))
+        floor = 0.0
+        if digits <= 0.15 * len(texts[r.doc_id]):
+            x = [math.log(a) for a, _ in line]
+            k = max(0, min(len(line) - 2, sum(v <= math.log(max(1, n)) for v in x) - 1))
+            share = min(1.0, max(0.0, (math.log(max(1, n)) - x[k]) / (x[k + 1] - x[k])))
+            floor = line[k][1] + share * (line[k + 1][1] - line[k][1])
+        low, high, most, least = BANDS[r.script]
+        assert r.kept == (not r.base_failed and low <= want[0] <= high and want[2] <= most and want[3] >= max(least, floor) - 1e-12)
+
+
+def test_ties_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h " * 3, 5, "x"), (1, "a b c d e f g h " * 3, 6, "y")], "doc_id long, text string, script int, entropy_share string")
+    got = measure(docs).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].n_repeat_words == 24
+    assert keep_good(docs).columns == docs.columns
