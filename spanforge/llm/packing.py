@@ -2,14 +2,18 @@
 
 A document becomes its token ids and a closing id 0. Ids beyond whole sequences are the
 document's remainder; each whole sequence is a piece of its own. Pieces go to random
-groups of about ``group_docs`` documents' worth, whatever document they come from, so a
-document of any length and any number of equal rows spread over all groups. In a group,
-pieces in falling order of length go to the first bin with room: a tournament tree over
-bin capacities finds it in log time.
+groups of about ``group_docs`` documents' worth: a keyed hash of doc_id, ids and start
+decides, so that any order of rows, any partitions and any retried task give the same
+groups. Only a row equal to an earlier one of its task is told apart by its number there,
+so equal rows spread too, and a group holds one copy of a row for each task at most beside
+its share. In a group, pieces in falling order of length go to the first bin with room: a
+tournament tree over bin capacities finds it in log time.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed once
-for each row; an empty table gives no rows; only ``doc_id`` and ``text`` are read, so
-further columns, whatever their names, change nothing. A null doc_id stays null.
+for each row; ties in length go by doc_id, start and checksum; a text of any length is cut
+into pieces that spread over the groups; an empty table gives no rows; only ``doc_id`` and
+``text`` are read, so further columns, whatever their names, change nothing. A null doc_id
+stays null.
 """
 
 from __future__ import annotations
@@ -19,11 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import bpe
 from spanforge.llm.storage import with_clear_names
+from spanforge.llm.words import mixed
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -77,23 +84,32 @@ def document_ids(text: str | None, vocabulary: str) -> np.ndarray:
 
 def _cut(vocabulary: str, capacity: int, groups: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)  # the same rows in the same order give the same groups on a retry
+        part, times = TaskContext.get().partitionId(), {}
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
+            keys: list[int] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = memoryview(document_ids(text.as_py(), vocabulary).tobytes())
                 n = len(raw) // 4
+                key = xxhash.xxh3_64_intdigest(f"{doc_id}", xxhash.xxh3_64_intdigest(raw, seed))
+                copy = times[key] = times.get(key, -1) + 1
+                if copy:
+                    key = xxhash.xxh3_64_intdigest(f"{part}/{copy}", key)
                 for start in range(0, n, capacity):
-                    part = raw[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+                    piece = raw[4 * start : 4 * (start + capacity)]
+                    keys.append(key)
+                    for column, value in zip(out, (doc_id, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
                         column.append(value)
-            yield pa.record_batch([*[pa.array(x, pa.int64()) for x in out], pa.array(rng.integers(0, groups, len(out[0])), pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
+            spread = mixed(np.array(keys, dtype=np.uint64) + np.array(out[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.record_batch([*[pa.array(x, pa.int64()) for x in out], pa.array((spread % np.uint64(groups)).astype(np.int64))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "grp"])
 
     return run
 
 
 def _pack_group(capacity: int):
     def run(table: pa.Table) -> pa.Table:
+        if table.num_rows >= 1 << BIN_BITS:
+            raise ValueError("a group has more pieces than its bins can be numbered; lower group_docs")
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = first_fit_decreasing(table["length"].to_numpy(), capacity)
         ids = table["grp"].to_numpy() << BIN_BITS | bins

@@ -55,3 +55,20 @@ def test_pieces_hold_every_id_once(spark):
 def test_little_padding(spark, sf):
     got = pack(spark.read.parquet(f"{sf}/documents.parquet")).toPandas()
     assert got.length.sum() / (got.sequence_id.nunique() * 1024) > 0.97
+
+
+def test_groups_are_even_whatever_the_partitions(spark):
+    rows = [(i, f"text {i} " + "word " * (i % 37)) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (pack(docs.repartition(n), capacity=64, group_docs=40).toPandas() for n in (3, 200))
+    sizes = many.groupby(many.sequence_id // 2**24).size()
+    assert len(sizes) == 100 and sizes.max() < 3 * sizes.mean()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert sorted(one[names].itertuples(index=False)) == sorted(many[names].itertuples(index=False))
+
+
+def test_equal_rows_spread_over_groups(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) doc_id", "'the very same text' text").coalesce(2)
+    got = pack(docs, capacity=64, group_docs=100).toPandas()
+    sizes = got.groupby(got.sequence_id // 2**24).size()
+    assert len(got) == 3000 and len(sizes) == 30 and sizes.max() < 200
