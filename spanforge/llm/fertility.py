@@ -68,7 +68,7 @@ DDL = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat
 
 _SLOT = np.random.default_rng(20).integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 #: Words whose pieces a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 _BLANKS_AND_WORD = re.compile(" +[^ ]*")
 _loaded: dict = {}
 
