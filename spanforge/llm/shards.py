@@ -11,21 +11,29 @@ on anywhere.
 
 Texts are encoded twice: once for the index, which gives the counts, and once for the
 shards, whose records move in a single shuffle. Keeping the ids between the two would
-save the second encoding for once more the size of the ids on disk. Both passes scan the
-same rows in the same partitions, as file scans do; a task that meets other rows than
-the index has fails. Only the first number of each partition is sent to the tasks.
+save the second encoding for once more the size of the ids on disk. Both passes must meet
+the same rows in the same order in the same partitions, as file scans do: the index gives
+a mark of each partition's records in their order, and a task whose records have another
+mark fails instead of writing shards that disagree with the index; write shuffled input to
+a table first. Only the first number, the count and the mark of each partition are sent to
+the tasks.
 
 Files are written by the engine's own text writer with its committer, so a lost task
 leaves no half shard: a record is the bytes of its ids but the last one, and the record
 separator is the byte 0, which is the high byte of the closing id.
 
-Defined results: a null or empty text gives one sequence with no id but the closing one;
-repeated rows give equal sequences in slots of their own; an empty table gives no rows
-and no shard; only ``doc_id`` and ``text`` are read.
+A reader lists the files, opens those from the wanted shard on and no earlier one.
+
+Defined results: a null or empty text gives one sequence with no id but the closing one; a
+text of any length gives as many sequences as its ids fill; repeated rows give equal
+sequences in slots of their own, and there are no ties, as slots are a permutation; an
+empty table gives no rows and no shard; only ``doc_id`` and ``text`` are read, so extra
+columns with clashing names change nothing.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +49,7 @@ from spanforge.llm import bpe
 from spanforge.llm.storage import materialise, table_path, with_clear_names
 from spanforge.llm.words import mixed
 
+SEQUENCES = "slot long, crc32 long, ids array<int>"
 INDEX = "doc_id long, seq int, n_tokens int, crc32 long, part int, ordinal long"
 ROUNDS = 4
 
@@ -77,6 +86,11 @@ def _sequences(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int,
         yield out
 
 
+def marks(ordinal, crc):
+    """A number under 2**53 for each record that its place and its checksum decide; xor sums them up."""
+    return crc * (ordinal % (1 << 20) * 2 + 1)
+
+
 def _index(vocabulary: str, length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
@@ -93,16 +107,18 @@ def _index(vocabulary: str, length: int, width: int):
 def _records(vocabulary: str, length: int, width: int, starts, total: int, key: int, shard_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), 0
-        first, expected = starts.value.get(part, (0, 0))
+        first, expected, mark = starts.value.get(part, (0, 0, 0))
         for rows in _sequences(batches, vocabulary, length, width):
             n = len(rows)
             if done + n > expected:
                 raise RuntimeError("the scan gave other rows than it gave for the index")
             slots = feistel(first + done + np.arange(n), total, key)
+            crc = np.fromiter((zlib.crc32(r[3]) for r in rows), dtype=np.int64, count=n)
+            mark ^= int(np.bitwise_xor.reduce(marks(np.arange(done, done + n), crc), initial=0))
             done += n
             yield pa.record_batch([pa.array((slots // shard_rows).astype(np.int32)), pa.array(slots), pa.array([r[3][:-1] for r in rows], pa.binary())], names=["shard", "slot", "payload"])
-        if done != expected:
-            raise RuntimeError("the scan gave fewer rows than it gave for the index")
+        if done != expected or mark:
+            raise RuntimeError("the scan gave other rows than it gave for the index")
 
     return run
 
@@ -114,8 +130,9 @@ def training_order(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     own = with_clear_names(docs, {"doc_id": id_col, "text": text_col})
     index = materialise(own.mapInArrow(_index(vocabulary, length, width), INDEX), "index")
     starts, total = {}, 0
-    for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row per task of the scan
-        starts[r["part"]] = (total, r["n"])
+    of_part = [F.count(F.lit(1)).alias("n"), F.bit_xor(marks(F.col("ordinal"), F.col("crc32"))).alias("mark")]
+    for r in index.groupBy("part").agg(*of_part).orderBy("part").collect():  # a row per task of the scan
+        starts[r["part"]] = (total, r["n"], r["mark"])
         total += r["n"]
     shared = spark.sparkContext.broadcast(starts)
     if total:
@@ -146,9 +163,12 @@ def read_from(spark: SparkSession, path: str, slot: int = 0, *, length: int = 51
                     ids = rows.view("<u2" if width == 2 else "<u4").astype(np.int32)
                     yield pa.record_batch([pa.array(shard * shard_rows + at + np.arange(len(rows))), pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64()), pa.array(list(ids), pa.list_(pa.int32()))], names=["slot", "crc32", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    numbered = files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "content").filter(F.col("shard") >= slot // shard_rows)
-    return numbered.mapInArrow(run, "slot long, crc32 long, ids array<int>")
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+    wanted = [f for f in parts.load(path).inputFiles() if int(re.search(r"part-(\d+)-", f)[1]) >= slot // shard_rows]
+    if not wanted:
+        return spark.createDataFrame([], SEQUENCES)
+    numbered = parts.load(wanted).select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "content")
+    return numbered.mapInArrow(run, SEQUENCES)
 
 
 def op3_training_order(spark, sf_dir: str) -> DataFrame:

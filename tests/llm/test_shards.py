@@ -1,10 +1,14 @@
+import os
+import zlib
+
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spanforge.llm import bpe
-from spanforge.llm.shards import feistel, read_from, training_order
+from spanforge.llm.shards import feistel, op3_training_order, read_from, training_order
 
 
 @settings(max_examples=60, deadline=None)
@@ -42,3 +46,55 @@ def test_shards_hold_every_sequence_at_its_place(spark, tmp_path, shard_rows):
 
 def test_empty_table(spark, tmp_path):
     assert training_order(spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/none").count() == 0
+
+
+def test_resuming_opens_no_earlier_shard(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    index = training_order(docs, f"{tmp_path}/out", length=32, shard_rows=16).collect()
+    early = [f for f in (tmp_path / "out").glob("part-*") if int(f.name[5:10]) < 4]
+    assert len(early) == 4
+    for f in early:
+        f.write_bytes(b"broken")
+    assert sorted(r.slot for r in read_from(spark, f"{tmp_path}/out", 70, length=32, shard_rows=16).collect()) == list(range(70, len(index)))
+    assert read_from(spark, f"{tmp_path}/out", 5000, length=32, shard_rows=16).count() == 0
+
+
+def test_a_scan_that_changes_fails(spark, tmp_path):
+    unstable = spark.range(400).mapInPandas(lambda parts: (p.assign(doc_id=p.id, text=[os.urandom(6).hex() for _ in p.id])[["doc_id", "text"]] for p in parts), "doc_id long, text string")
+    with pytest.raises(Exception, match="other rows"):
+        training_order(unstable, f"{tmp_path}/out", length=32, shard_rows=16)
+
+
+def plain_slot(x, n, key):
+    """Four Feistel rounds over the halves of the least even number of bits, again until the value is under n."""
+    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x % 2**half
+        for r in range(4):
+            h = (right + xxhash.xxh3_64_intdigest(f"{key}/{r}/{n}")) % 2**64
+            h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+            left, right = right, left ^ ((h ^ (h >> 31)) % 2**half)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_query_equals_a_plain_loop(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").coalesce(1).collect()
+    encoder, want = bpe.load(), {}
+    for r in rows:
+        ids = encoder.ids(r.text).tolist()
+        for seq in range(max(1, -(-len(ids) // 511))):
+            part = ids[seq * 511 : (seq + 1) * 511]
+            want[r.doc_id, seq] = (len(part), zlib.crc32(np.array(part + [0] * (512 - len(part)), "<u2").tobytes()))
+    got = op3_training_order(spark, sf).collect()
+    assert {(r.doc_id, r.seq): (r.n_tokens, r.crc32) for r in got} == want
+    order = {(r.doc_id, r.seq): r.slot for r in got}
+    number = {slot: x for x in range(len(want)) for slot in [plain_slot(x, len(want), 77)]}
+    assert sorted(order.values()) == list(range(len(want)))
+    # numbers run through the documents of each scan partition in turn
+    runs = [number[order[r.doc_id, 0]] for r in rows]
+    lengths = [sum(1 for d, _ in want if d == r.doc_id) for r in rows[:60]]
+    assert all(b - a == n for a, b, n in zip(runs[:59], runs[1:60], lengths, strict=False))
+    assert all(r.shard == r.slot // 16_384 and r.byte_offset == r.slot % 16_384 * 1024 for r in got)
