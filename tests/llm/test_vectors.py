@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import numpy as np
 import pytest
@@ -55,3 +57,19 @@ def test_query_equals_sql(spark, sf):
     got = op10_hnsw(spark, sf)
     assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(OP10_SQL).fetchall())
     assert got.columns == duckdb.sql(OP10_SQL).columns
+
+
+@pytest.mark.parametrize("sizes", [{"block_rows": 40, "chunk_rows": 150, "least_shards": 5}, {"least_shards": 1}])
+def test_large_cluster_in_blocks_counts_both_ends(spark, sizes):
+    rng = np.random.default_rng(12)
+    cluster = np.ones(16) + 0.33 * rng.normal(size=(300, 16))
+    rows = list(enumerate([*cluster.tolist(), *rng.normal(size=(200, 16)).tolist(), *[[-0.0, 1.0], [0.0, 1.0], [1.0, 0.0]], *cluster[:5].tolist()]))
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), **sizes).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
+    assert sum(r.n_links for r in got) % 2 == 0
+
+
+def test_the_edge_of_the_threshold(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9 + 1e-9, math.sqrt(1 - (0.9 + 1e-9) ** 2)]), (3, [0.9 - 1e-9, math.sqrt(1 - (0.9 - 1e-9) ** 2)]), (4, [-1.0, 0.0])]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert (got[2].n_links, got[3].n_links, got[4].n_links) == (2, 1, 0)
