@@ -10,21 +10,25 @@ segmentations come in falling order of their perturbed scores: a sample without
 replacement. With the next score kappa as threshold, a segmentation of probability p has
 the inclusion score 1 - exp(-p * exp(-kappa)); it is given as its logarithm.
 
-No piece spans the start of a blank run, so the lattice of a text is a chain of lattices
-of segments (a run of blanks and what follows it). Segments are built once and kept in a
-bounded table; all segments of a block of texts are walked together.
+No piece spans the start of a blank run (a vocabulary where one does is refused), so the
+lattice of a text is a chain of lattices of segments (a run of blanks and what follows
+it). Segments are told by 64-bit hashes, built once and kept in a bounded table; all
+segments of a block of texts are walked together. Every sample is checked: ``round_trip``
+says by a 64-bit hash that its pieces spell the text, where the vocabulary's sign for a blank counts as one.
 
 Random numbers are hashes of (seed, row key, sample, segment, step) and of nothing else.
 
 Defined results: a null or empty text has one segmentation, empty, with probability 1 and
 inclusion 1 (log 0.0); fewer than k segmentations give all of them; repeated rows give the
-same samples; an empty table gives no rows; only ``doc_id`` and ``text`` are read.
+same samples, as the key is the doc_id; equal scores keep the order in which they came;
+any character, U+0000 included, is a piece or its bytes; a text of any length is one
+lattice, in memory in proportion to it; an empty table gives no rows; only ``doc_id`` and
+``text`` are read, so extra columns with clashing names change nothing.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,18 +38,15 @@ from pyspark.sql import DataFrame
 
 from spanforge.llm import bpe
 from spanforge.llm.storage import with_clear_names
-from spanforge.llm.words import mixed
+from spanforge.llm.words import mixed, powers
 
 BLANK = "▁"
-WIDTH = 16
 #: Texts walked together hold about so many characters.
 BLOCK_CHARS = 1_000_000
 #: A group further than this below another cannot win: a 53-bit uniform bounds a Gumbel to (-3.7, 37).
 HOPELESS = 45.0
 SAMPLES = "doc_id long, sample int, n_pieces long, log_prob double, gumbel double, log_inclusion double, round_trip boolean, ids array<int>"
-_SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
 _G = np.uint64(0x9E3779B97F4A7C15)
-_POWER = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(WIDTH)], dtype=np.uint64)
 _loaded: dict = {}
 
 
@@ -54,7 +55,15 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str], ranks: list[float], byte_ids: dict[int, int], alpha: float):
         byte_set = set(byte_ids.values())
-        names = {p: i for i, p in enumerate(pieces) if 0 < len(p) <= WIDTH and i not in byte_set}
+        names = {p: i for i, p in enumerate(pieces) if p and i not in byte_set}
+        if any(BLANK in p.lstrip(BLANK) for p in names):
+            raise ValueError("a piece spans the start of a blank run")
+        self.width = max(map(len, names), default=1)
+        # as many pieces begin at one place as one piece has beginnings that are pieces, and a character alone
+        self.choices = max((sum(p[:e] in names for e in range(2, len(p) + 1)) for p in names), default=0) + 1
+        self.power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(self.width)], dtype=np.uint64)
+        self.length = np.array([len(p) if i not in byte_set else 0 for i, p in enumerate(pieces)], dtype=np.int64)
+        self.spelling = np.array([0 if i in byte_set else self._spelling(p) for i, p in enumerate(pieces)], dtype=np.uint64)
         for p in list(names):  # beginnings of pieces are marked, so that a search stops where no piece goes on
             for end in range(1, len(p)):
                 names.setdefault(p[:end], -1)
@@ -65,16 +74,15 @@ class Vocabulary:
         self.first = np.searchsorted(slots, np.arange(1 << 20)).astype(np.int32)
         self.deepest = int(np.bincount(slots, minlength=1).max()) if names else 0
         self.log_weight = np.array([-alpha * math.log(r + 3.0) for r in ranks])
-        self.byte_ids = byte_ids
+        self.byte_ids = np.array([byte_ids.get(b, -1) for b in range(256)], dtype=np.int32)
         self.texts = [p.replace(BLANK, " ").encode() for p in pieces]
         for b, i in byte_ids.items():
             self.texts[i] = bytes([b])
         self.fallback_weight = -alpha * math.log(len(pieces) + 3.0)
 
-    @staticmethod
-    def _hash(piece: str) -> int:
-        points = np.frombuffer(piece.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-        return int(mixed(np.array([int((points * _POWER[: len(points)]).sum()) * len(points) % 2**64], dtype=np.uint64))[0])
+    def _hash(self, piece: str) -> int:
+        points = np.frombuffer(piece.encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1)
+        return int(mixed(np.array([int((points * self.power[: len(points)]).sum()) * len(points) % 2**64], dtype=np.uint64))[0])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash; -1 for a mere beginning of one, -2 for neither."""
@@ -91,6 +99,15 @@ class Vocabulary:
                 break
         return out
 
+    @staticmethod
+    def _spelling(piece: str) -> int:
+        points = np.frombuffer(piece.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        return int((mixed(points) * powers(len(points) + 1)[0][: len(points)]).sum())
+
+    def sizes(self, codes: np.ndarray) -> np.ndarray:
+        """Characters that each code spells."""
+        return np.where(codes < 0, 1, self.length[np.maximum(codes, 0)]) if codes.min(initial=0) < 0 else self.length[codes]
+
     def decode(self, ids) -> str:
         """Text of a list of ids; the blank that encoding puts in front is taken away."""
         return b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
@@ -110,83 +127,140 @@ def load(alpha: float = 1.0, folder: str | None = None) -> Vocabulary:
     return _loaded[key]
 
 
+def bare_code(points: np.ndarray) -> np.ndarray:
+    """Codes of characters without a piece, all under -1."""
+    return -2 - points.astype(np.int64)
+
+
+class Segments:
+    """Segments of a block of texts, each led by a blank: places in the block's code points, hashes, owners."""
+
+    def __init__(self, texts: list[str]):
+        led = [BLANK + t for t in texts if t]
+        self.points = np.frombuffer("".join(led).replace(" ", BLANK).encode("utf-32-le"), dtype="<u4")
+        size = np.fromiter((len(t) + 1 if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+        self.text = np.concatenate(([0], np.cumsum(size)))
+        blank = self.points == ord(BLANK)
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[self.text[:-1][size > 0]] = True
+        self.start = np.flatnonzero(begins)
+        self.size = np.diff(self.start, append=len(self.points))
+        self.first = np.searchsorted(self.start, self.text)  # first segment of each text, and their number
+        up, down = powers(len(self.points) + 1)
+        sums = np.zeros(len(self.points) + 1, dtype=np.uint64)
+        np.cumsum(mixed(self.points.astype(np.uint64)) * up[: len(self.points)], out=sums[1:])
+        self.whole = sums[self.text[1:]] - sums[self.text[:-1]]  # for each text
+        self.hash = mixed((sums[self.start + self.size] - sums[self.start]) * down[self.start] + self.size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Lattices:
-    """Lattice nodes of the segments seen so far; choice c at a node is the piece of c + 1 characters. Emptied when full."""
+    """Lattice nodes of the segments seen so far, each with the pieces that begin there, the shortest first. Emptied when full."""
 
     def __init__(self, vocabulary: Vocabulary, nodes: int = 1_000_000):
         self.v, self.capacity = vocabulary, nodes
         self._clear(nodes)
 
     def _clear(self, nodes: int) -> None:
-        self.base: dict[str, int] = {}
-        self.used = 0
-        self.cum = np.empty((nodes, WIDTH), dtype=np.float32)
-        self.log_q = np.empty((nodes, WIDTH), dtype=np.float32)
-        self.piece = np.empty((nodes, WIDTH), dtype=np.int32)
+        self.known, self.base = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.used, width = 0, self.v.choices
+        self.cum = np.empty((nodes, width), dtype=np.float32)
+        self.both = np.empty((nodes, width, 2), dtype=np.int32)  # code and log_q side by side: one access gives both
+        self.piece, self.log_q = self.both[:, :, 0], self.both.view(np.float32)[:, :, 1]
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.known, hashes)
+        return np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
 
-    def bases(self, segments: list[str]) -> np.ndarray:
+    def bases(self, segments: Segments) -> np.ndarray:
         """First node of each segment, all valid together."""
-        found = list(map(self.base.get, segments))
-        new = dict.fromkeys(s for s, f in zip(segments, found, strict=True) if f is None) if None in found else {}
-        if not new:
-            return np.array(found, dtype=np.int64)
-        need = sum(map(len, new)) + len(new)
+        if not len(segments.hash):
+            return np.empty(0, np.int64)
+        hashes, where, of = np.unique(segments.hash, return_index=True, return_inverse=True)
+        new = self._missing(hashes)
+        need = int(segments.size[where[new]].sum()) + len(new)
         if self.used + need > len(self.cum):
-            new = dict.fromkeys(segments)
-            self._clear(max(self.capacity, sum(map(len, new)) + len(new)))
-        self._add(sorted(new, key=len))
-        return np.fromiter(map(self.base.__getitem__, segments), dtype=np.int64, count=len(segments))
-
-    def _add(self, new: list[str]) -> None:
-        """Lattices and backward sums of all new segments at once; negative pieces stand for a character's bytes."""
-        size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-        base = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+            self._clear(max(self.capacity, int(segments.size[where].sum()) + len(where)))
+            new = np.arange(len(hashes))
+        if len(new):
+            own = where[new]
+            base = self._add(segments.points, segments.start[own], segments.size[own])
+            known, bases = np.concatenate([self.known, hashes[new]]), np.concatenate([self.base, base])
+            order = np.argsort(known, kind="stable")
+            self.known, self.base = known[order], bases[order]
+        return self.base[np.searchsorted(self.known, hashes)][of]
+
+    def _add(self, points: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Lattices and backward sums of new segments, all at once; their first nodes. A segment has a node for each character and one for its end."""
+        v = self.v
+        base = np.cumsum(size + 1) - size - 1
         n = int((size + 1).sum())
-        points = np.frombuffer("\0".join(new).encode("utf-32-le") + b"\0" * 4, dtype="<u4").astype(np.uint64)
-        left = np.repeat(base + size, size + 1) - np.arange(n)
-        weight = np.full((n, WIDTH), -np.inf, dtype=np.float32)
-        piece = np.full((n, WIDTH), -1, dtype=np.int32)
+        place = np.arange(n) - np.repeat(base, size + 1)
+        left = np.repeat(size, size + 1) - place
+        point = points[np.minimum(np.repeat(start, size + 1) + place, len(points) - 1)].astype(np.uint64)
+        mine = slice(self.used, self.used + n)
+        self.piece[mine], self.log_q[mine], self.cum[mine] = -1, -np.inf, 2.0
         rows = np.flatnonzero(left > 0)
         total = np.zeros(len(rows), dtype=np.uint64)
-        for c in range(WIDTH):
+        count = np.zeros(n, dtype=np.int64)
+        edges = []  # by length of the piece: nodes, their choice, code, node behind it
+        for c in range(v.width):
             if not len(rows):
                 break
-            total += points[rows + c] * _POWER[c]
-            found = self.v.find(mixed(total * np.uint64(c + 1)))
-            hit = found >= 0
-            piece[rows[hit], c] = found[hit]
-            weight[rows[hit], c] = self.v.log_weight[found[hit]]
-            on = (found > -2) & (left[rows] > c + 1)
+            total += (point[rows + c] + np.uint64(1)) * v.power[c]
+            found = v.find(mixed(total * np.uint64(c + 1)))
+            if c == 0:
+                hit, code = rows, np.where(found < 0, bare_code(point[rows]), found).astype(np.int32)
+            else:
+                some = np.flatnonzero(found >= 0)
+                hit, code = rows[some], found[some]
+            edges.append((hit, count[hit], code, hit + c + 1))
+            count[hit] += 1
+            on = np.flatnonzero((found > -2) & (left[rows] > c + 1))
             rows, total = rows[on], total[on]
-        bare = np.flatnonzero((left > 0) & (piece[:, 0] < 0))
-        if len(bare):
-            own = points[bare]
-            piece[bare, 0] = -own.astype(np.int64)
-            weight[bare, 0] = self.v.fallback_weight * (1 + (own > 0x7F).astype(int) + (own > 0x7FF) + (own > 0xFFFF))
-        beta = np.full(n + WIDTH, -np.inf)
-        beta[base + size] = 0.0
-        ahead, at = np.arange(1, WIDTH + 1), self.used
-        for d in range(1, int(size.max(initial=0)) + 1):
-            rows = (base + size - d)[np.searchsorted(size, d) :]  # the segments come in rising order of length
-            reach = min(d, WIDTH)
-            w = beta[rows[:, None] + ahead[:reach]]
-            w += weight[rows, :reach]
-            best = w.max(axis=1)
-            w -= best[:, None]
-            share = np.cumsum(np.exp(w.astype(np.float32)), axis=1)
-            whole = share[:, -1:]
-            log_whole = np.log(whole[:, 0].astype(np.float64))
-            beta[rows] = best + log_whole
-            w -= log_whole[:, None]
-            to = rows + at
-            self.log_q[to, :reach] = np.minimum(0.0, w)
-            self.cum[to, :reach] = np.where(share >= whole, np.float32(2.0), share / whole)
-            if d < WIDTH:
-                self.log_q[to, d:] = -np.inf
-                self.cum[to, d:] = 2.0
-        self.piece[at : at + n] = piece
-        self.base.update(zip(new, (base + self.used).tolist(), strict=True))
+
+        # edges by characters left, then by node: the sums run from the ends of all segments to their starts
+        most = int(size.max())
+        order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")[len(size) :]
+        count = count[order]
+        edge = np.concatenate(([0], np.cumsum(count)))
+        of_node = np.empty(n, dtype=np.int64)
+        of_node[order] = edge[:-1]
+        to, weight = np.empty(edge[-1], np.int64), np.empty(edge[-1])
+        places = []
+        for hit, nth, code, behind in edges:
+            at = of_node[hit] + nth
+            places.append(at)
+            to[at] = behind
+            w = v.log_weight[np.maximum(code, 0)]
+            if code.min(initial=0) < 0:
+                alone = code < 0
+                own = -2 - code[alone].astype(np.int64)
+                w[alone] = v.fallback_weight * (1 + (own > 0x7F).astype(int) + (own > 0x7FF) + (own > 0xFFFF))
+            weight[at] = w
+        level = np.searchsorted(left[order], np.arange(1, most + 2))
+        beta, whole = np.zeros(n), np.empty(len(order))
+        for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+            x, y = edge[a], edge[b]
+            w = weight[x:y]
+            w += beta[to[x:y]]
+            heads = edge[a:b] - x
+            best = np.maximum.reduceat(w, heads)
+            w -= np.repeat(best, count[a:b])
+            whole[a:b] = np.add.reduceat(np.exp(w), heads)
+            beta[order[a:b]] = best + np.log(whole[a:b])
+        weight -= np.repeat(np.log(whole), count)
+        share = np.cumsum(np.exp(weight))
+        share -= np.repeat(np.concatenate(([0.0], share))[edge[:-1]], count)
+        share[edge[1:] - 1] = 2.0
+        np.minimum(weight, 0.0, out=weight)
+        for (hit, nth, code, _), at in zip(edges, places, strict=True):
+            flat = (hit + self.used) * v.choices + nth
+            self.both.reshape(-1, 2)[flat] = np.stack([code, weight[at].astype(np.float32).view(np.int32)], axis=1)
+            self.cum.ravel()[flat] = share[at]
+        first = self.used
         self.used += n
+        return base + first
 
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sampled walks from ``node`` to ``end``, all at once: counts of steps, then piece, log_q and node, walk after walk."""
@@ -195,11 +269,13 @@ class Lattices:
         while len(active):
             rows = at[active]
             u = (mixed(key[active] + np.uint64(k * int(_G) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            choice = (self.cum[rows] <= u[:, None]).sum(axis=1)
-            flat = rows * WIDTH + choice
-            steps.append((active, self.piece.ravel()[flat], self.log_q.ravel()[flat], rows))
-            at[active] = rows + choice + 1
-            active = active[at[active] < end[active]]
+            flat = rows * self.v.choices + (self.cum[rows] > u[:, None]).argmax(axis=1)
+            both = self.both.view(np.int64).ravel()[flat].view(np.int32).reshape(-1, 2)
+            code = both[:, 0]
+            steps.append((active, code, both[:, 1].view(np.float32), rows))
+            rows = rows + self.v.sizes(code)
+            at[active] = rows
+            active = active[rows < end[active]]
             k += 1
         counts = np.zeros(len(node), dtype=np.int64)
         for who, *_ in steps:
@@ -276,16 +352,18 @@ class Search:
 
 def sample_block(texts: list[str], keys: list[int], k: int, lattices: Lattices) -> list[list[tuple]]:
     """For each text up to k (piece codes, log probability, perturbed score, log inclusion)."""
-    segments = [_SEGMENT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-    flat = [s for own in segments for s in own]
-    base = lattices.bases(flat)
-    end = base + np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-    first = np.concatenate(([0], np.cumsum([len(x) for x in segments]))).astype(np.int64)
+    return sample_parts(Segments(texts), keys, k, lattices)
+
+
+def sample_parts(parts: Segments, keys: list[int], k: int, lattices: Lattices) -> list[list[tuple]]:
+    """The same for the segments of a block of texts."""
+    base, first = lattices.bases(parts), parts.first
+    end = base + parts.size
     seeds = mixed(np.array(keys, dtype=np.uint64))
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    place = (np.arange(len(flat)) - first[owner]).astype(np.uint64)
+    owner = np.repeat(np.arange(len(keys)), np.diff(first))
+    place = (np.arange(len(base)) - first[owner]).astype(np.uint64)
     searches = [Search(int(x), k) for x in seeds]
-    todo = [(i, -math.log(float(_exponential(seeds[i : i + 1])[0])), None, 0, 0) for i in range(len(texts))]
+    todo = [(i, -math.log(float(_exponential(seeds[i : i + 1])[0])), None, 0, 0) for i in range(len(keys))]
     for s in range(k):
         docs = [x[0] for x in todo]
         starts = [first[i] + skip for i, _, _, skip, _ in todo]
@@ -316,9 +394,10 @@ def sample_block(texts: list[str], keys: list[int], k: int, lattices: Lattices)
                     piece_, log_, rows_ = search.paths[of]
                     row = int(rows_[t])
                     head = (np.append(piece_[:t], lattices.piece[row, choice]), np.append(log_[:t], lattices.log_q[row, choice]), np.append(rows_[:t], row))
-                    # segments never share a node, so the segment of a node is found by counting segment starts on the way
-                    w = int(np.count_nonzero(_starts(rows_[: t + 1], base, first[i], first[i + 1]))) - 1
-                    todo.append((i, score, tuple(head), w, row + choice + 1 - int(base[first[i] + w])))
+                    # the characters spelled so far tell the segment
+                    spelled = int(lattices.v.sizes(piece_[:t]).sum())
+                    w = int(np.searchsorted(parts.start[first[i] : first[i + 1]], parts.text[i] + spelled, side="right")) - 1
+                    todo.append((i, score, tuple(head), w, row + int(lattices.v.sizes(head[0][-1:])[0]) - int(base[first[i] + w])))
     out = []
     for search in searches:
         kappa = max((f[0] for f in search.frontier), default=-math.inf)
@@ -331,26 +410,60 @@ def sample_block(texts: list[str], keys: list[int], k: int, lattices: Lattices)
     return out
 
 
-def _starts(rows: np.ndarray, base: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Steps that begin a segment: walks go through the segments in order, each from its first node."""
-    own, out, w = base[a:b], np.zeros(len(rows), dtype=bool), 0
-    for t, r in enumerate(rows.tolist()):
-        if w < len(own) and r == own[w] and (w == 0 or t > 0):
-            out[t] = True
-            w += 1
-    return out
+def _plain(codes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the bytes of characters that have no piece, and how many ids each code gives."""
+    bare = codes < 0
+    times = np.ones(len(codes), dtype=np.int64)
+    if not bare.any():
+        return codes, times
+    points = (-2 - codes[bare].astype(np.int64)).astype("<u4")
+    times[bare] = 1 + (points > 0x7F).astype(int) + (points > 0x7FF) + (points > 0xFFFF)
+    out = np.repeat(codes, times)
+    out[np.repeat(bare, times)] = vocabulary.byte_ids[np.frombuffer(points.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)]
+    return out, times
 
 
 def plain_ids(codes: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Ids with the bytes of characters that have no piece."""
-    if len(codes) and codes.min() < 0:
-        bare = np.flatnonzero(codes < 0)
-        parts, at = [], 0
-        for i, c in zip(bare.tolist(), codes[bare].tolist(), strict=True):
-            parts += [codes[at:i], np.array([vocabulary.byte_ids[b] for b in chr(-c).encode()], dtype=np.int32)]
-            at = i + 1
-        return np.concatenate([*parts, codes[at:]])
-    return codes
+    return _plain(codes, vocabulary)[0]
+
+
+def _spell(codes: np.ndarray, cuts: np.ndarray, place: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of what the codes of each sample spell when it begins at ``place``, and its number of characters."""
+    size = vocabulary.sizes(codes)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    chars = np.diff(ends[cuts])
+    if not len(codes):
+        return np.zeros(len(chars), np.uint64), chars
+    own = vocabulary.spelling[np.maximum(codes, 0)]
+    bare = codes < 0
+    if bare.any():
+        own[bare] = mixed((-2 - codes[bare].astype(np.int64)).astype(np.uint64))
+    at = ends[:-1] + np.repeat(place - ends[cuts[:-1]], np.diff(cuts))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own * powers(int(at.max()) + 1)[0][at])))
+    return sums[cuts[1:]] - sums[cuts[:-1]], chars
+
+
+def _block_rows(ids: list, parts: Segments, found: list[list[tuple]], vocabulary: Vocabulary) -> pa.RecordBatch:
+    """A row for each sample of the texts of a block."""
+    own = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    flat = [x for samples in found for x in samples]
+    of = np.repeat(np.arange(len(found)), own)
+    size = np.fromiter((len(x[0]) for x in flat), dtype=np.int64, count=len(flat))
+    codes = np.concatenate([*[x[0] for x in flat], np.empty(0, np.int32)]).astype(np.int32)
+    plain, times = _plain(codes, vocabulary)
+    cuts = np.concatenate(([0], np.cumsum(size)))
+    lengths = np.concatenate(([0], np.cumsum(times)))[cuts]
+    spelled, chars = _spell(codes, cuts, parts.text[of], vocabulary)
+    columns = [
+        pa.array([ids[i] for i in of.tolist()], pa.int64()),
+        pa.array((np.arange(len(of)) - (np.cumsum(own) - own)[of] + 1).astype(np.int32)),
+        pa.array(np.diff(lengths)),
+        *[pa.array([x[j] for x in flat], pa.float64()) for j in (1, 2, 3)],
+        pa.array((spelled == parts.whole[of]) & (chars == np.diff(parts.text)[of])),
+        pa.ListArray.from_arrays(pa.array(lengths.astype(np.int32)), pa.array(plain)),
+    ]
+    return pa.record_batch(columns, names=["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "log_inclusion", "round_trip", "ids"])
 
 
 def _sampled(k: int, seed: int, alpha: float, folder: str | None):
@@ -367,17 +480,8 @@ def _sampled(k: int, seed: int, alpha: float, folder: str | None):
                     size += len(texts[to])
                     to += 1
                 keys = [xxhash.xxh3_64_intdigest(f"{d}", seed) for d in ids[at:to]]
-                columns: list[list] = [[] for _ in range(8)]
-                for doc_id, text, found in zip(ids[at:to], texts[at:to], sample_block(texts[at:to], keys, k, lattices), strict=True):
-                    for rank, (codes, p, g, inclusion) in enumerate(found):
-                        plain = plain_ids(codes, vocabulary)
-                        same = b"".join(map(vocabulary.texts.__getitem__, plain.tolist())) == (f" {text}".replace(BLANK, " ").encode() if text else b"")
-                        for column, value in zip(columns, (doc_id, rank + 1, len(plain), p, g, inclusion, same, plain), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
-                lengths = np.concatenate(([0], np.cumsum([len(x) for x in columns[7]]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*columns[7], np.empty(0, np.int32)]).astype(np.int32)))
-                yield pa.record_batch([*[pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], lists], names=["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "log_inclusion", "round_trip", "ids"])
+                parts = Segments(texts[at:to])
+                yield _block_rows(ids[at:to], parts, sample_parts(parts, keys, k, lattices), vocabulary)
                 at = to
 
     return run

@@ -85,3 +85,29 @@ def test_long_segment_has_right_sums():
     text = "unbelievable" * 40
     own = sample_block([text], [3], 2, Lattices(v, 100))[0]
     assert all(v.decode(plain_ids(o[0], v).tolist()) == text for o in own)
+
+
+def test_any_character_comes_back(spark):
+    texts = ["a\0b", "\0", "\0\0 \0", "a\x01b", "日\0本 \U0010ffff", "x" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decode(sample_segmentations(docs, k=3)).collect()
+    assert all(r.text == texts[r.doc_id] and r.round_trip for r in got) and len({(r.doc_id, tuple(r.ids)) for r in got}) == len(got)
+
+
+def test_pieces_longer_than_usual_and_refused_ones():
+    v = Vocabulary(["", BLANK, "a", "a" * 40], [0.0, 1.0, 2.0, 3.0], {}, 0.0)
+    own = sample_block(["a" * 40], [1], 50, Lattices(v, 100))[0]
+    assert v.width == 40 and len(own) == 2 and {len(o[0]) for o in own} == {2, 41}
+    try:
+        Vocabulary([f"a{BLANK}"], [0.0], {}, 1.0)
+    except ValueError:
+        return
+    raise AssertionError("accepted")
+
+
+def test_samples_do_not_depend_on_the_block():
+    v = load()
+    texts, keys = ["one two one two", "", "two  two", "three one"], [5, 6, 7, 8]
+    together = sample_block(texts, keys, 3, Lattices(v, 2000))
+    alone = [sample_block([t], [key], 3, Lattices(v, 500))[0] for t, key in zip(texts, keys, strict=True)]
+    assert [[(o[0].tolist(), *o[1:]) for o in own] for own in together] == [[(o[0].tolist(), *o[1:]) for o in own] for own in alone]
