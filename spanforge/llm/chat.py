@@ -13,8 +13,10 @@ per turn with its offset in the rendered whole, never a conversation in one cell
 
 Defined results: rows equal in conv_id, turn, role and text are one turn; turns go by
 their number (null last), then by a hash of role and text; null role or text renders as
-empty but is told from an empty one; a null conv_id is one conversation; an empty table
-gives no rows; only the four named columns are read.
+empty but is told from an empty one; a null conv_id is one conversation; of equal
+conversations, however many, the least conv_id stays with their number; a turn of any
+length is one row; an empty table gives no rows; only the four named columns are read, so
+extra columns with clashing names change nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from spanforge.llm.graph import attach
 from spanforge.llm.storage import materialise, with_clear_names
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: Turns of a partition, about.
+PART_TURNS = 500_000
 SUMS = ("s1", "s2", "width")
 
 
@@ -51,7 +55,7 @@ def snapshots(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col:
     marks = [F.isnull("role"), F.isnull("text")]
     turns = own.dropDuplicates(["conv_id", "turn", "role", "text"]).select("*", F.struct(F.isnull("conv_id").alias("none"), F.coalesce(F.col("conv_id"), F.lit(0)).alias("id")).alias("conv"), F.xxhash64("role", F.lit("|"), "text", *marks).alias("h"))
     order = [F.col("turn").asc_nulls_last(), F.col("h"), F.length("text")]
-    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // PART_TURNS))
     dealt = materialise(turns.repartitionByRange(parts, "conv", *order).withColumn("pid", F.spark_partition_id()).withColumn("position", F.lit(1).cast("long")), "turns")
     numbered = _running(dealt, ("position",), order)
     wide = "decimal(20,0)"

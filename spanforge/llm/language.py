@@ -11,13 +11,17 @@ The score is a softmax of the regression scores, but where the best of those is
 of what 99.5 % of the training texts reach, it falls below 0.3 however few languages there
 are: such a text is in none of them.
 
-Only the training sample is bounded: at most about ``per_language`` labelled texts of
-each of the ``max_languages`` most frequent labels, drawn by a hash of id and text. It is
-the one thing collected; the model (2**18 x landmarks bytes at most) goes to the workers.
+Only the training sample is bounded: about ``per_language`` labelled texts of each label,
+drawn by a hash of id and text; every label is learned, with a landmark at least. What is
+collected are the features of the sample (2**18 bits a text at most, whatever its length)
+and a count for each label; the model (2**18 x landmarks bytes at most, and as many
+landmarks as labels where those are more) goes to the workers.
 
 Defined results: a null text or one without letters is ``und`` with score 0.0; rows whose
-label is null are never learned from; without any labelled row all are ``und``; repeated
-rows get the same result; an empty table gives no rows; extra columns are not read.
+label is null are never learned from; without any labelled row all are ``und``; of equal
+scores the first label in alphabetical order wins; repeated rows get the same result; a
+text of any length counts whole; an empty table gives no rows; only the named columns are
+read, so extra columns with clashing names change nothing.
 """
 
 from __future__ import annotations
@@ -103,10 +107,15 @@ class KernelModel:
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], [float(s) if k else 0.0 for s, k in zip(sure, known, strict=True)]
 
 
-def fit(texts: list[str], labels: list[str], *, landmarks: int = 128, ridge: float = 1e-2, seed: int = 5) -> KernelModel:
-    """Nyström landmarks spread evenly over the languages, then ridge regression in their feature space."""
+def fit(texts: list[str], labels: list[str], **parameters) -> KernelModel:
+    """A model of labelled texts."""
     scratch = np.zeros(1 << BITS, dtype=bool)
-    pairs = [(f, y) for f, y in ((features(t, scratch), y) for t, y in zip(texts, labels, strict=True)) if len(f)]
+    return fit_features([features(t, scratch) for t in texts], labels, **parameters)
+
+
+def fit_features(found: list[np.ndarray], labels: list[str], *, landmarks: int = 128, ridge: float = 1e-2, seed: int = 5) -> KernelModel:
+    """Nyström landmarks spread evenly over the languages, then ridge regression in their feature space."""
+    pairs = [(f, y) for f, y in zip(found, labels, strict=True) if len(f)]
     languages = sorted({y for _, y in pairs})
     row_of = np.full(1 << BITS, -1, dtype=np.int32)
     if not languages:
@@ -137,23 +146,32 @@ def fit(texts: list[str], labels: list[str], *, landmarks: int = 128, ridge: flo
     return model
 
 
-def sample(labelled: DataFrame, per_language: int, max_languages: int) -> list:
-    """(text, lang) rows for training: about ``per_language`` of each language at most, whatever the input's size."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)
-    rows = labelled.filter(drawn).select("text", "lang", F.xxhash64("text", "doc_id").alias("k")).orderBy("k").limit(2 * per_language * max(1, len(counts))).collect()
-    return [(r["text"], r["lang"]) for r in rows]
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    scratch = np.zeros(1 << BITS, dtype=bool)
+    for batch in batches:
+        found = [features(t.as_py(), scratch).astype(np.int32) for t in batch.column(0)]
+        yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["features", "lang", "k"])
+
+
+def sample(labelled: DataFrame, per_language: int) -> list[tuple[np.ndarray, str]]:
+    """(features, lang) for training: about ``per_language`` texts of each label, whatever the input's size."""
+    counts = labelled.groupBy("lang").count().orderBy("lang").collect()  # a row per label
+    if not counts:
+        return []
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 30)))])
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang"))
+    rows = labelled.filter(drawn).select("text", "lang", F.xxhash64("text", "doc_id").alias("k"))
+    few = rows.orderBy("k", "lang").limit(2 * per_language * len(counts))
+    found = few.mapInArrow(_featured, "features array<int>, lang string, k long").collect()
+    return [(np.array(r["features"], dtype=np.int64), r["lang"]) for r in sorted(found, key=lambda r: (r["k"], r["lang"]))]
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_languages: int = 200, landmarks: int = 128) -> KernelModel:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, landmarks: int = 128) -> KernelModel:
     """Learn from the documents whose crc32 of the id leaves no 2 when divided by 4."""
     own = with_clear_names(docs, {"doc_id": id_col, "text": text_col, "lang": lang_col})
     labelled = own.filter(~held_out("doc_id") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = sample(labelled, per_language, max_languages)
-    return fit([t for t, _ in rows], [y for _, y in rows], landmarks=landmarks)
+    rows = sample(labelled, per_language)
+    return fit_features([f for f, _ in rows], [y for _, y in rows], landmarks=landmarks)
 
 
 def held_out(column: str):

@@ -8,8 +8,10 @@ them. Slots order a shard's rows by a hash of the key in 4,096 ranges: counts pe
 inside each range. Equal rows are counted before they are shuffled and unfolded at the end.
 
 Defined results: a null doc_id is a key of its own; a null text has size 8 and checksum 0;
-repeated rows share their shard and take consecutive slots; an empty table gives no rows;
-only ``doc_id`` and ``text`` are read.
+repeated rows share their shard and take consecutive slots; of equal scores the greater
+shard number wins; a text of any length counts with its bytes; an empty table gives no
+rows; only ``doc_id`` and ``text`` are read, so extra columns with clashing names change
+nothing.
 """
 
 from __future__ import annotations

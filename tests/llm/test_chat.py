@@ -36,3 +36,11 @@ def test_query_equals_sql(spark, sf):
     got = op9_snapshots(spark, sf)
     assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(OP9_SQL).fetchall())
     assert got.columns == duckdb.sql(OP9_SQL).columns
+
+
+def test_many_copies_and_very_long_turns(spark):
+    long = "word " * 60_000
+    rows = [(i, 1, "user", "hello") for i in range(1500)] + [(5000 + i, t, "user", x) for i in range(2) for t, x in enumerate([long, long + "end"][: i + 1])]
+    got = collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.position, r.n_copies) for r in got} == {(0, 1, 1500), (5001, 1, 1), (5001, 2, 1)}
+    assert next(r.start for r in got if r.position == 2) == len(next(r.rendered for r in got if r.conv_id == 5001 and r.position == 1))

@@ -70,3 +70,50 @@ def test_texts_in_no_learned_language_are_not_recognised(spark):
         model = fit([r.text for r, h in zip(own, held, strict=True) if not h], [r.lang for r, h in zip(own, held, strict=True) if not h])
         scores = {name: np.array(model.predict([features(t, scratch) for t in texts])[1]) for name, texts in {"none": foreign + junk, "held": [r.text for r, h in zip(own, held, strict=True) if h]}.items()}
         assert (scores["none"] < 0.3).all() and (scores["held"] >= 0.3).mean() > 0.98
+
+
+def test_prediction_equals_the_dual_solution(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").limit(150).collect() if r.lang and r.text]
+    texts, labels = [r.text for r in rows], [r.lang for r in rows]
+    model = fit(texts, labels, landmarks=32, ridge=0.5)
+    sets = [set(grams(t[:400])) for t in texts[:25]]
+    scratch = np.zeros(1 << BITS, dtype=bool)
+    every = [set(features(t, scratch).tolist()) for t in texts]
+    assert all(set(features(t[:400], scratch).tolist()) == s for t, s in zip(texts, sets, strict=False))
+    kernel = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    names = [i for i in range(model.landmarks.shape[1])]
+    held = {tuple(np.flatnonzero(model.landmarks[:, j]).tolist()): j for j in names}
+    rows_of = np.flatnonzero(model.row_of >= 0)
+    marks = [set(rows_of[list(k)].tolist()) for k, _ in sorted(held.items(), key=lambda x: x[1])]
+    assert len(marks) == len(names) and all(m in every for m in marks)
+    languages, n = sorted(set(labels)), len(labels)
+    y = np.array([[1.0 if a == b else -1.0 for b in languages] for a in labels])
+    weight = np.array([1.0 / labels.count(a) for a in labels])
+    inner = np.linalg.pinv(kernel(marks, marks), rcond=1e-8, hermitian=True)
+    nm = kernel(every, marks)
+    alpha = np.linalg.solve(nm @ inner @ nm.T + np.diag(0.5 / n / weight), y)
+    want = kernel(sets, marks) @ inner @ nm.T @ alpha
+    got = model.kernel([np.array(sorted(s)) for s in sets]) @ model.weights
+    assert np.abs(got - want).max() < 1e-6
+    assert model.predict([np.array(sorted(s)) for s in sets])[0] == [languages[i] for i in want.argmax(axis=1)]
+
+
+def test_every_label_is_learned_and_ties_go_to_the_first(spark):
+    rng = np.random.default_rng(4)
+    alphabet = [chr(0x4E00 + 40 * k) for k in range(260)]
+    rows = [(i, "".join(chr(ord(alphabet[i % 260]) + int(x)) for x in rng.integers(0, 30, 40)), f"l{i % 260:03}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert len(model.languages) == 260
+    got = {r.doc_id: r.lang_pred for r in identify(docs, model).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.9
+    tied = fit(["ab ab", "ab ab"], ["b", "a"], landmarks=2)
+    scratch = np.zeros(1 << BITS, dtype=bool)
+    assert tied.predict([features("ab ab", scratch)])[0] == ["a"]
+
+
+def test_very_long_text(spark):
+    rows = [(i, "der und das ist gut", "de") for i in range(8)] + [(i, "the cat and the dog", "en") for i in range(8, 16)]
+    docs = spark.createDataFrame([*rows, (50, "das und der " * 100_000, None), (51, "x" * 500_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in identify(docs, train(docs)).collect()}
+    assert got[50] == "de" and got[51] in ("de", "en")

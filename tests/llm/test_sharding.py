@@ -1,7 +1,12 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
-from spanforge.llm.sharding import assign
+import pytest
+import xxhash
+
+from spanforge.llm.sharding import assign, op5_rendezvous
 
 
 def test_rendezvous(spark):
@@ -29,3 +34,35 @@ def test_weights(spark):
 def test_same_whatever_the_partitions(spark):
     docs = spark.range(500).selectExpr("id doc_id", "cast(id % 3 as string) text")
     assert sorted(assign(docs).collect()) == sorted(assign(docs.repartition(7)).collect())
+
+
+def winner(doc_id, weights):
+    """Shard of the greatest weighted score, by the published hash over the key's and the shard's bytes."""
+    scores = []
+    for shard, weight in enumerate(weights):
+        seed = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", shard), seed) >> 12) + 0.5) / 2**52
+        scores.append((-weight / math.log(u), shard))
+    return max(scores)[1]
+
+
+@pytest.mark.parametrize("weights", [(1.0,) * 24, (1.0, 2.5, 0.5)])
+def test_shards_equal_brute_force(spark, weights):
+    docs = spark.createDataFrame([(None if i == 7 else i * 9973 - 5000, "t") for i in range(700)], "doc_id long, text string")
+    for r in assign(docs, weights=weights).collect():
+        assert r.shard == winner(r.doc_id, weights) and r.grown_shard == winner(r.doc_id, (*weights, 1.0))
+
+
+def test_query_equals_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op5_rendezvous(spark, sf).collect()
+    want = {(d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "key", winner(d, (1.0,) * 24), winner(d, (1.0,) * 25)) for d, t in texts.items()}
+    assert {(r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got} == want and len(got) == len(texts)
+    for shard in range(24):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_very_long_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "é" * 300_000, 1), (2, "", 2), (3, None, 3)], "doc_id long, text string, size int")
+    assert {r.doc_id: r["size"] for r in assign(docs).collect()} == {1: 600_008, 2: 8, 3: 8}
