@@ -43,6 +43,7 @@ MIN_MASK_OVERLAP, MIN_BOX_OVERLAP, MAX_CENTRE_DISTANCE = 0.03, 0.05, 0.35
 TINY_EDGE_AREA, EDGE_MARGIN, TABLE_MIN_AREA, TABLE_MIN_CENTRE_Y, OBJECT_AREA_CAP = 0.01, 0.03, 0.05, 0.45, 0.35
 UNION_MIN_PIXELS, UNION_MASK, UNION_BOX, UNION_GAP = 50, 0.01, 0.01, 0.07
 CROP_MARGIN = 0.14
+UPPER_PART, LOWER_PART, LOWER_HALF_WIDTH = 0.62, 0.48, 0.34
 SEGMENT_LABELS = {
     "potted plant": "object",
     "whole potted plant": "object",

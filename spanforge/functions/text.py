@@ -134,9 +134,15 @@ def positive(c: Column) -> Column:
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
+    """Null without a denominator or over 0."""
     return F.when(b != 0, F.try_divide(a, b))
 
 
+def ratio_or_zero(a: Column, b: Column) -> Column:
+    """0.0 without a denominator or where it is 0 or less; for counts."""
+    return F.when(b > 0, F.try_divide(a.cast("double"), b.cast("double"))).otherwise(0.0)
+
+
 def round_up(c: Column, increment: float = 1.0) -> Column:
     """Up to a multiple; null unless positive."""
     return F.when(c > 0, (F.ceil(c / increment) * increment).cast("double"))

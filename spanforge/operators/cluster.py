@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,23 @@ def stride_sample(points: DataFrame, keys: list[str], most: int = K.PLANE_MAX_FI
     return placed.filter((F.col("n_all") <= most) | hit).drop("n_all", "i_all")
 
 
+def plane_fit_points(points: DataFrame, keys: list[str], voxel_size: float | None = None, most: int = K.PLANE_MAX_FIT_POINTS) -> DataFrame:
+    """Points that a plane is fitted to: voxel centroids where these are fewer, then at most ``most`` of them at even places.
+
+    Centroids go by their voxels; a view whose centroids are under three or as many as its
+    points keeps the points.
+    """
+    own = points.select(*keys, *P.AXES, F.col("ord").cast("long").alias("ord"))
+    if voxel_size:
+        cells = P.voxel_centroids(own, keys, voxel_size)
+        n = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n_points").alias("n_all"))
+        thin = n.filter("n_cells >= 3 and n_cells < n_all").select(*keys)
+        order = Window.partitionBy(*keys).orderBy("vx", "vy", "vz")
+        centroids = cells.join(thin, keys, "left_semi").withColumn("ord", F.row_number().over(order).cast("long")).select(*keys, *P.AXES, "ord")
+        own = centroids.unionByName(own.join(thin, keys, "left_anti"))
+    return stride_sample(own, keys, most)
+
+
 def draws(n: int, iterations: int = K.PLANE_ITERATIONS, seed: int = K.PLANE_SEED) -> list[tuple[int, int, int]]:
     """Index triples of the seeded generator for a cloud of n points."""
     rng = np.random.default_rng(seed)
@@ -52,23 +70,54 @@ def fit_plane(points: DataFrame, keys: list[str], triples: DataFrame, threshold:
     """Best plane of each view: ``plane``, ``n_inliers``, ``iteration``; null where too few points agree.
 
     ``triples`` has, per view, ``iteration`` and the indices a, b, c into the order
-    ``ord`` of the fit points; there are at most a thousand of them, so each view's points are
-    held against a short list of planes and only sums leave the scan.
+    ``ord`` of the fit points; there are at most a thousand of them. A point stays one row:
+    each partition holds its points against the list of its view's planes by a matrix
+    product, and what leaves is one list of counts for each view.
     """
     numbered = points.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1)
     corner = numbered.select(*keys, "i", F.struct(*P.AXES).alias("p"))
     wanted = triples.select(*keys, "iteration", F.posexplode(F.array("a", "b", "c")).alias("k", "i"))
     found = wanted.join(corner, [*keys, "i"]).groupBy(*keys, "iteration").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda s: s["p"]).alias("ps"))
     planes = found.withColumn("plane", plane_of(*[F.get("ps", F.lit(i)) for i in range(3)])).filter("plane is not null")
-    lists = planes.groupBy(*keys).agg(F.collect_list(F.struct("iteration", "plane")).alias("planes"))
-    held = numbered.join(lists, keys).select(*keys, *P.AXES, F.explode("planes").alias("c")).select(*keys, *P.AXES, "c.iteration", "c.plane")
-    counted = held.groupBy(*keys, "iteration", "plane").agg(F.count_if(F.abs(P.plane_distance(F.col("plane"))) <= threshold).alias("n_inliers"))
+    lists = planes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("iteration", "plane"))).alias("planes"))
+    near = _near_planes(points.join(lists, keys), keys, threshold)
+    counted = near.groupBy(*keys, "iteration").agg(F.sum("n").alias("n_inliers")).join(planes.select(*keys, "iteration", "plane"), [*keys, "iteration"])
     best = counted.groupBy(*keys).agg(F.max_by(F.struct("plane", "n_inliers", "iteration"), F.struct(F.col("n_inliers"), -F.col("iteration"))).alias("b"))
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
     enough = F.col("b.n_inliers") >= F.greatest(F.lit(K.PLANE_MIN_INLIERS), F.floor(F.col("n_points") * K.PLANE_MIN_INLIER_RATIO))
     return sizes.join(best, keys, "left").select(*keys, "n_points", F.when(enough, F.col("b.plane")).alias("plane"), F.col("b.n_inliers").alias("n_inliers"), F.col("b.iteration").alias("iteration"))
 
 
+def _near_planes(held: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Per batch of points, view and plane: how many points lie within ``threshold``. ``held`` has x, y, z and the view's planes."""
+    fields = held.select(*keys).schema.fields
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            views = [batch.column(i).to_pylist() for i in range(len(keys))]
+            xyz = np.column_stack([np.asarray(batch.column(len(keys) + i).cast(pa.float64())) for i in range(3)])
+            where: dict[tuple, list[int]] = {}
+            for i, view in enumerate(zip(*views, strict=True)):
+                where.setdefault(view, []).append(i)
+            out: list[tuple] = []
+            for view, own in where.items():
+                planes = batch.column(len(keys) + 3)[own[0]].as_py()
+                plane = np.array([p["plane"] for p in planes])
+                total = np.zeros(len(planes), dtype=np.int64)
+                for at in range(0, len(own), 4096):
+                    total += (np.abs(xyz[own[at : at + 4096]] @ plane[:, :3].T + plane[:, 3]) <= threshold).sum(axis=0)
+                out += [(*view, p["iteration"], int(n)) for p, n in zip(planes, total, strict=True)]
+            columns = list(zip(*out, strict=True))
+            kinds = [*[batch.schema.field(i).type for i in range(len(keys))], pa.int32(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*keys, "iteration", "n"])
+
+    ready = held.select(*keys, *P.AXES, F.transform("planes", lambda p: F.struct(p["iteration"].cast("int").alias("iteration"), p["plane"].alias("plane"))).alias("planes"))
+    return ready.mapInArrow(run, f"{shape}, iteration int, n long")
+
+
 def draw_table(points: DataFrame, keys: list[str], iterations: int = K.PLANE_ITERATIONS, seed: int = K.PLANE_SEED) -> DataFrame:
     """Seeded triples for every view, from nothing but its number of points."""
     fields = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -93,15 +142,15 @@ def plane_valid(points: DataFrame, planes: DataFrame, keys: list[str], threshold
     n, near, side = F.coalesce("n", F.lit(0)), F.coalesce("near", F.lit(0)), F.coalesce(F.greatest("up", "down"), F.lit(0))
     reason = first_match(
         [
-            (F.col("plane").isNull() | F.isnan(size) | ~F.coalesce(F.abs(size - 1) <= 1e-3, F.lit(False)), F.lit("plane_not_normalised")),
-            (F.abs(b) < K.CACHE_MIN_NORMAL_Y, F.lit("normal_orientation")),
-            (F.abs(d) > K.CACHE_MAX_OFFSET, F.lit("offset")),
-            (n < 3, F.lit("too_few_points")),
-            (F.coalesce("n_bad", F.lit(0)) > 0, F.lit("distances_not_finite")),
-            (near < K.CACHE_MIN_INLIERS, F.lit("too_few_inliers")),
-            (near / n < K.CACHE_MIN_INLIER_RATIO, F.lit("inlier_ratio")),
-            (side < K.CACHE_MIN_SIDE, F.lit("too_few_beyond")),
-            (side / n < K.CACHE_MIN_SIDE_RATIO, F.lit("side_ratio")),
+            (F.col("plane").isNull() | F.isnan(size) | ~F.coalesce(F.abs(size - 1) <= 1e-3, F.lit(False)), F.lit("plane_coefficients_invalid_or_not_normalized")),
+            (F.abs(b) < K.CACHE_MIN_NORMAL_Y, F.lit("plane_normal_orientation_invalid")),
+            (F.abs(d) > K.CACHE_MAX_OFFSET, F.lit("plane_offset_implausible")),
+            (n < 3, F.lit("not_enough_points_for_cache_validation")),
+            (F.coalesce("n_bad", F.lit(0)) > 0, F.lit("signed_distances_invalid")),
+            (near < K.CACHE_MIN_INLIERS, F.lit("near_plane_inlier_count_too_low")),
+            (near / n < K.CACHE_MIN_INLIER_RATIO, F.lit("near_plane_inlier_ratio_too_low")),
+            (side < K.CACHE_MIN_SIDE, F.lit("remaining_non_table_points_too_low")),
+            (side / n < K.CACHE_MIN_SIDE_RATIO, F.lit("above_below_distribution_implausible")),
         ]
     )
     return planes.join(stats, keys, "left").select(*keys, "plane", reason.alias("reason"), reason.isNull().alias("valid"))
@@ -179,7 +228,7 @@ def select_clusters(records: DataFrame, keys: list[str]) -> DataFrame:
     """
     half = K.ROI_HALF_WIDTH
     span = F.greatest(*[F.col(f"max_{a}") - F.col(f"min_{a}") for a in P.AXES])
-    early = first_match([(F.abs("mean_x") > K.CENTRAL_LIMIT * half, F.lit("outside_object_zone")), (span > K.MAX_SPAN, F.lit("span_implausible"))])
+    early = first_match([(F.abs("mean_x") > K.CENTRAL_LIMIT * half, F.lit("centroid_outside_expected_object_zone")), (span > K.MAX_SPAN, F.lit("physically_implausible_span"))])
     score = F.col("n_points") / (1.0 + F.abs("mean_x") / max(0.01, half))
     judged = records.withColumns({"early": early, "score": F.when(early.isNull(), score)})
     item = F.struct((-F.col("n_points")).alias("o"), F.col("component"), F.col("n_points"), *[F.col(f"{n}_{a}") for n in ("min", "max") for a in P.AXES])
@@ -194,8 +243,8 @@ def select_clusters(records: DataFrame, keys: list[str]) -> DataFrame:
             [
                 (c["component"] == p["component"], F.lit("primary")),
                 (c["n_points"] > K.FRAGMENT_RATIO * p["n_points"], F.lit("large_separate_cluster")),
-                (gap_3d(lo, hi, low, high) > K.MERGE_GAP, F.lit("too_far_from_object")),
-                (F.greatest(*[h - w for h, w in zip(new_hi, new_lo, strict=True)]) > K.MAX_SPAN, F.lit("merged_span_implausible")),
+                (gap_3d(lo, hi, low, high) > K.MERGE_GAP, F.lit("fragment_too_far_from_primary")),
+                (F.greatest(*[h - w for h, w in zip(new_hi, new_lo, strict=True)]) > K.MAX_SPAN, F.lit("merge_would_make_bounds_implausible")),
             ],
             F.lit("merged"),
         )
@@ -209,14 +258,22 @@ def select_clusters(records: DataFrame, keys: list[str]) -> DataFrame:
     return late.withColumn("fate", F.coalesce("early", "fate")).drop("early", "score")
 
 
-def object_points(points: DataFrame, keys: list[str], *, planes: DataFrame | None = None) -> DataFrame:
+def table_planes(points: DataFrame, keys: list[str], voxel_size: float | None = None, most: int = K.PLANE_MAX_FIT_POINTS) -> DataFrame:
+    """Table plane of each view and whether it took the second try: where too few thinned points agree, all points are fitted."""
+    sampled = plane_fit_points(points, keys, voxel_size, most)
+    first = fit_plane(sampled, keys, draw_table(sampled, keys)).filter("plane is not null").withColumn("full_resolution", F.lit(False))
+    rest = points.join(first.select(*keys), keys, "left_anti")
+    second = fit_plane(rest, keys, draw_table(rest, keys)).filter("plane is not null").withColumn("full_resolution", F.lit(True))
+    return first.unionByName(second)
+
+
+def object_points(points: DataFrame, keys: list[str], *, planes: DataFrame | None = None, voxel_size: float | None = None) -> DataFrame:
     """The object of each view: crop, table plane, voxel clusters, choice. Views that fall under 30 points on the way give none."""
     inside = P.apply_roi(points).filter("inside").drop("inside")
     enough = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in")).filter(F.col("n_in") >= K.CLUSTER_MIN_POINTS)
     inside = inside.join(enough.select(*keys), keys, "left_semi")
     if planes is None:
-        sampled = stride_sample(inside, keys)
-        planes = fit_plane(sampled, keys, draw_table(sampled, keys))
+        planes = table_planes(inside, keys, voxel_size)
     above = P.remove_plane(inside, planes.filter("plane is not null"), keys)
     clustered = voxel_clusters(above, keys)
     chosen = select_clusters(cluster_records(clustered, keys), keys).filter(F.col("fate").isin("primary", "merged"))
@@ -265,12 +322,16 @@ def dbscan(points: DataFrame, keys: list[str], eps: float = K.DBSCAN_EPS, least:
 
 
 def largest_cluster(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points of the largest density cluster with its share; the whole cloud and share 0 when all is noise."""
+    """Points of the largest density cluster with its share.
+
+    The whole cloud with share 0 when all is noise, and with share 1 when it is smaller
+    than a cluster must be.
+    """
     labelled = dbscan(points, keys)
     sizes = labelled.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy(*keys).agg(F.max_by("cluster", F.when(F.col("cluster") >= 0, F.struct(F.col("n"), -F.col("cluster")))).alias("best"), F.max(F.when(F.col("cluster") >= 0, F.col("n"))).alias("n_best"), F.sum("n").alias("n_all"), F.count_if(F.col("cluster") >= 0).alias("cluster_count"))
     kept = labelled.join(best, keys).filter(F.col("best").isNull() | (F.col("cluster") == F.col("best")))
-    return kept.withColumn("largest_cluster_ratio", F.coalesce(F.col("n_best") / F.col("n_all"), F.lit(0.0))).drop("cluster", "best", "n_best", "n_all")
+    return kept.withColumn("largest_cluster_ratio", F.when(F.col("n_all") < K.DBSCAN_MIN, 1.0).otherwise(F.coalesce(F.col("n_best") / F.col("n_all"), F.lit(0.0)))).drop("cluster", "best", "n_best", "n_all")
 
 
 def mask_components(pixels: DataFrame, keys: list[str]) -> DataFrame:

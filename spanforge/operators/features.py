@@ -199,10 +199,37 @@ def geometry_status(reason: Column, warnings: Column) -> Column:
     return F.when(reason.isNull() & (F.size(blocking) == 0), "ok").otherwise("degraded")
 
 
-def object_source(status: Column) -> Column:
-    """Cloud that stands for the object, by what the manifest has: ``status`` maps cloud to ok or missing."""
-    ok = lambda c: F.coalesce(F.try_element_at(status, F.lit(c)) == "ok", F.lit(False))
-    return T.first_match([(ok("object"), F.lit("object_cloud")), (ok("segmented"), F.lit("segmented_cloud")), (ok("pot") & ok("leaf"), F.lit("pot_and_leaf"))], F.lit("raw_cloud"))
+def object_source(manifest: Column, has: dict[str, Column]) -> Column:
+    """Struct of the cloud that stands for the object, its segmentation status, whether segmentation was used, and the warning.
+
+    ``manifest`` is the manifest's status; ``has`` says which of object_cloud,
+    segmented_cloud, pot_cloud and leaf_cloud could be read. With only one part the raw
+    cloud stands in, and segmentation counts as partial.
+    """
+    there = {n: F.coalesce(has[n], F.lit(False)) if n in has else F.lit(False) for n in ("object_cloud", "segmented_cloud", "pot_cloud", "leaf_cloud")}
+    skipped, failed = manifest.eqNullSafe("skipped"), manifest.eqNullSafe("failed")
+    both, one = there["pot_cloud"] & there["leaf_cloud"], there["pot_cloud"] | there["leaf_cloud"]
+    source = T.first_match(
+        [
+            (skipped | (failed & ~there["object_cloud"]), F.lit("raw_cloud")),
+            (there["object_cloud"], F.lit("object_cloud")),
+            (there["segmented_cloud"], F.lit("segmented_cloud")),
+            (both, F.lit("combined_pot_leaf_cloud")),
+        ],
+        F.lit("raw_cloud"),
+    )
+    used = ~skipped & F.when(failed, there["object_cloud"]).otherwise(there["object_cloud"] | there["segmented_cloud"] | one)
+    part = failed | ((source == "raw_cloud") & one)
+    status = F.when(~used, manifest).when(part | manifest.eqNullSafe("partial"), "partial").otherwise("ok")
+    warning = T.first_match(
+        [
+            (skipped, F.lit("segmentation_skipped_using_raw_cloud")),
+            (failed & there["object_cloud"], F.lit("segmentation_failed_manifest_but_object_cloud_available")),
+            (failed, F.lit("segmentation_failed_using_raw_cloud")),
+            (~used, F.lit("segmentation_not_available")),
+        ]
+    )
+    return F.struct(source.alias("source"), used.alias("segmentation_used"), status.alias("status"), warning.alias("warning"))
 
 
 def part_ratios(part_points: Column, part_volume: Column, object_points: Column, object_volume: Column) -> Column:
@@ -213,6 +240,19 @@ def first_item(items: Column) -> Column:
     return F.try_element_at(items, F.lit(1))
 
 
+def first_item_prior(items: Column, fields: list[str], containers: list[tuple[str, float, float]], prior_type: str) -> Column:
+    """Pot prior of the first item: its own ``pot_prior``, else what its other metadata parses to; ``items`` hold a struct ``metadata``.
+
+    ``prior_type`` names the common fields that leave, as a struct type.
+    """
+    meta = first_item(items)["metadata"]
+    parsed = T.metadata_prior({f: meta[f] for f in fields}, containers)
+    names = [p.split(":")[0] for p in prior_type.removeprefix("struct<").removesuffix(">").split(",")]
+    own = F.struct(*[meta["pot_prior"][n].alias(n) for n in names]).cast(prior_type)
+    other = F.struct(*[parsed[n].alias(n) for n in names]).cast(prior_type)
+    return F.when(meta["pot_prior"].isNotNull(), own).otherwise(other)
+
+
 def roles(views: DataFrame, keys: list[str]) -> DataFrame:
     """First view of each role."""
     return views.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "role").orderBy("ord"))).filter("nth = 1").drop("nth")

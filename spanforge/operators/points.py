@@ -7,7 +7,7 @@ back, on the same keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import constants as K
@@ -249,19 +249,29 @@ def profile_summary(values: Column) -> Column:
     return F.struct(F.array_min(values).alias("least"), F.array_max(values).alias("greatest"), F.try_divide(total, F.size(values)).alias("mean"), (F.array_position(values, F.array_max(values)) - 1).alias("peak"))
 
 
-def width_line(points: DataFrame, keys: list[str], tolerance: float = 0.01, samples: int = 512) -> DataFrame:
-    """Debug line between the robust ends in x: the median y and z of the points near each end, then evenly spaced samples."""
-    ends = points.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("ends"))
-    near = points.join(ends, keys)
-    aggs = []
+def width_line(points: DataFrame, keys: list[str], samples: int = 512) -> DataFrame:
+    """Debug line between the robust ends in x (the ends themselves under ten points), level at the middle of both ends.
+
+    An end's y and z are the medians of the points within 1 % of the width of it, one
+    millimetre at least; without any, of its max(8, n / 200) nearest points.
+    """
+    few = F.count(F.lit(1)) < K.MIN_ROBUST_POINTS
+    robust = F.percentile("x", F.array(F.lit(0.01), F.lit(0.99)))
+    ends = points.groupBy(*keys).agg(F.when(few, F.array(F.min("x"), F.max("x"))).otherwise(robust).alias("ends"), F.count(F.lit(1)).alias("n_all"))
+    tolerance = F.greatest((F.col("ends")[1] - F.col("ends")[0]) * 0.01, F.lit(0.001))
+    away = [F.abs(F.col("x") - F.col("ends")[i]) for i in (0, 1)]
+    placed = points.join(ends, keys).withColumns({"ends": F.col("ends"), "tolerance": tolerance} | {f"away{i}": away[i] for i in (0, 1)})
+    inside = placed.groupBy(*keys).agg(F.count_if(F.col("away0") <= F.col("tolerance")).alias("n0"), F.count_if(F.col("away1") <= F.col("tolerance")).alias("n1"))
+    sides = []
     for i in (0, 1):
-        close = F.abs(F.col("x") - F.col("ends")[i])
-        for a in ("y", "z"):
-            aggs += [F.median(F.when(close <= tolerance, F.col(a))).alias(f"{a}{i}"), F.min_by(a, close).alias(f"near_{a}{i}")]
-    line = near.groupBy(*keys).agg(F.first("ends").alias("ends"), *aggs)
-    t = F.col("i") / float(samples - 1)
-    full = {a: (F.coalesce(f"{a}0", f"near_{a}0"), F.coalesce(f"{a}1", f"near_{a}1")) for a in ("y", "z")}
-    return line.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select(*keys, "i", (F.col("ends")[0] + (F.col("ends")[1] - F.col("ends")[0]) * t).alias("x"), *[(v[0] + (v[1] - v[0]) * t).alias(a) for a, v in full.items()])
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(f"away{i}", *AXES))
+        most = F.least(F.greatest(F.lit(8), F.floor(F.col("n_all") / 200)), F.col("n_all"))
+        near = placed.join(inside.filter(f"n{i} > 0").select(*keys), keys, "left_semi").filter(F.col(f"away{i}") <= F.col("tolerance"))
+        far = placed.join(inside.filter(f"n{i} = 0").select(*keys), keys, "left_semi").withColumn("nth", nth).filter(F.col("nth") <= most).drop("nth")
+        sides.append(near.unionByName(far).groupBy(*keys).agg(F.median("y").alias(f"y{i}"), F.median("z").alias(f"z{i}")))
+    line = ends.join(sides[0], keys).join(sides[1], keys).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    x = F.col("ends")[0] + (F.col("ends")[1] - F.col("ends")[0]) * (F.col("i") / float(samples - 1))
+    return line.select(*keys, "i", x.alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), ((F.col("z0") + F.col("z1")) / 2).alias("z"))
 
 
 def measure(points: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,22 +60,24 @@ def to_full_image(pixels: DataFrame, dx: Column, dy: Column) -> DataFrame:
     return pixels.withColumns({"row": F.col("row") + dy, "col": F.col("col") + dx})
 
 
-def tiny_edge(b: Column, width: Column, height: Column) -> Column:
-    touches = (b["x1"] <= width * K.EDGE_MARGIN) | (b["x2"] >= width * (1 - K.EDGE_MARGIN)) | (b["y1"] <= height * K.EDGE_MARGIN) | (b["y2"] >= height * (1 - K.EDGE_MARGIN))
-    return touches & (B.area(b) / (width * height) < K.TINY_EDGE_AREA)
+def touches_edge(b: Column, width: Column) -> Column:
+    """At the left or the right edge of the image."""
+    return F.coalesce((b["x1"] <= width * K.EDGE_MARGIN) | (b["x2"] >= width * (1 - K.EDGE_MARGIN)), F.lit(False))
 
 
 def select_detections(detections: DataFrame, keys: list[str], overlaps: DataFrame | None = None) -> DataFrame:
-    """All detections with segment, score, reason and ``chosen``: the best of each segment of a view, the first on a tie.
+    """All detections with segment, score, every reason against them, their fate and ``chosen``: the best of each segment of a view, the first on a tie.
 
-    ``detections``: idx, label, confidence, n_pixels, box, width, height. ``overlaps``
-    gives mask_overlap with the chosen object per idx; without it boxes stand in.
+    ``detections``: idx, label, confidence, n_pixels (null without a mask), box, width,
+    height, and ``in_union`` where parts have been joined to the object. ``overlaps`` gives
+    mask_overlap with the object's mask per idx; without it the boxes stand in.
     """
-    area = B.area(F.col("box")) / (F.col("width") * F.col("height"))
-    own = detections.withColumns({"segment": T.segment_of_label(F.col("label")), "area_ratio": area})
+    s, size = F.col("segment"), F.greatest(F.lit(1.0), F.col("width") * F.col("height"))
+    own = detections.withColumns({"segment": T.segment_of_label(F.col("label")), "area_ratio": B.area(F.col("box")) / size})
+    joined_in = F.coalesce(F.col("in_union"), F.lit(False)) if "in_union" in detections.columns else F.lit(False)
     usable = F.coalesce(F.col("n_pixels") >= K.MASK_MIN_PIXELS, F.lit(False))
-    score = F.when((F.col("segment") == "object") & usable, F.col("confidence") + F.least(F.col("area_ratio"), F.lit(K.OBJECT_AREA_CAP)))
-    objects = own.withColumn("s", score).groupBy(*keys).agg(F.max_by(F.struct("idx", "box"), F.when(F.col("s").isNotNull(), F.struct(F.col("s"), -F.col("idx")))).alias("o"))
+    quality = F.col("confidence") + F.least(F.col("area_ratio"), F.lit(K.OBJECT_AREA_CAP))
+    objects = own.groupBy(*keys).agg(F.max_by(F.struct("idx", "box"), F.when((s == "object") & usable, F.struct(quality, -F.col("idx")))).alias("o"))
     both = own.join(objects, keys, "left")
     if overlaps is not None:
         both = both.join(overlaps.select(*keys, "idx", "mask_overlap"), [*keys, "idx"], "left")
@@ -83,39 +85,55 @@ def select_detections(detections: DataFrame, keys: list[str], overlaps: DataFram
     else:
         mask = B.overlap(F.col("box"), F.col("o.box"))
     has = F.col("o").isNotNull()
-    share = F.when(has, B.overlap(F.col("box"), F.col("o.box"))).otherwise(0.0)
+    share = F.when(has, B.intersection(F.col("box"), F.col("o.box")) / F.greatest(F.lit(1.0), B.area(F.col("box")))).otherwise(0.0)
     mask = F.when(has, mask).otherwise(0.0)
-    far = F.coalesce(B.centre_distance(F.col("box"), F.col("o.box"), F.sqrt(F.col("width") ** 2 + F.col("height") ** 2)), F.lit(0.0))
-    tiny = tiny_edge(F.col("box"), F.col("width"), F.col("height"))
+    far = B.centre_distance(F.col("box"), F.col("o.box"), F.greatest(F.lit(1.0), F.sqrt(F.col("width") ** 2 + F.col("height") ** 2)))
+    close = F.coalesce(far <= K.MAX_CENTRE_DISTANCE, F.lit(False))
+    overlaps_object = (mask >= K.MIN_MASK_OVERLAP) | (share >= K.MIN_BOX_OVERLAP)
+    tiny = touches_edge(F.col("box"), F.col("width")) & (F.col("area_ratio") < K.TINY_EDGE_AREA)
     centre = B.centre_y(F.col("box")) / F.col("height")
-    s = F.col("segment")
-    reason = T.first_match(
-        [
-            (s.isNull(), F.lit("unmapped_label")),
-            (F.col("n_pixels").isNull(), F.lit("missing_mask")),
-            (~usable, F.lit("mask_pixel_count_below_minimum")),
-            ((s == "pot") & (F.col("confidence") < K.POT_MIN_CONFIDENCE), F.lit("pot_confidence_below_minimum")),
-            ((s == "pot") & has & (mask < K.MIN_MASK_OVERLAP) & (share < K.MIN_BOX_OVERLAP) & (far > K.MAX_CENTRE_DISTANCE), F.lit("pot_far_from_object")),
-            ((s == "pot") & tiny & (mask < K.MIN_MASK_OVERLAP), F.lit("pot_tiny_at_edge")),
-            ((s == "table") & ((F.col("area_ratio") < K.TABLE_MIN_AREA) | (centre < K.TABLE_MIN_CENTRE_Y)), F.lit("table_not_plausible")),
-            ((s == "leaf") & has & (mask < K.MIN_MASK_OVERLAP), F.lit("leaf_outside_object")),
-        ]
-    )
+    first = s.isNotNull() & ~usable
+    rules = [
+        (s.isNull(), "label_not_mapped_to_dimscan_segment"),
+        (s.isNotNull() & F.col("n_pixels").isNull(), "missing_mask"),
+        (first, "mask_pixel_count_below_minimum"),
+        (~first & (s == "object") & (F.col("o.idx") != F.col("idx")) & ~joined_in, "lower_quality_than_selected_object"),
+        (~first & (s == "pot") & (F.col("confidence") < K.POT_MIN_CONFIDENCE), "pot_confidence_below_minimum"),
+        (~first & (s == "pot") & has & ~overlaps_object & ~close, "pot_not_spatially_consistent_with_object"),
+        (~first & (s == "pot") & tiny & ~overlaps_object, "tiny_edge_pot_without_strong_object_overlap"),
+        (~first & (s == "table") & (F.col("area_ratio") < K.TABLE_MIN_AREA), "table_area_below_minimum"),
+        (~first & (s == "table") & (centre < K.TABLE_MIN_CENTRE_Y), "table_not_low_enough_in_image"),
+        (~first & (s == "leaf") & has & (mask < K.MIN_MASK_OVERLAP), "leaf_not_overlapping_selected_object"),
+    ]
+    reasons = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), r) for c, r in rules]))
     value = T.first_match(
         [
-            (s == "object", F.col("confidence") + F.least(F.col("area_ratio"), F.lit(K.OBJECT_AREA_CAP))),
-            (s == "pot", F.col("confidence") + 2 * mask + share - far - F.when(tiny, 0.25).otherwise(0.0)),
-            (s == "table", F.col("confidence") + F.col("area_ratio") + centre),
+            (s == "object", quality),
+            (s == "pot", F.col("confidence") + 2 * mask + share - F.coalesce(far, F.lit(0.0)) - F.when(tiny, 0.25).otherwise(0.0)),
+            (s == "table", F.col("confidence") + F.col("area_ratio") + F.coalesce(centre, F.lit(0.0))),
             (s == "leaf", F.col("confidence") + mask),
         ]
     )
-    scored = both.withColumns({"reason": reason, "score": F.when(reason.isNull(), value)}).drop("o", "mask_overlap")
-    nth = F.row_number().over(Window.partitionBy(*keys, "segment").orderBy(F.col("score").desc_nulls_last(), "idx"))
-    return scored.withColumn("chosen", (nth == 1) & F.col("score").isNotNull())
+    scored = both.withColumns({"reasons": reasons, "joined_in": joined_in}).withColumn("score", F.when((F.size("reasons") == 0) | ((s == "object") & usable), value)).drop("mask_overlap")
+    nth = F.row_number().over(Window.partitionBy(*keys, "segment").orderBy(F.when(F.size("reasons") == 0, F.col("score")).desc_nulls_last(), "idx"))
+    ranked = scored.withColumn("chosen", (nth == 1) & (F.size("reasons") == 0) & ((s != "object") | (F.col("o.idx") == F.col("idx"))))
+    ranked = ranked.withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    fate = T.first_match(
+        [
+            (s.isNull(), F.lit(None).cast("string")),
+            ((s == "object") & F.col("joined_in"), F.lit("unioned_into_object")),
+            (F.col("chosen"), F.concat(F.lit("selected_"), s)),
+            (F.size("reasons") > 0, F.concat(F.lit("rejected_"), s)),
+        ],
+        F.concat(F.lit("rejected_lower_quality_for_"), s),
+    )
+    late = s.isNotNull() & ~F.col("chosen") & (F.size("reasons") == 0) & ~((s == "object") & F.col("joined_in"))
+    whole = F.when(late, F.array(F.concat(F.lit("lower_quality_than_selected_"), s))).otherwise(F.col("reasons"))
+    return ranked.withColumn("decision", fate).withColumn("reasons", whole).drop("o", "joined_in")
 
 
 def union_parts(detections: DataFrame, keys: list[str]) -> DataFrame:
-    """Detections that grow the primary object's mask, in their order: ``accepted`` and ``reason``.
+    """Detections that grow the primary object's mask, in their order: ``accepted`` and ``reason``, null for a part that joins.
 
     Each accepted mask widens what the next one is held against, so a view is one group.
     ``detections``: idx, is_primary, segment, blocked, box, pixels (array of row * width + col), width, height.
@@ -138,26 +156,26 @@ def union_parts(detections: DataFrame, keys: list[str]) -> DataFrame:
         for d in part.itertuples():
             pixels = set(d.pixels if d.pixels is not None else ())
             if d.is_primary:
-                out.append((True, "primary_object"))
+                out.append((True, "primary_object_anchor"))
                 continue
             if d.segment not in ("object", "pot", "leaf"):
-                out.append((False, "segment_not_part_of_object"))
+                out.append((False, "segment_not_part_of_full_object_union"))
                 continue
             if not pixels:
                 out.append((False, "missing_mask"))
                 continue
             if len(pixels) < K.UNION_MIN_PIXELS:
-                out.append((False, "too_few_pixels"))
+                out.append((False, "mask_pixel_count_below_object_union_minimum"))
                 continue
             if d.blocked and d.segment == "object":
-                out.append((False, "rejected_before"))
+                out.append((False, "candidate_has_blocking_rejection"))
                 continue
             b, p, u = d.box, first.box, bounds(union)
             inter = max(0.0, min(b["x2"], p["x2"]) - max(b["x1"], p["x1"])) * max(0.0, min(b["y2"], p["y2"]) - max(b["y1"], p["y1"]))
             own = max(1.0, (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))
             dx, dy = max(0.0, b["x1"] - u[2], u[0] - b["x2"]), max(0.0, b["y1"] - u[3], u[1] - b["y2"])
             near = len(pixels & union) / len(pixels) >= K.UNION_MASK or inter / own >= K.UNION_BOX or (diagonal > 0 and (dx * dx + dy * dy) ** 0.5 / diagonal <= K.UNION_GAP)
-            out.append((near, "joined" if near else "not_near_the_object"))
+            out.append((near, None if near else "not_spatially_consistent_with_primary_object"))
             if near:
                 union |= pixels
         return part.assign(accepted=[a for a, _ in out], reason=[r for _, r in out])[columns]
@@ -174,16 +192,24 @@ def crop_override(full: DataFrame, crop: DataFrame, keys: list[str]) -> DataFram
     return a.join(b, keys, "full").select(*keys, F.when(F.coalesce(use & F.col("c").isNotNull(), F.lit(False)), F.col("c")).otherwise(F.col("f")).alias("best"), F.coalesce(use & F.col("c").isNotNull(), F.lit(False)).alias("from_crop"))
 
 
-def upper_part(pixels: DataFrame, keys: list[str], share: float = 0.62) -> DataFrame:
-    """Pixels of each mask in the upper part of its own height: a stand-in for a leaf mask."""
-    bounds = pixels.groupBy(*keys).agg(F.min("row").alias("r0"), (F.max("row") + 1).alias("r1"))
-    return pixels.join(bounds, keys).filter(F.col("row") < F.col("r0") + F.floor((F.col("r1") - F.col("r0")) * share)).drop("r0", "r1")
+def _of_enough(pixels: DataFrame, keys: list[str], least: int) -> DataFrame:
+    enough = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return pixels.join(enough.select(*keys), keys, "left_semi")
+
+
+def upper_part(pixels: DataFrame, keys: list[str], least: int = K.MASK_MIN_PIXELS) -> DataFrame:
+    """Pixels of each mask down to 62 % of its own height, that line included, where mask and part have enough: a stand-in for a leaf mask."""
+    bounds = pixels.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    cutoff = F.col("r0") + F.floor((F.col("r1") - F.col("r0") + 1) * K.UPPER_PART)
+    return _of_enough(pixels.join(bounds, keys).filter(F.col("row") <= cutoff).drop("r0", "r1", "n"), keys, least)
 
 
-def lower_central_part(pixels: DataFrame, keys: list[str], share: float = 0.62, margin: float = 0.20, least: int = K.MASK_MIN_PIXELS) -> DataFrame:
-    """Pixels of the lower, central part of each mask, where there are enough: a stand-in for a pot mask."""
-    b = pixels.groupBy(*keys).agg(F.min("row").alias("r0"), (F.max("row") + 1).alias("r1"), F.min("col").alias("c0"), (F.max("col") + 1).alias("c1"))
-    w = F.col("c1") - F.col("c0")
-    kept = pixels.join(b, keys).filter((F.col("row") >= F.col("r0") + F.floor((F.col("r1") - F.col("r0")) * share)) & F.col("col").between(F.col("c0") + w * margin, F.col("c1") - w * margin)).drop("r0", "r1", "c0", "c1")
-    enough = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return kept.join(enough.select(*keys), keys, "left_semi")
+def lower_central_part(pixels: DataFrame, keys: list[str], width: Column, least: int = K.MASK_MIN_PIXELS) -> DataFrame:
+    """Pixels of each mask from 48 % of its height down and within 34 % of its width either side of its middle; a third of ``least`` of them, 200 at least. ``width`` is the image's."""
+    b = pixels.groupBy(*keys).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    across, centre = F.greatest(F.lit(1), F.col("c1") - F.col("c0") + 1) * K.LOWER_HALF_WIDTH, (F.col("c0") + F.col("c1")) / 2.0
+    left = F.greatest(F.lit(0.0), centre - across).cast("int")
+    right = F.least(width.cast("double"), centre + across).cast("int")
+    top = F.col("r0") + F.floor((F.col("r1") - F.col("r0") + 1) * K.LOWER_PART)
+    kept = pixels.join(b, keys).filter((F.col("row") >= top) & (F.col("col") >= left) & (F.col("col") < right)).drop("r0", "r1", "c0", "c1", "n")
+    return _of_enough(kept, keys, max(200, least // 3))

@@ -155,10 +155,10 @@ def depth_preview(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """CSV with sorted, flat columns; lists and maps as JSON text."""
+    """CSV with sorted, flat columns; lists and maps as JSON text. No part but a full one is written; without rows there is no header."""
     flat = flatten(df)
     nested = {f.name for f in flat.schema.fields if f.dataType.typeName() in ("array", "map")}
-    flat.select(*[(F.to_json(f"`{c}`") if c in nested else F.col(f"`{c}`")).alias(c) for c in sorted(flat.columns)]).write.csv(path, header=True)
+    flat.select(*[(F.to_json(f"`{c}`") if c in nested else F.col(f"`{c}`")).alias(c) for c in sorted(flat.columns)]).hint("rebalance").write.csv(path, header=not df.isEmpty())
 
 
 def public_columns(df: DataFrame, prefix: str = "_runtime_") -> DataFrame:

@@ -114,9 +114,9 @@ def test_plane_and_object(spark):
     planes = spark.createDataFrame([(1, fit.plane)], "view int, plane array<double>")
     assert C.plane_valid(pts, planes, ["view"]).first().reason is None
     moved = pts.withColumn("y", F.col("y") + 0.35)
-    assert C.plane_valid(moved, planes, ["view"]).first().reason == "too_few_inliers"
+    assert C.plane_valid(moved, planes, ["view"]).first().reason == "near_plane_inlier_count_too_low"
     tilted = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "view int, plane array<double>")
-    assert C.plane_valid(pts, tilted, ["view"]).first().reason == "normal_orientation"
+    assert C.plane_valid(pts, tilted, ["view"]).first().reason == "plane_normal_orientation_invalid"
     assert rng is not None
 
 
@@ -130,9 +130,9 @@ def fold(records):
     half, out, good = K.ROI_HALF_WIDTH, {}, []
     for c, n, lo, hi, mx in records:
         if abs(mx) > K.CENTRAL_LIMIT * half:
-            out[c] = "outside_object_zone"
+            out[c] = "centroid_outside_expected_object_zone"
         elif max(h - w for h, w in zip(hi, lo, strict=True)) > K.MAX_SPAN:
-            out[c] = "span_implausible"
+            out[c] = "physically_implausible_span"
         else:
             good.append((n / (1 + abs(mx) / half), c, n, lo, hi))
     good.sort(key=lambda g: (-g[2], g[1]))
@@ -149,9 +149,9 @@ def fold(records):
         if n > K.FRAGMENT_RATIO * p[2]:
             out[c] = "large_separate_cluster"
         elif gap > K.MERGE_GAP:
-            out[c] = "too_far_from_object"
+            out[c] = "fragment_too_far_from_primary"
         elif max(h - w for h, w in zip(uh, ul, strict=True)) > K.MAX_SPAN:
-            out[c] = "merged_span_implausible"
+            out[c] = "merge_would_make_bounds_implausible"
         else:
             out[c], lo, hi = "merged", ul, uh
     return out
