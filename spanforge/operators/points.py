@@ -168,6 +168,34 @@ def robust_span(values: Column, low: float = 0.01, high: float = 0.99) -> Column
     return p[1] - p[0]
 
 
+def quantiles(rows: DataFrame, keys: list[str], column: str, shares: list[float], buckets: int = 4096) -> DataFrame:
+    """Exact, interpolated quantiles of groups of any size: keys, n, low, high and ``q``, an array.
+
+    An aggregate that holds a group's distinct values in one task ends where a group is a
+    third of a large table. Here counts per bucket of equal width tell which buckets hold the
+    wanted ranks; only their rows are counted by value, and running counts inside a bucket
+    give the values. Null and NaN do not count.
+    """
+    v = rows.select(*keys, F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    bounds = v.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    width = F.col("high") - F.col("low")
+    bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
+    placed = v.join(bounds, keys).withColumn("bucket", bucket)
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("here")).withColumn("earlier", F.coalesce(F.sum("here").over(before), F.lit(0)))
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("share")) for i, q in enumerate(shares)])).alias("w")
+    place = (F.col("n") - 1) * F.col("w.share")
+    ends = bounds.select(*keys, "n", at).select(*keys, "w.i", (place - F.floor(place)).alias("part"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), f(place).cast("long").alias("rank")) for s, f in ((0, F.floor), (1, F.ceil))])).alias("e")).select(*keys, "i", "part", "e.side", "e.rank")
+    found = counts.join(ends, keys).filter((F.col("rank") >= F.col("earlier")) & (F.col("rank") < F.col("earlier") + F.col("here"))).select(*keys, "bucket", "earlier", "i", "part", "side", "rank")
+    inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    values = placed.join(found.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("times")).withColumn("less", F.coalesce(F.sum("times").over(inside), F.lit(0)))
+    hit = values.join(found, [*keys, "bucket"]).filter((F.col("rank") - F.col("earlier") >= F.col("less")) & (F.col("rank") - F.col("earlier") < F.col("less") + F.col("times")))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
+    each = hit.groupBy(*keys, "i").agg((side(0) + (side(1) - side(0)) * F.max("part")).alias("x"))
+    whole = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("q"))
+    return bounds.join(whole, keys)
+
+
 def robust_extents(points: DataFrame, keys: list[str]) -> DataFrame:
     """Spans of percentiles 1 to 99 on x and z and of all of y; of all on each axis under ten points."""
     few = F.count(F.lit(1)) < K.MIN_ROBUST_POINTS

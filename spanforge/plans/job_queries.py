@@ -76,10 +76,10 @@ def container_nearest(t):
     return out.select("p_partkey", "container", r6("container_delta").alias("container_delta"), "confidence")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'not_found' ELSE 'found' END AS status, p_brand AS brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 3 <> 0")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'not_found' ELSE 'found' END AS status, p_brand AS brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND l_partkey % 3 <> 0")
 def sku_lookup(t):
-    cat = t("part").filter("p_partkey % 3 <> 0").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("SKU-"), "p_partkey")).otherwise(F.concat(F.lit("sku-"), "p_partkey")).alias("sku"), F.col("p_brand").alias("brand"))
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit(" sku "), "l_partkey").alias("sku"))
+    cat = t("part").select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("SKU-"), "p_partkey")).otherwise(F.concat(F.lit("sku-"), "p_partkey")).alias("sku"), F.col("p_brand").alias("brand"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit(" sku "), "l_partkey", F.when(F.col("l_partkey") % 3 == 0, "-unknown").otherwise(" ")).alias("sku"))
     return Cat.lookup(rows, cat).select("l_orderkey", "l_linenumber", "status", "brand")
 
 

@@ -20,8 +20,8 @@ def xyz(t):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.99) - quantile_cont(l_extendedprice, 0.01), 6) AS robust_span, round(max(l_extendedprice) - min(l_extendedprice), 6) AS full_span, count(*) AS n_points FROM lineitem GROUP BY 1")
 def robust_span(t):
-    v = F.col("l_extendedprice")
-    return t("lineitem").groupBy("l_returnflag").agg(r6(P.robust_span(v)).alias("robust_span"), r6(F.max(v) - F.min(v)).alias("full_span"), F.count(F.lit(1)).alias("n_points"))
+    out = P.quantiles(t("lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.99])
+    return out.select("l_returnflag", r6(F.col("q")[1] - F.col("q")[0]).alias("robust_span"), r6(F.col("high") - F.col("low")).alias("full_span"), F.col("n").alias("n_points"))
 
 
 @query("""
@@ -74,36 +74,28 @@ def plane_split(t):
     return P.remove_plane(pts, planes, ["label"]).select("vec_id", "label")
 
 
-TRIPLES = [(i, (i * 7) % 19, (i * 11 + 3) % 23 + 19, (i * 5 + 1) % 8 + 42) for i in range(12)]
+#: Triples of points at even shares of each label's own number of points, in 97ths.
+TRIPLES = [(i, (i * 7 + 1) % 97, (i * 11 + 30) % 97, (i * 5 + 60) % 97) for i in range(24)]
 _T = ", ".join(map(str, TRIPLES))
 
 
 @query(f"""
-WITH p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM ({XYZ_SQL})), t(iteration, a, b, c) AS (VALUES {_T}),
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS m FROM ({XYZ_SQL})), t(iteration, a, b, c) AS (VALUES {_T}),
 k AS (SELECT q.label, iteration, q.x AS px, q.y AS py, q.z AS pz, r.x - q.x AS ux, r.y - q.y AS uy, r.z - q.z AS uz, s.x - q.x AS vx, s.y - q.y AS vy, s.z - q.z AS vz
-      FROM t JOIN p q ON q.i = t.a JOIN p r ON r.i = t.b AND r.label = q.label JOIN p s ON s.i = t.c AND s.label = q.label),
+      FROM t JOIN p q ON q.i = t.a * q.m // 97 JOIN p r ON r.i = t.b * r.m // 97 AND r.label = q.label JOIN p s ON s.i = t.c * s.m // 97 AND s.label = q.label),
 n AS (SELECT *, uy * vz - uz * vy AS nx, uz * vx - ux * vz AS ny, ux * vy - uy * vx AS nz FROM k),
-u AS (SELECT label, iteration, nx / m AS a, ny / m AS b, nz / m AS c, -(nx * px + ny * py + nz * pz) / m AS d FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS m FROM n)),
+u AS (SELECT label, iteration, nx / m AS a, ny / m AS b, nz / m AS c, -(nx * px + ny * py + nz * pz) / m AS d FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS m FROM n) WHERE m > 1e-12),
 c AS (SELECT p.label, iteration, a, b, c, d, count(*) FILTER (abs(x * a + y * b + z * c + d) <= 0.05) AS n_inliers FROM p JOIN u ON p.label = u.label GROUP BY ALL),
 best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY label ORDER BY n_inliers DESC, iteration) = 1)
-SELECT label, n_inliers, iteration, round(b, 6) AS normal_y, (SELECT count(*) FROM p WHERE p.label = best.label) AS n_points,
-       n_inliers >= greatest(30, floor(0.03 * (SELECT count(*) FROM p WHERE p.label = best.label))) AS found FROM best""")
+SELECT label, n_inliers, iteration, CASE WHEN found THEN round(b, 6) END AS normal_y, n_points, found
+FROM (SELECT *, (SELECT count(*) FROM p WHERE p.label = best.label) AS n_points, n_inliers >= greatest(30, floor(0.03 * (SELECT count(*) FROM p WHERE p.label = best.label))) AS found FROM best)""")
 def ransac_plane(t):
     pts = xyz(t).withColumn("ord", F.col("vec_id"))
-    spark = pts.sparkSession
-    triples = pts.select("label").distinct().crossJoin(F.broadcast(spark.createDataFrame(TRIPLES, "iteration int, a long, b long, c long")))  # twelve rows
+    sizes = pts.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    shares = F.explode(F.array(*[F.struct(F.lit(i).alias("iteration"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for i, a, b, c in TRIPLES])).alias("s")
+    triples = sizes.select("label", "m", shares).select("label", "s.iteration", *[F.floor(F.col(f"s.{c}") * F.col("m") / 97).alias(c) for c in ("a", "b", "c")])
     fit = C.fit_plane(pts, ["label"], triples, 0.05)
-    return _with_normal(pts, fit.filter("iteration is not null"), triples)
-
-
-def _with_normal(pts, fit, triples):
-    """The normal of the winning triple, also where too few points agree with it."""
-    win = fit.join(triples, ["label", "iteration"])
-    numbered = pts.withColumn("i", F.row_number().over(C.Window.partitionBy("label").orderBy("ord")) - 1).select("label", "i", F.struct(*P.AXES).alias("p"))
-    for c in ("a", "b", "c"):
-        win = win.join(numbered.select("label", F.col("i").alias(c), F.col("p").alias(f"p{c}")), ["label", c])
-    plane = C.plane_of(F.col("pa"), F.col("pb"), F.col("pc"))
-    return win.select("label", "n_inliers", "iteration", r6(plane[1]).alias("normal_y"), "n_points", F.col("plane").isNotNull().alias("found"))
+    return fit.select("label", "n_inliers", "iteration", r6(F.col("plane")[1]).alias("normal_y"), "n_points", F.col("plane").isNotNull().alias("found"))
 
 
 @query("SELECT label, floor(x / 0.05)::BIGINT AS vx, floor(y / 0.05)::BIGINT AS vy, floor(z / 0.05)::BIGINT AS vz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z, count(*) AS n_points FROM (%s) GROUP BY ALL" % XYZ_SQL)
@@ -112,28 +104,70 @@ def voxel_centroids(t):
     return out.select("label", "vx", "vy", "vz", *[r6(a).alias(a) for a in P.AXES], "n_points")
 
 
-@query("""
-WITH RECURSIVE v AS (SELECT DISTINCT floor(x / 0.1)::BIGINT AS a, floor(y / 0.1)::BIGINT AS b, floor(z / 0.1)::BIGINT AS c FROM (%s)),
-n AS (SELECT *, row_number() OVER (ORDER BY a, b, c) AS id FROM v),
-e AS (SELECT p.id AS s, q.id AS t FROM n p JOIN n q ON abs(p.a - q.a) <= 1 AND abs(p.b - q.b) <= 1 AND abs(p.c - q.c) <= 1),
-r AS (SELECT id AS s, id AS t FROM n UNION SELECT r.s, e.t FROM r JOIN e ON e.s = r.t),
-m AS (SELECT s, min(t) AS root FROM r GROUP BY s)
-SELECT a AS vx, b AS vy, c AS vz, dense_rank() OVER (ORDER BY root) - 1 AS component FROM n JOIN m ON n.id = m.s""" % XYZ_SQL)
+VOXELS_SQL = """v AS (SELECT DISTINCT label, floor(x / 0.4)::BIGINT AS a, floor(y / 0.4)::BIGINT AS b, floor(z / 0.4)::BIGINT AS c FROM (%s)),
+n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY a, b, c) AS id FROM v),
+e AS (SELECT p.label, p.id AS s, q.id AS t FROM n p JOIN n q ON p.label = q.label AND abs(p.a - q.a) <= 1 AND abs(p.b - q.b) <= 1 AND abs(p.c - q.c) <= 1),
+r AS (SELECT label, id AS s, id AS t FROM n UNION SELECT r.label, r.s, e.t FROM r JOIN e ON e.s = r.t AND e.label = r.label),
+m AS (SELECT label, s, min(t) AS root FROM r GROUP BY label, s),
+comp AS (SELECT n.label, a, b, c, dense_rank() OVER (PARTITION BY n.label ORDER BY root) - 1 AS component FROM n JOIN m ON n.id = m.s AND n.label = m.label)""" % XYZ_SQL
+
+
+@query(f"WITH RECURSIVE {VOXELS_SQL} SELECT label, a AS vx, b AS vy, c AS vz, component FROM comp")
 def voxel_components(t):
-    cells = xyz(t).select(F.lit(1).alias("view"), *[P.voxel(F.col(a), 0.1).alias(f"v{a}") for a in P.AXES])
-    return C.connected_cells(cells, ["view"], ["vx", "vy", "vz"]).select("vx", "vy", "vz", "component")
+    cells = xyz(t).select("label", *[P.voxel(F.col(a), 0.4).alias(f"v{a}") for a in P.AXES])
+    return C.connected_cells(cells, ["label"], ["vx", "vy", "vz"]).select("label", "vx", "vy", "vz", "component")
+
 
+@query(f"""
+WITH RECURSIVE {VOXELS_SQL}
+SELECT p.label, component, count(*) AS n_points, count(DISTINCT (a, b, c)) AS n_voxels, round(avg(x), 6) AS mean_x, round(min(y), 6) AS min_y, round(max(z), 6) AS max_z
+FROM ({XYZ_SQL}) p JOIN comp ON p.label = comp.label AND floor(x / 0.4)::BIGINT = a AND floor(y / 0.4)::BIGINT = b AND floor(z / 0.4)::BIGINT = c GROUP BY ALL HAVING count(*) >= 2""")
+def cluster_boxes(t):
+    records = C.cluster_records(C.voxel_clusters(xyz(t), ["label"], 0.4), ["label"], 2)
+    return records.select("label", "component", "n_points", "n_voxels", r6("mean_x").alias("mean_x"), r6("min_y").alias("min_y"), r6("max_z").alias("max_z"))
 
-@query()
+
+FINE_SQL = VOXELS_SQL.replace("/ 0.4)", "/ 0.2)")
+
+
+@query(f"""
+WITH RECURSIVE {FINE_SQL},
+rec AS (SELECT p.label, component, count(*) AS n, avg(x) AS mx, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS hx, max(y) AS hy, max(z) AS hz
+  FROM ({XYZ_SQL}) p JOIN comp ON p.label = comp.label AND floor(x / 0.2)::BIGINT = a AND floor(y / 0.2)::BIGINT = b AND floor(z / 0.2)::BIGINT = c GROUP BY ALL HAVING count(*) >= 1),
+j AS (SELECT *, CASE WHEN abs(mx) > 0.60 * 0.5334 THEN 'centroid_outside_expected_object_zone' WHEN greatest(hx - lx, hy - ly, hz - lz) > 2 THEN 'physically_implausible_span' END AS early FROM rec),
+g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, component) AS o FROM j WHERE early IS NULL),
+p AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY n / (1 + abs(mx) / 0.5334) DESC, n DESC, component) = 1),
+walk AS (SELECT label, 0::BIGINT AS o, NULL::BIGINT AS component, NULL::VARCHAR AS fate, lx, ly, lz, hx, hy, hz FROM p
+  UNION ALL SELECT label, o, component, fate, CASE WHEN fate = 'merged' THEN ux ELSE lx END, CASE WHEN fate = 'merged' THEN uy ELSE ly END, CASE WHEN fate = 'merged' THEN uz ELSE lz END,
+    CASE WHEN fate = 'merged' THEN vx ELSE hx END, CASE WHEN fate = 'merged' THEN vy ELSE hy END, CASE WHEN fate = 'merged' THEN vz ELSE hz END
+  FROM (SELECT w.label, g.o, g.component, w.lx, w.ly, w.lz, w.hx, w.hy, w.hz, least(w.lx, g.lx) AS ux, least(w.ly, g.ly) AS uy, least(w.lz, g.lz) AS uz, greatest(w.hx, g.hx) AS vx, greatest(w.hy, g.hy) AS vy, greatest(w.hz, g.hz) AS vz,
+    CASE WHEN g.component = p.component THEN 'primary' WHEN g.n > 0.35 * p.n THEN 'large_separate_cluster'
+      WHEN sqrt(pow(greatest(0, w.lx - g.hx, g.lx - w.hx), 2) + pow(greatest(0, w.ly - g.hy, g.ly - w.hy), 2) + pow(greatest(0, w.lz - g.hz, g.lz - w.hz), 2)) > 0.08 THEN 'fragment_too_far_from_primary'
+      WHEN greatest(greatest(w.hx, g.hx) - least(w.lx, g.lx), greatest(w.hy, g.hy) - least(w.ly, g.ly), greatest(w.hz, g.hz) - least(w.lz, g.lz)) > 2 THEN 'merge_would_make_bounds_implausible' ELSE 'merged' END AS fate
+    FROM walk w JOIN g ON g.label = w.label AND g.o = w.o + 1 JOIN p ON p.label = w.label))
+SELECT j.label, j.component, j.n AS n_points, coalesce(early, walk.fate) AS fate FROM j LEFT JOIN walk ON walk.label = j.label AND walk.component = j.component""")
 def cluster_select(t):
-    pts = xyz(t).withColumn("view", F.col("label") % 2)
-    records = C.cluster_records(C.voxel_clusters(pts, ["view"], 0.15), ["view"], 3)
-    return C.select_clusters(records, ["view"]).select("view", "component", "n_points", "n_voxels", "fate")
+    records = C.cluster_records(C.voxel_clusters(xyz(t), ["label"], 0.2), ["label"], 1)
+    return C.select_clusters(records, ["label"]).select("label", "component", "n_points", "fate")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE p AS (SELECT * FROM ({XYZ_SQL})),
+near AS (SELECT a.label, a.vec_id AS s, b.vec_id AS t FROM p a JOIN p b ON a.label = b.label AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.45),
+core AS (SELECT label, s FROM near GROUP BY ALL HAVING count(*) >= 5),
+e AS (SELECT near.* FROM near JOIN core c ON c.label = near.label AND c.s = near.s JOIN core d ON d.label = near.label AND d.s = near.t),
+r AS (SELECT label, s, s AS t FROM core UNION SELECT r.label, r.s, e.t FROM r JOIN e ON e.label = r.label AND e.s = r.t),
+m AS (SELECT label, s, min(t) AS root FROM r GROUP BY ALL)
+SELECT p.label, p.vec_id, m.root IS NOT NULL AS is_core, m.root AS first_core, m.root IS NOT NULL OR EXISTS (SELECT 1 FROM near JOIN core USING (label, s) WHERE near.t = p.vec_id AND near.label = p.label) AS clustered
+FROM p LEFT JOIN m ON m.label = p.label AND m.s = p.vec_id""")
 def density_clusters(t):
-    return C.dbscan(xyz(t).withColumn("view", F.lit(1)), ["view"], 0.25, 6).select("vec_id", "cluster")
+    pts = xyz(t)
+    found = C.dbscan(pts, ["label"], 0.45, 5)
+    a, b = pts.select("label", *P.AXES), pts.select("label", "vec_id", *[F.col(c).alias(f"o{c}") for c in P.AXES])
+    dense = b.join(a, "label").filter(F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2) <= 0.45).groupBy("label", "vec_id").agg((F.count(F.lit(1)) >= 5).alias("is_core"))
+    marked = found.join(dense, ["label", "vec_id"])
+    first = F.min(F.when(F.col("is_core"), F.col("vec_id"))).over(C.Window.partitionBy("label", "cluster"))
+    return marked.select("label", "vec_id", "is_core", F.when(F.col("is_core"), first).alias("first_core"), (F.col("cluster") >= 0).alias("clustered"))
 
 
 @query("""
@@ -194,19 +228,23 @@ def mask_overlap(t):
 WITH d AS (SELECT vec_id % 25 AS view, vec_id AS idx, CASE label % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'pot' WHEN 2 THEN 'table' ELSE 'leaf' END AS segment, abs(embedding[1]::DOUBLE) * 4 AS confidence,
   800 + floor(abs(embedding[2]::DOUBLE) * 8000) AS n_pixels, abs(embedding[3]::DOUBLE) * 1000 AS x1, abs(embedding[4]::DOUBLE) * 800 AS y1, abs(embedding[3]::DOUBLE) * 1000 + 100 + abs(embedding[5]::DOUBLE) * 1500 AS x2, abs(embedding[4]::DOUBLE) * 800 + 100 + abs(embedding[6]::DOUBLE) * 1500 AS y2 FROM embeddings),
 a AS (SELECT *, (x2 - x1) * (y2 - y1) / (1280.0 * 800) AS area, n_pixels >= 1000 AS usable FROM d),
-o AS (SELECT view, arg_max({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}, (confidence + least(area, 0.35), -idx)) AS ob FROM a WHERE segment = 'object' AND usable GROUP BY view),
-j AS (SELECT a.*, ob, coalesce(greatest(0, least(x2, ob.x2) - greatest(x1, ob.x1)) * greatest(0, least(y2, ob.y2) - greatest(y1, ob.y1)) / ((x2 - x1) * (y2 - y1)), 0) AS share,
+o AS (SELECT view, arg_max(idx, (confidence + least(area, 0.35), -idx)) AS oi, arg_max({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}, (confidence + least(area, 0.35), -idx)) AS ob FROM a WHERE segment = 'object' AND usable GROUP BY view),
+j AS (SELECT a.*, ob, oi, coalesce(greatest(0, least(x2, ob.x2) - greatest(x1, ob.x1)) * greatest(0, least(y2, ob.y2) - greatest(y1, ob.y1)) / greatest(1, (x2 - x1) * (y2 - y1)), 0) AS box, coalesce(greatest(0, least(x2, ob.x2) - greatest(x1, ob.x1)) * greatest(0, least(y2, ob.y2) - greatest(y1, ob.y1)) / ((x2 - x1) * (y2 - y1)), 0) AS share,
   coalesce(sqrt(pow((x1 + x2 - ob.x1 - ob.x2) / 2, 2) + pow((y1 + y2 - ob.y1 - ob.y2) / 2, 2)) / sqrt(1280.0 * 1280 + 800 * 800), 0) AS far,
-  (x1 <= 1280 * 0.03 OR x2 >= 1280 * 0.97 OR y1 <= 800 * 0.03 OR y2 >= 800 * 0.97) AND area < 0.01 AS tiny, (y1 + y2) / 2 / 800 AS cy FROM a LEFT JOIN o ON a.view = o.view),
-r AS (SELECT *, CASE WHEN NOT usable THEN 'mask_pixel_count_below_minimum' WHEN segment = 'pot' AND confidence < 0.4 THEN 'pot_confidence_below_minimum'
-  WHEN segment = 'pot' AND ob IS NOT NULL AND share < 0.03 AND far > 0.35 THEN 'pot_far_from_object' WHEN segment = 'pot' AND tiny AND share < 0.03 THEN 'pot_tiny_at_edge'
-  WHEN segment = 'table' AND (area < 0.05 OR cy < 0.45) THEN 'table_not_plausible' WHEN segment = 'leaf' AND ob IS NOT NULL AND share < 0.03 THEN 'leaf_outside_object' END AS reason FROM j),
-s AS (SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN segment = 'object' THEN confidence + least(area, 0.35) WHEN segment = 'pot' THEN confidence + 3 * share - far - CASE WHEN tiny THEN 0.25 ELSE 0 END
-  WHEN segment = 'table' THEN confidence + area + cy ELSE confidence + share END AS score FROM r)
-SELECT view, idx, segment, reason, round(score, 6) AS score, score IS NOT NULL AND row_number() OVER (PARTITION BY view, segment ORDER BY score DESC NULLS LAST, idx) = 1 AS chosen FROM s""")
+  (x1 <= 1280 * 0.03 OR x2 >= 1280 * 0.97) AND area < 0.01 AS tiny, (y1 + y2) / 2 / 800 AS cy FROM a LEFT JOIN o ON a.view = o.view),
+r AS (SELECT *, CASE WHEN NOT usable THEN 'mask_pixel_count_below_minimum'
+  WHEN segment = 'object' THEN CASE WHEN idx <> oi THEN 'lower_quality_than_selected_object' ELSE '' END
+  WHEN segment = 'pot' THEN concat_ws(',', CASE WHEN confidence < 0.4 THEN 'pot_confidence_below_minimum' END, CASE WHEN ob IS NOT NULL AND share < 0.03 AND box < 0.05 AND far > 0.35 THEN 'pot_not_spatially_consistent_with_object' END, CASE WHEN tiny AND share < 0.03 AND box < 0.05 THEN 'tiny_edge_pot_without_strong_object_overlap' END)
+  WHEN segment = 'table' THEN concat_ws(',', CASE WHEN area < 0.05 THEN 'table_area_below_minimum' END, CASE WHEN cy < 0.45 THEN 'table_not_low_enough_in_image' END)
+  WHEN ob IS NOT NULL AND share < 0.03 THEN 'leaf_not_overlapping_selected_object' ELSE '' END AS why FROM j),
+s AS (SELECT *, CASE WHEN why <> '' AND (segment <> 'object' OR NOT usable) THEN NULL WHEN segment = 'object' THEN confidence + least(area, 0.35) WHEN segment = 'pot' THEN confidence + 2 * share + box - far - CASE WHEN tiny THEN 0.25 ELSE 0 END
+  WHEN segment = 'table' THEN confidence + area + cy ELSE confidence + share END AS score FROM r),
+w AS (SELECT *, why = '' AND row_number() OVER (PARTITION BY view, segment, why = '' ORDER BY score DESC NULLS LAST, idx) = 1 AS chosen FROM s)
+SELECT view, idx, segment, CASE WHEN chosen OR why <> '' THEN why ELSE 'lower_quality_than_selected_' || segment END AS reasons,
+  CASE WHEN chosen THEN 'selected_' WHEN why <> '' THEN 'rejected_' ELSE 'rejected_lower_quality_for_' END || segment AS decision, round(score, 6) AS score, chosen FROM w""")
 def detection_rank(t):
     e = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double"))
     label = F.element_at(F.array(F.lit("Potted plant"), F.lit("plant pot"), F.lit("dining table"), F.lit("leaves")), (F.col("label") % 4 + 1).cast("int"))
     x1, y1 = e(2) * 1000, e(3) * 800
     d = t("embeddings").select((F.col("vec_id") % 25).alias("view"), F.col("vec_id").alias("idx"), label.alias("label"), (e(0) * 4).alias("confidence"), (800 + F.floor(e(1) * 8000)).alias("n_pixels"), B.box(x1, y1, x1 + 100 + e(4) * 1500, y1 + 100 + e(5) * 1500).alias("box"), F.lit(1280.0).alias("width"), F.lit(800.0).alias("height"))
-    return V.select_detections(d, ["view"]).select("view", "idx", "segment", "reason", r6("score").alias("score"), "chosen")
+    return V.select_detections(d, ["view"]).select("view", "idx", "segment", F.array_join("reasons", ",").alias("reasons"), "decision", r6("score").alias("score"), "chosen")

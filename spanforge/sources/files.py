@@ -47,6 +47,11 @@ def list_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
     """Two-dimensional .npy arrays as pixels: path, row, col, depth. Zero and non-finite ones stay."""
+    return depth_pixels(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path))
+
+
+def depth_pixels(files: DataFrame) -> DataFrame:
+    """The pixels of files already read as path and content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +63,6 @@ def read_depth(spark: SparkSession, path: str) -> DataFrame:
                     n = part.size
                     yield pa.record_batch([pa.array([name.as_py()] * n), pa.array((rows.ravel() + top).astype(np.int32)), pa.array(cols.ravel().astype(np.int32)), pa.array(part.ravel())], names=["path", "row", "col", "depth"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path)
     return files.select("path", "content").mapInArrow(run, "path string, row int, col int, depth float")
 
 
@@ -85,7 +89,11 @@ def write_ply(points: DataFrame, path: str) -> None:
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """Cells of .xlsx workbooks: path, sheet, row_no, col_no, value; ``error`` for a file that is none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return workbook_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path))
+
+
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """The cells of files already read as path and content."""
     return files.select("path", "content").mapInPandas(_cells, "path string, sheet string, row_no int, col_no int, value string, error string")
 
 
