@@ -27,10 +27,11 @@ _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationship
 
 def read_records(spark: SparkSession, path: str, schema: str, depth: int = 1) -> DataFrame:
     """Pretty-printed JSON files, one record each, with ``job_id`` from the folder ``depth`` levels up and ``failure`` for a malformed file."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").json(path, multiLine=True, columnNameOfCorruptRecord="_corrupt_record")
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    named = df.withColumn("job_id", F.element_at(parts, -1 - depth))
-    return named.withColumn("failure", F.when(F.col("_corrupt_record").isNotNull(), "malformed")).drop("_corrupt_record")
+    files = spark.read.text(path, wholetext=True).withColumn("job_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - depth))
+    parsed = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    broken = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    out = files.select("job_id", parsed.alias("r")).select("r.*", "job_id", F.when(broken, "malformed").alias("failure"))
+    return out.drop("_corrupt_record")
 
 
 def failures(records: DataFrame, expected: DataFrame, name: str, *, job: str = "job_id") -> DataFrame:
