@@ -1,4 +1,4 @@
-"""Joins that a hot key can't skew, and connected components by alternating stars."""
+"""Joins whose hot keys adaptive execution can split, and connected components by alternating stars."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
     Both sides are shuffled for the join itself: the key goes in as a struct, so that
     ``facts`` never counts as partitioned already. Adaptive execution can then split the
-    rows of a hot key over many tasks, as it does for no other shape of join.
+    rows of a hot key over many tasks, as it does for no other shape of join. It does so
+    past its own threshold (``spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes``),
+    so a smaller partition of a hot key is read by one task.
     """
     own = [c for c in rows.columns if c != key]
     left = rows.select(F.struct(key).alias("hot_safe_key"), *own)

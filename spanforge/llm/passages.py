@@ -11,6 +11,9 @@ words or more that equal an earlier line go; other repeats go when a run of neig
 holds ``least_run`` words or more: a short sentence that two documents share by chance
 stays. Offsets of what went refer to the original text.
 
+With ``sentences=False`` lines alone are units, and every repeated one of ``least_line``
+words or more goes.
+
 Texts are cut in blocks of about a million characters, all at once by array operations; a
 longer text is a block of its own, so a text costs memory in proportion to its length.
 
@@ -92,8 +95,8 @@ def _segments(last: np.ndarray, line_last: np.ndarray) -> np.ndarray:
     return last[closes]
 
 
-def cut(texts: list[str]) -> Units:
-    """Units of whole texts, by array operations over all of them."""
+def cut(texts: list[str], least_line: int = LEAST_UNIT) -> Units:
+    """Units of whole texts, by array operations over all of them; lines of ``least_line`` words or more have a unit of their own."""
     kinds, lowers = _of_letters()
     points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), dtype="<u4")
     low = np.minimum(points, _TOP - 1)
@@ -142,7 +145,7 @@ def cut(texts: list[str]) -> Units:
 
     line_ends = np.flatnonzero(line_last)
     line_first = np.concatenate(([0], line_ends[:-1] + 1))
-    long = line_ends - line_first + 1 >= LEAST_UNIT
+    long = line_ends - line_first + 1 >= least_line
     line_first, line_ends = line_first[long], line_ends[long]
     before = np.searchsorted(last, line_first)  # the first unit inside the line
     a, b = np.insert(first, before, line_first), np.insert(last, before, line_ends) + 1
@@ -180,21 +183,25 @@ def blocks(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield at, len(lengths)
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(least_line: int, sentences: bool):
     """A row for each text, and one for the first of equal units of a text. Numbers are a task's own; the written table keeps them."""
-    num = TaskContext.get().partitionId() << 40
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    for batch in batches:
-        texts, n = batch.column(3).to_pylist(), batch.num_rows
-        for a, b in blocks(list(map(len, texts))):
-            u = cut(texts[a:b])
-            use = np.flatnonzero(~u.repeated)
-            owner = u.owner[use]
-            columns = (num + a + owner, use - u.first[owner], u.d1[use], u.d2[use])
-            yield pa.record_batch([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], *[pa.nulls(len(use), k) for k in kinds[4:]]], names=[c.split()[0] for c in UNITS.split(", ")])
-        named = [pa.array(num + np.arange(n)), pa.array(np.full(n, -1), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *batch.columns[:3]]
-        yield pa.record_batch(named, names=[c.split()[0] for c in UNITS.split(", ")])
-        num += n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num = TaskContext.get().partitionId() << 40
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for batch in batches:
+            texts, n = batch.column(3).to_pylist(), batch.num_rows
+            for a, b in blocks(list(map(len, texts))):
+                u = cut(texts[a:b], least_line)
+                use = np.flatnonzero(~u.repeated & (sentences | (u.start == u.end)))
+                owner = u.owner[use]
+                columns = (num + a + owner, use - u.first[owner], u.d1[use], u.d2[use])
+                yield pa.record_batch([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], *[pa.nulls(len(use), k) for k in kinds[4:]]], names=[c.split()[0] for c in UNITS.split(", ")])
+            named = [pa.array(num + np.arange(n)), pa.array(np.full(n, -1), pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *batch.columns[:3]]
+            yield pa.record_batch(named, names=[c.split()[0] for c in UNITS.split(", ")])
+            num += n
+
+    return run
 
 
 def _spans(u: Units, a: int, b: int, repeated: np.ndarray, least_run: int) -> list[tuple[int, int]]:
@@ -240,7 +247,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def _cleaned(position: int, least_run: int):
+def _cleaned(position: int, least_run: int, least_line: int, sentences: bool):
     """The last column of a batch holds the repeated units; it becomes the removed spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +257,8 @@ def _cleaned(position: int, least_run: int):
             flat, gone = found.flatten().to_numpy(), [[]] * len(texts)
             cuts = np.concatenate(([0], np.cumsum(count)))
             for a, b in blocks([len(t or "") for t in texts]):
-                u = cut([t or "" for t in texts[a:b]])
-                flags = u.repeated.copy()
+                u = cut([t or "" for t in texts[a:b]], least_line)
+                flags = u.repeated & (sentences | (u.start == u.end))
                 flags[np.repeat(u.first[:-1], count[a:b]) + flat[cuts[a] : cuts[b]]] = True
                 for i in np.unique(u.owner[flags]).tolist():
                     if spans := _spans(u, int(u.first[i]), int(u.first[i + 1]), flags, least_run):
@@ -264,14 +271,14 @@ def _cleaned(position: int, least_run: int):
     return run
 
 
-def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, removed_col: str = "removed") -> DataFrame:
+def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, least_line: int = LEAST_UNIT, sentences: bool = True, removed_col: str = "removed") -> DataFrame:
     """All rows and columns of ``docs``, the text without its repeats, and the removed spans in ``removed_col``."""
     key, removed = fresh("row_key", docs.columns), fresh(removed_col, docs.columns)
     own_id, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     keyed = docs.withColumn(key, F.struct(F.xxhash64(own_id, text).alias("k1"), F.xxhash64(F.lit("second"), own_id, text).alias("k2")))
     rank = F.coalesce(own_id.cast("long"), F.lit(2**63 - 1))
     texts = keyed.select(F.col(f"`{key}`.k1"), F.col(f"`{key}`.k2"), rank.alias("rank"), text.alias("text")).filter("text is not null")
-    listed = materialise(texts.mapInArrow(_listed, UNITS), "units")
+    listed = materialise(texts.mapInArrow(_listed(least_line, sentences), UNITS), "units")
     found = listed.filter("unit >= 0")
     several = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     digest, order = F.struct("d1", "d2").alias("digest"), F.struct("rank", "k1", "k2")
@@ -284,7 +291,7 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     discard(shared)
     joined = keyed.join(flagged, key, "left").select(*[f"`{c}`" for c in docs.columns], f"`{removed}`")
     shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{removed}` {REMOVED}"])
-    return joined.mapInArrow(_cleaned(docs.columns.index(text_col), least_run), shape)
+    return joined.mapInArrow(_cleaned(docs.columns.index(text_col), least_run, least_line, sentences), shape)
 
 
 def op6_passages(spark, sf_dir: str) -> DataFrame:

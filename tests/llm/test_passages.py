@@ -119,3 +119,24 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, long), (2, f"before {long}"), (3, "x" * 500_000), (4, "y " * 200_000)], "doc_id long, text string")
     left = {r.doc_id: r.text for r in drop_repeats(docs).collect()}
     assert left[1] == long and len(left[2]) < 200 and left[3] == "x" * 500_000 and len(left[4]) <= 400_000
+
+
+def test_lines_alone_are_the_plain_method(spark):
+    rng = np.random.default_rng(13)
+    pool = ["one", "two words", "A  third line here", "", " ", *[words(rng, 9) for _ in range(6)]]
+    rows = [(i, "\n".join(pool[j] if j < len(pool) else words(rng, 7) for j in rng.integers(0, 16, 8))) for i in range(30)]
+    seen, want = set(), {}
+    for i, text in rows:
+        left = []
+        for line in text.splitlines(keepends=True):
+            name = " ".join(line.lower().split())
+            if not name or name not in seen:
+                left.append(line)
+            seen.add(name)
+        want[i] = "".join(left)
+    got = {r.doc_id: r for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), sentences=False, least_line=1).collect()}
+    # blank lines belong to the line after them, so what is left is compared without them
+    plain = lambda text: [" ".join(x.split()) for x in text.splitlines() if x.strip()]
+    assert {i: plain(r.text) for i, r in got.items()} == {i: plain(t) for i, t in want.items()}
+    for i, r in got.items():
+        assert without(dict(rows)[i], [(s.start, s.end) for s in r.removed]) == r.text
