@@ -13,7 +13,9 @@ from spanforge.functions import boxes as B
 from spanforge.functions import constants as K
 from spanforge.operators import catalogue as Cat
 from spanforge.operators import cluster as C
+from spanforge.operators import features as Fe
 from spanforge.operators import points as P
+from spanforge.operators import training as Tr
 from spanforge.operators import vision as V
 from spanforge.plans.base import ORACLE_SQL, QUERIES, query, r6, scratch
 from spanforge.plans.points_queries import XYZ_SQL, xyz
@@ -140,18 +142,24 @@ def crop_masks(t):
 
 
 @query("""
-WITH RECURSIVE m AS (%s), g AS (SELECT v.view, r.r, c.c, m.view IS NOT NULL AS hit FROM (SELECT DISTINCT view FROM m) v, range(60) r(r), range(80) c(c) LEFT JOIN m ON m.view = v.view AND m.row = r.r AND m.col = c.c),
-d AS (SELECT view, sha256(unhex(string_agg(CASE WHEN hit THEN '01' ELSE '00' END, '' ORDER BY r, c))) AS digest, count(*) FILTER (hit AND r %% 2 = 1 AND c %% 2 = 1) AS half_pixels FROM g GROUP BY view),
-s AS (SELECT view, row, col FROM m WHERE col < 8 AND row < 8), e AS (SELECT view, row * 100 + col AS id, row, col FROM s),
-r AS (SELECT view, id AS s, id AS t FROM e UNION SELECT r.view, r.s, b.id FROM r JOIN e a ON a.view = r.view AND a.id = r.t JOIN e b ON b.view = a.view AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
-n AS (SELECT view, count(DISTINCT root) AS n_components FROM (SELECT view, s, min(t) AS root FROM r GROUP BY ALL) GROUP BY view)
-SELECT d.view, digest, half_pixels, n_components FROM d JOIN n ON d.view = n.view""" % MASK_SQL)
+WITH m AS (%s), g AS (SELECT v.view, r.r, c.c, m.view IS NOT NULL AS hit FROM (SELECT DISTINCT view FROM m) v, range(60) r(r), range(80) c(c) LEFT JOIN m ON m.view = v.view AND m.row = r.r AND m.col = c.c),
+d AS (SELECT view, sha256(unhex(string_agg(CASE WHEN hit THEN '01' ELSE '00' END, '' ORDER BY r, c))) AS digest, count(*) FILTER (hit AND r %% 2 = 1 AND c %% 2 = 1) AS half_pixels FROM g GROUP BY view)
+SELECT view, digest, half_pixels FROM d""" % MASK_SQL)
 def mask_records(t):
     m = mask_pixels(t)
     half = V.resize_mask(m.select("view", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")), ["view"], (60, 80), (30, 40))
     n = half.groupBy("view").agg(F.count(F.lit(1)).alias("half_pixels"))
-    parts = C.mask_components(m.filter("col < 8 and row < 8"), ["view"])
-    return V.mask_digest(m, ["view"], 60, 80).join(n, "view").join(parts, "view")
+    return V.mask_digest(m, ["view"], 60, 80).join(n, "view")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT o_orderstatus AS view, o_custkey % 300 * 1000 + o_orderkey % 400 AS id, o_custkey % 300 AS row, o_orderkey % 400 AS col FROM orders),
+n AS (SELECT a.view, a.id AS s, b.id AS t FROM e a JOIN e b ON a.view = b.view AND (a.row = b.row AND abs(a.col - b.col) = 1 OR a.col = b.col AND abs(a.row - b.row) = 1)),
+r AS (SELECT view, id AS s, id AS t FROM e UNION SELECT r.view, r.s, n.t FROM r JOIN n ON n.view = r.view AND n.s = r.t)
+SELECT view, count(DISTINCT root) AS n_components FROM (SELECT view, s, min(t) AS root FROM r GROUP BY ALL) GROUP BY view""")
+def mask_parts(t):
+    px = t("orders").select(F.col("o_orderstatus").alias("view"), (F.col("o_custkey") % 300).alias("row"), (F.col("o_orderkey") % 400).alias("col"))
+    return C.mask_components(px, ["view"])
 
 
 @query("""
@@ -299,3 +307,77 @@ def plane_stream(spark, t):
     return spark.read.parquet(out).select("capture_id", F.get("plane", F.lit(0)).alias("plane"), "reused")
 
 
+
+
+@query("""
+WITH d AS (SELECT event_id // 40 AS view, event_id AS idx, event_id % 60 AS x, (event_id // 60) % 40 AS y, 6 + event_id % 5 AS s, (['object', 'pot', 'leaf', 'table'])[event_id % 4 + 1] AS segment, event_id % 7 = 0 AS blocked FROM events),
+f AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY idx) AS o, idx = min(idx) FILTER (segment = 'object') OVER (PARTITION BY view) AS is_primary FROM d),
+px AS (SELECT f.*, list_distinct(flatten(list_transform(range(y, y + s), lambda r: list_transform(range(x, x + s + 3), lambda c: r * 100 + c)))) AS pixels FROM f),
+p AS (SELECT * FROM px WHERE is_primary),
+walk AS (WITH RECURSIVE w AS (SELECT view, 0::BIGINT AS o, NULL::BIGINT AS idx, NULL::BOOLEAN AS accepted, NULL::VARCHAR AS reason, pixels AS u FROM p
+  UNION ALL SELECT view, o, idx, reason IS NULL OR reason = 'primary_object_anchor', reason, CASE WHEN reason IS NULL THEN list_distinct(list_concat(u, pixels)) ELSE u END
+  FROM (SELECT w.view, px.o, px.idx, w.u, px.pixels, CASE WHEN px.is_primary THEN 'primary_object_anchor' WHEN px.segment = 'table' THEN 'segment_not_part_of_full_object_union'
+      WHEN len(px.pixels) < 50 THEN 'mask_pixel_count_below_object_union_minimum' WHEN px.blocked AND px.segment = 'object' THEN 'candidate_has_blocking_rejection'
+      WHEN len(list_intersect(px.pixels, w.u)) / len(px.pixels) >= 0.01
+        OR greatest(0, least(px.x + px.s + 3, p.x + p.s + 3) - greatest(px.x, p.x)) * greatest(0, least(px.y + px.s, p.y + p.s) - greatest(px.y, p.y)) / ((px.s + 3) * px.s) >= 0.01
+        OR sqrt(pow(greatest(0, px.x - list_max(list_transform(w.u, lambda q: q % 100)) - 1, list_min(list_transform(w.u, lambda q: q % 100)) - px.x - px.s - 3), 2)
+              + pow(greatest(0, px.y - list_max(list_transform(w.u, lambda q: q // 100)) - 1, list_min(list_transform(w.u, lambda q: q // 100)) - px.y - px.s), 2)) / sqrt(100.0 * 100 + 80 * 80) <= 0.07 THEN NULL
+      ELSE 'not_spatially_consistent_with_primary_object' END AS reason
+    FROM w JOIN px ON px.view = w.view AND px.o = w.o + 1 JOIN p ON p.view = w.view)) SELECT * FROM w)
+SELECT view, idx, accepted, reason FROM walk WHERE o > 0""")
+def object_unions(t):
+    k = F.col("event_id")
+    x, y, s = k % 60, F.floor(k / 60) % 40, 6 + k % 5
+    seg = F.element_at(F.array(*[F.lit(v) for v in ("object", "pot", "leaf", "table")]), (k % 4 + 1).cast("int"))
+    pixels = F.flatten(F.transform(F.sequence(y, y + s - 1), lambda r: F.transform(F.sequence(x, x + s + 2), lambda c: r * 100 + c)))
+    d = t("events").select(F.floor(k / 40).alias("view"), k.alias("idx"), seg.alias("segment"), (k % 7 == 0).alias("blocked"), B.box(x, y, x + s + 3, y + s).alias("box"), pixels.alias("pixels"), F.lit(100).alias("width"), F.lit(80).alias("height"))
+    first = F.min(F.when(F.col("segment") == "object", F.col("idx"))).over(C.Window.partitionBy("view"))
+    out = V.union_parts(d.withColumn("is_primary", F.coalesce(F.col("idx") == first, F.lit(False))), ["view"])
+    return out.filter("reason is null or reason <> 'no_primary_object'").select("view", "idx", "accepted", "reason")
+
+
+PLANES = [(1, [0.0, 0.6, 0.8, -0.5]), (2, [0.0, 0.99, 0.14106735979665885, -0.2]), (3, [0.0, 2.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0, 2.5]), (5, [0.0, 1.0, 0.0, 0.0])]
+
+
+@query("""
+WITH c(k, a, b, c, d) AS (VALUES %s), p AS (SELECT k.k, o_custkey %% 100 / 100.0 AS x, o_totalprice / 500000 * (o_orderkey %% 5) / 4.0 AS y, o_orderkey %% 50 / 50.0 AS z FROM orders, range(1, 6) k(k)),
+s AS (SELECT c.*, count(p.k) AS n, count(*) FILTER (abs(x * a + y * b + z * c + d) <= 0.008) AS near, greatest(count(*) FILTER (x * a + y * b + z * c + d > 0.008), count(*) FILTER (x * a + y * b + z * c + d < -0.008)) AS side FROM c LEFT JOIN p ON p.k = c.k GROUP BY ALL)
+SELECT k, CASE WHEN abs(sqrt(a * a + b * b + c * c) - 1) > 1e-3 THEN 'plane_coefficients_invalid_or_not_normalized' WHEN abs(b) < 0.85 THEN 'plane_normal_orientation_invalid' WHEN abs(d) > 2 THEN 'plane_offset_implausible'
+  WHEN n < 3 THEN 'not_enough_points_for_cache_validation' WHEN near < 500 THEN 'near_plane_inlier_count_too_low' WHEN near / n < 0.2 THEN 'near_plane_inlier_ratio_too_low' WHEN side < 30 THEN 'remaining_non_table_points_too_low' WHEN side / n < 0.03 THEN 'above_below_distribution_implausible' END AS reason FROM s""" % ", ".join(f"({k}, {', '.join(f'{v}::DOUBLE' for v in p)})" for k, p in PLANES))
+def plane_checks(t):
+    o = t("orders")
+    pts = o.select(F.explode(F.array(*[F.lit(k) for k, _ in PLANES])).alias("k"), (F.col("o_custkey") % 100 / 100.0).alias("x"), (F.col("o_totalprice") / 500000 * (F.col("o_orderkey") % 5) / 4.0).alias("y"), (F.col("o_orderkey") % 50 / 50.0).alias("z"))
+    planes = o.sparkSession.createDataFrame(PLANES, "k int, plane array<double>")
+    return C.plane_valid(pts, planes, ["k"]).select("k", "reason")
+
+
+@query("""
+SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_id::DOUBLE END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM events""")
+def kept_planes(t):
+    fits = t("events").select("event_id", "user_id", F.struct("ts", "event_id").alias("captured_at"), F.array(F.col("event_id").cast("double")).alias("plane"), (F.col("event_id") % 3 == 0).alias("valid"))
+    return C.latest_plane(fits, ["user_id"]).select("event_id", F.get("cached_plane", F.lit(0)).alias("kept"))
+
+
+@query("""
+WITH p AS (%s), v AS (SELECT label, count(*) AS n, max(x) - min(x) AS sx, max(y) - min(y) AS sy, max(z) - min(z) AS sz, quantile_cont(y * 39.3701, 0.9) AS p90 FROM p GROUP BY label)
+SELECT label, n AS object_point_count, round(sx * 39.3701, 6) AS object_bbox_length_in, round(p90, 6) AS object_y_p90, true AS object_available, label %% 3 = 0 AS leaf_available, CASE WHEN label %% 3 <> 1 THEN round(sy * 39.3701, 6) END AS leaf_bbox_height_in, label %% 2 = 0 AS table_available FROM v""" % XYZ_SQL)
+def view_feature_rows(t):
+    pts = xyz(t)
+    geometry, profile = P.dimensions(pts, ["label"]).withColumn("geometry_status", F.when(F.col("label") % 2 == 0, "ok").otherwise("degraded")), P.profile(pts, ["label"])
+    k = F.col("label")
+    seg = pts.select("label").distinct().select("label", F.lit("ok").alias("object_status"), F.when(k % 3 == 0, "ok").when(k % 3 == 1, "fallback").otherwise("missing").alias("leaf_status"), F.when(k % 2 == 0, "ok").alias("table_status"))
+    out = Fe.view_features(geometry, profile, profile, seg, ["label"])
+    return out.select("label", "object_point_count", r6("object_bbox_length_in").alias("object_bbox_length_in"), r6("object_y_p90").alias("object_y_p90"), "object_available", "leaf_available", r6("leaf_bbox_height_in").alias("leaf_bbox_height_in"), "table_available")
+
+
+@stored("SELECT label, (SELECT count(*) FROM part) AS n_inside FROM (VALUES ('length_in'), ('width_in'), ('height_in')) t(label)")
+def forest_ranges(spark, t):
+    """Forests saved, read again and applied: how many of their answers lie between the least and the greatest label that they saw, which all must."""
+    rows = t("part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), (F.col("p_size") * 1.5).alias("length_in"), (F.col("p_size") + 2.0).alias("width_in"), (F.col("p_retailprice") / 100).alias("height_in"))
+    path = scratch(spark, "models")
+    models, n = Tr.train_boxes(rows, ["a", "b"])
+    Tr.save_models(models, path, spark.createDataFrame([(n,)], "n_rows long"))
+    out = Tr.predict_boxes(Tr.load_models(path), rows, ["a", "b"])
+    bounds = Tr.label_summary(rows).select("label", "least", "greatest")
+    long = out.select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"predicted_{c}").alias("p")) for c in K.LABEL_FIELDS])).alias("e")).select("e.*")
+    return long.join(bounds, "label").groupBy("label").agg(F.count_if(F.col("p").between(F.col("least") - 1e-9, F.col("greatest") + 1e-9)).alias("n_inside"))
