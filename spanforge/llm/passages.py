@@ -14,7 +14,7 @@ stays. Offsets of what went refer to the original text.
 With ``sentences=False`` lines alone are units, and every repeated one of ``least_line``
 words or more goes.
 
-Texts are cut in blocks of about a million characters, all at once by array operations; a
+Texts are cut in blocks of about 250,000 characters, all at once by array operations; a
 longer text is a block of its own, so a text costs memory in proportion to its length.
 
 Defined results: a null text stays null; an empty one stays empty; a null doc_id ranks
@@ -40,7 +40,7 @@ from spanforge.llm.words import mixed, powers
 
 LEAST_UNIT, LEAST_RUN = 4, 16
 #: Texts cut together hold about so many characters.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 250_000
 #: Units of numbered texts, and for each text one row of unit -1 that names it.
 UNITS = "num long, unit int, d1 long, d2 int, k1 long, k2 long, rank long"
 REMOVED = "array<struct<start:int,end:int>>"
