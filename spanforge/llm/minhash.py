@@ -304,7 +304,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     known = classes.join(bounds.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid").select("cid", "grp", "row", "n_shingles")
     sizes = known.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     candidates = materialise(attach(known.select("cid", "grp", "row"), sizes, "grp"), "candidates")
-    standing = attach(texts.select(_row().alias("row"), "text"), candidates, "row").select("text", "cid", "grp", "blocks")
+    # a sort-merge join at every size: rows of a hot key can be split, and no candidate list is ever sent to all
+    standing = attach(texts.select(_row().alias("row"), "text"), candidates.hint("merge"), "row").select("text", "cid", "grp", "blocks")
     sets = standing.mapInArrow(_sets(width), "cid long, grp long, blocks int, shingles binary")
     links = block_pairs(sets, "grp", "blocks", "shingles").mapInArrow(_forests(_set_trees(percent)), "a long, b long")
     found = components(links)
@@ -329,7 +330,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(f"`{text_col}`")
     own_id = F.col(f"`{id_col}`")
     keyed = docs.withColumn(row, F.struct(F.isnull(own_id).alias("none"), F.coalesce(own_id, F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")))
-    once = keyed.join(kept.filter(F.col(times) == 1), row, "left_semi").select(*names)
+    once = keyed.join(kept.filter(F.col(times) == 1).hint("merge"), row, "left_semi").select(*names)
     again = kept.filter(F.col(times) > 1)
     if again.isEmpty():
         return once
