@@ -18,8 +18,9 @@ Steps 2 and 4 never list pairs. A bucket or component is cut into blocks of boun
 every pair of blocks is one unit of work, and what leaves is a spanning forest of the
 pair. Within it, classes that are in one tree already are not compared again, so a large
 group of near copies costs little more than one comparison for each member and block. A
-member is repeated once for each block of its own group (members / 16,384 in step 2,
-shingles / a million in step 4), which is one for all but huge groups. Nothing is capped.
+member is repeated once for each block of its own group: members / 16,384 in step 2; in
+step 4 shingles / a million or the root of members / 64, whichever is more, so that a
+group of any size is many units of work. Nothing is capped.
 
 Joins on keys that may be hot go through ``graph.attach``, so that adaptive execution can
 split them; a partition under its threshold stays whole.
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.graph import attach, components
@@ -263,6 +264,11 @@ def _sets(width: int):
     return run
 
 
+def shares(n: Column, most: int) -> Column:
+    """Blocks of a group of ``n``: as many as its root over eight, so that units of work grow more slowly than groups, and ``most`` rows at most in each."""
+    return F.greatest(F.ceil(n / most), F.ceil(F.sqrt(n / 64.0)))
+
+
 def block_pairs(rows: DataFrame, key: str, blocks: str, payload: str) -> DataFrame:
     """Each row once for every pair of blocks that its own block is in, sorted by (key, i, j).
 
@@ -302,7 +308,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     discard(found)
 
     known = classes.join(bounds.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid").select("cid", "grp", "row", "n_shingles")
-    sizes = known.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = known.groupBy("grp").agg(F.greatest(shares(F.count(F.lit(1)), block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     candidates = materialise(attach(known.select("cid", "grp", "row"), sizes, "grp"), "candidates")
     # a sort-merge join at every size: rows of a hot key can be split, and no candidate list is ever sent to all
     standing = attach(texts.select(_row().alias("row"), "text"), candidates.hint("merge"), "row").select("text", "cid", "grp", "blocks")

@@ -11,7 +11,7 @@ once for each so many vectors and a vector once for each shard, in single precis
 
 What searches find, with a margin for single precision, leaves as spanning forests and
 bounds who can be linked. Inside a component all cosines are then taken in double
-precision, in blocks of ``block_rows`` vectors: links are counted for both ends, so counts
+precision, in blocks of ``block_rows`` vectors at most: links are counted for both ends, so counts
 are symmetric, and what leaves is a count for each vector and a spanning forest, never the
 pairs. A member is repeated once for each block of its own component. Components of the
 confirmed links are the result.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm.graph import attach, components
 from spanforge.llm.hnsw import Hnsw
-from spanforge.llm.minhash import _sides, block_pairs, groups
+from spanforge.llm.minhash import _sides, block_pairs, groups, shares
 from spanforge.llm.storage import discard, materialise, with_clear_names
 
 CHECKED = "vec_id long, n1 long, n2 long, dim int, raw binary"
@@ -225,7 +225,7 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "
     bounds = components(searched.select("a", "b"))
 
     known = classes.join(bounds.select(F.col("node").alias("cid"), F.col("root").alias("grp")), "cid").select("cid", "grp", F.struct("copies", "raw").alias("value"))
-    sizes = known.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    sizes = known.groupBy("grp").agg(shares(F.count(F.lit(1)), block_rows).cast("int").alias("blocks"))
     pairs = block_pairs(attach(known, sizes, "grp"), "grp", "blocks", "value")
     found = materialise(pairs.mapInArrow(_confirm(least), "a long, b long, links long"), "links")
     discard(bounds, graphs)
