@@ -43,6 +43,8 @@ from spanforge.llm.words import mixed, powers
 BLANK = "▁"
 #: Texts walked together hold about so many characters.
 BLOCK_CHARS = 1_000_000
+#: Choices for which a table of lattices has room, per node; a text's own may need more.
+CHOICES = 3
 #: A group further than this below another cannot win: a 53-bit uniform bounds a Gumbel to (-3.7, 37).
 HOPELESS = 45.0
 SAMPLES = "doc_id long, sample int, n_pieces long, log_prob double, gumbel double, log_inclusion double, round_trip boolean, ids array<int>"
@@ -155,18 +157,34 @@ class Segments:
 
 
 class Lattices:
-    """Lattice nodes of the segments seen so far, each with the pieces that begin there, the shortest first. Emptied when full."""
+    """Lattice nodes of the segments seen so far, each with the pieces that begin there, the shortest first. Emptied when full.
 
-    def __init__(self, vocabulary: Vocabulary, nodes: int = 1_000_000):
+    The choices of all nodes lie one after another, those of a node from ``first[node]`` to ``first[node + 1]``.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, nodes: int = 4_000_000):
         self.v, self.capacity = vocabulary, nodes
         self._clear(nodes)
 
     def _clear(self, nodes: int) -> None:
         self.known, self.base = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.used, width = 0, self.v.choices
-        self.cum = np.empty((nodes, width), dtype=np.float32)
-        self.both = np.empty((nodes, width, 2), dtype=np.int32)  # code and log_q side by side: one access gives both
-        self.piece, self.log_q = self.both[:, :, 0], self.both.view(np.float32)[:, :, 1]
+        self.used, self.used_choices = 0, 0
+        self.first = np.zeros(nodes + 1, dtype=np.int64)
+        self.below = np.empty(0, dtype=np.float32)  # share of a node's earlier choices
+        self.both = np.empty((0, 2), dtype=np.int32)  # code and log_q side by side: one access gives both
+        self._grow(CHOICES * self.capacity)
+
+    def _grow(self, size: int) -> None:
+        for name in ("below", "both"):
+            old = getattr(self, name)
+            new = np.empty((size, *old.shape[1:]), dtype=old.dtype)
+            new[: self.used_choices] = old[: self.used_choices]
+            setattr(self, name, new)
+
+    def choices(self, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and log_q of the pieces that begin at a node."""
+        own = self.both[self.first[node] : self.first[node + 1]]
+        return own[:, 0], own.view(np.float32)[:, 1]
 
     def _missing(self, hashes: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.known, hashes)
@@ -179,7 +197,7 @@ class Lattices:
         hashes, where, of = np.unique(segments.hash, return_index=True, return_inverse=True)
         new = self._missing(hashes)
         need = int(segments.size[where[new]].sum()) + len(new)
-        if self.used + need > len(self.cum):
+        if self.used + need >= len(self.first) or self.used_choices > CHOICES * self.capacity:
             self._clear(max(self.capacity, int(segments.size[where].sum()) + len(where)))
             new = np.arange(len(hashes))
         if len(new):
@@ -198,8 +216,6 @@ class Lattices:
         place = np.arange(n) - np.repeat(base, size + 1)
         left = np.repeat(size, size + 1) - place
         point = points[np.minimum(np.repeat(start, size + 1) + place, len(points) - 1)].astype(np.uint64)
-        mine = slice(self.used, self.used + n)
-        self.piece[mine], self.log_q[mine], self.cum[mine] = -1, -np.inf, 2.0
         rows = np.flatnonzero(left > 0)
         total = np.zeros(len(rows), dtype=np.uint64)
         count = np.zeros(n, dtype=np.int64)
@@ -219,6 +235,12 @@ class Lattices:
             on = np.flatnonzero((found > -2) & (left[rows] > c + 1))
             rows, total = rows[on], total[on]
 
+        behind_all = self.used_choices + np.cumsum(count)
+        self.first[self.used + 1 : self.used + n + 1] = behind_all
+        if behind_all[-1] > len(self.below):
+            self._grow(int(behind_all[-1] * 5 // 4))
+        own = self.first[self.used : self.used + n]
+
         # edges by characters left, then by node: the sums run from the ends of all segments to their starts
         most = int(size.max())
         order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")[len(size) :]
@@ -235,8 +257,8 @@ class Lattices:
             w = v.log_weight[np.maximum(code, 0)]
             if code.min(initial=0) < 0:
                 alone = code < 0
-                own = -2 - code[alone].astype(np.int64)
-                w[alone] = v.fallback_weight * (1 + (own > 0x7F).astype(int) + (own > 0x7FF) + (own > 0xFFFF))
+                char = -2 - code[alone].astype(np.int64)
+                w[alone] = v.fallback_weight * (1 + (char > 0x7F).astype(int) + (char > 0x7FF) + (char > 0xFFFF))
             weight[at] = w
         level = np.searchsorted(left[order], np.arange(1, most + 2))
         beta, whole = np.zeros(n), np.empty(len(order))
@@ -250,16 +272,16 @@ class Lattices:
             whole[a:b] = np.add.reduceat(np.exp(w), heads)
             beta[order[a:b]] = best + np.log(whole[a:b])
         weight -= np.repeat(np.log(whole), count)
-        share = np.cumsum(np.exp(weight))
-        share -= np.repeat(np.concatenate(([0.0], share))[edge[:-1]], count)
-        share[edge[1:] - 1] = 2.0
         np.minimum(weight, 0.0, out=weight)
+        share, passed = np.exp(weight), np.zeros(n)
         for (hit, nth, code, _), at in zip(edges, places, strict=True):
-            flat = (hit + self.used) * v.choices + nth
-            self.both.reshape(-1, 2)[flat] = np.stack([code, weight[at].astype(np.float32).view(np.int32)], axis=1)
-            self.cum.ravel()[flat] = share[at]
+            flat = own[hit] + nth
+            self.both[flat, 0], self.both.view(np.float32)[flat, 1] = code, weight[at]
+            self.below[flat] = passed[hit]  # sums of a node's own choices alone, so that they are the same in any table
+            passed[hit] += share[at]
         first = self.used
         self.used += n
+        self.used_choices = int(behind_all[-1])
         return base + first
 
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -269,7 +291,11 @@ class Lattices:
         while len(active):
             rows = at[active]
             u = (mixed(key[active] + np.uint64(k * int(_G) % 2**64)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            flat = rows * self.v.choices + (self.cum[rows] > u[:, None]).argmax(axis=1)
+            flat = self.first[rows + 1] - 1
+            high = np.flatnonzero(self.below[flat] > u)  # from the longest piece down: it is most often the likeliest
+            while len(high):
+                flat[high] -= 1
+                high = high[self.below[flat[high]] > u[high]]
             both = self.both.view(np.int64).ravel()[flat].view(np.int32).reshape(-1, 2)
             code = both[:, 0]
             steps.append((active, code, both[:, 1].view(np.float32), rows))
@@ -336,8 +362,9 @@ class Search:
         score, s, t, taken = self.frontier.pop(best)
         piece, log_q, rows = self.paths[s]
         row = rows[t]
-        taken = taken or (int(np.flatnonzero(lattices.piece[row] == piece[t])[0]),)
-        q = np.exp(lattices.log_q[row].astype(np.float64))
+        codes, log_choice = lattices.choices(row)
+        taken = taken or (int(np.flatnonzero(codes == piece[t])[0]),)
+        q = np.exp(log_choice.astype(np.float64))
         q[list(taken)] = 0.0
         u = float((mixed(np.array([(self.key + len(self.paths) * 0xC2B2AE3D27D4EB4F + 1) % 2**64], np.uint64)) >> np.uint64(11))[0]) * 2.0**-53
         choice = min(int(np.searchsorted(np.cumsum(q), u * q.sum(), side="right")), int(np.flatnonzero(q)[-1]))
@@ -393,7 +420,8 @@ def sample_parts(parts: Segments, keys: list[int], k: int, lattices: Lattices) -
                     score, of, t, choice = best
                     piece_, log_, rows_ = search.paths[of]
                     row = int(rows_[t])
-                    head = (np.append(piece_[:t], lattices.piece[row, choice]), np.append(log_[:t], lattices.log_q[row, choice]), np.append(rows_[:t], row))
+                    codes, log_choice = lattices.choices(row)
+                    head = (np.append(piece_[:t], codes[choice]), np.append(log_[:t], log_choice[choice]), np.append(rows_[:t], row))
                     # the characters spelled so far tell the segment
                     spelled = int(lattices.v.sizes(piece_[:t]).sum())
                     w = int(np.searchsorted(parts.start[first[i] : first[i + 1]], parts.text[i] + spelled, side="right")) - 1

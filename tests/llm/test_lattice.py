@@ -111,3 +111,24 @@ def test_samples_do_not_depend_on_the_block():
     together = sample_block(texts, keys, 3, Lattices(v, 2000))
     alone = [sample_block([t], [key], 3, Lattices(v, 500))[0] for t, key in zip(texts, keys, strict=True)]
     assert [[(o[0].tolist(), *o[1:]) for o in own] for own in together] == [[(o[0].tolist(), *o[1:]) for o in own] for own in alone]
+
+
+def test_samples_do_not_depend_on_what_the_table_held():
+    v = load()
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 14, 3000)]
+    blocks = [[" ".join(words[i] for i in rng.integers(0, 3000, 400)) for _ in range(10)] for _ in range(4)]
+    emptied, kept, found = Lattices(v, 9_000), Lattices(v, 400_000), []
+    for b, texts in enumerate(blocks):
+        keys = list(range(b * 10, b * 10 + 10))
+        one, other = sample_block(texts, keys, 2, emptied), sample_block(texts, keys, 2, kept)
+        assert [[(o[0].tolist(), *o[1:]) for o in own] for own in one] == [[(o[0].tolist(), *o[1:]) for o in own] for own in other]
+        found += one
+    assert len(emptied.known) < len(kept.known) and all(len(own) == 2 for own in found)
+
+
+def test_choices_beyond_the_room_of_the_table():
+    v = Vocabulary(["", BLANK, *["a" * n for n in range(1, 13)]], [float(n) for n in range(14)], {}, 1.0)
+    lattices = Lattices(v, 50)
+    own = sample_block(["a" * 40, "a" * 33], [1, 2], 3, lattices)
+    assert lattices.used_choices > 3 * 50 and [v.decode(o[0].tolist()) for x in own for o in x] == ["a" * 40] * 3 + ["a" * 33] * 3
