@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 import xxhash
 
-from spanforge.llm.sharding import assign, op5_rendezvous
+from spanforge.llm import sharding
+from spanforge.llm.sharding import assign, op5_rendezvous, range_bits
 
 
 def test_rendezvous(spark):
@@ -66,3 +67,15 @@ def test_query_equals_brute_force(spark, sf):
 def test_very_long_and_empty_texts(spark):
     docs = spark.createDataFrame([(1, "é" * 300_000, 1), (2, "", 2), (3, None, 3)], "doc_id long, text string, size int")
     assert {r.doc_id: r["size"] for r in assign(docs).collect()} == {1: 600_008, 2: 8, 3: 8}
+
+
+def test_counts_that_are_broadcast_are_bounded(spark, monkeypatch):
+    assert range_bits(24) == 12 and range_bits(1) == 17 and range_bits(1 << 16) == range_bits(1 << 20) == 1
+    assert all(n << range_bits(n) <= sharding.MOST_COUNTS for n in range(1, (1 << 16) + 1, 97))
+    docs = spark.range(400).selectExpr("id doc_id", "cast(id as string) text")
+    monkeypatch.setattr(sharding, "MOST_COUNTS", 4)
+    got = assign(docs, weights=(1.0,) * 5).collect()
+    assert len(got) == 400 and all(r.shard == winner(r.doc_id, (1.0,) * 5) for r in got)
+    for shard in range(5):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
