@@ -30,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,9 +191,9 @@ def _listed(least_line: int, sentences: bool):
         num = TaskContext.get().partitionId() << 40
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            texts, n = batch.column(3).to_pylist(), batch.num_rows
-            for a, b in blocks(list(map(len, texts))):
-                u = cut(texts[a:b], least_line)
+            texts, n = batch.column(3), batch.num_rows
+            for a, b in blocks(pc.utf8_length(texts).to_pylist()):
+                u = cut(texts.slice(a, b - a).to_pylist(), least_line)
                 use = np.flatnonzero(~u.repeated & (sentences | (u.start == u.end)))
                 owner = u.owner[use]
                 columns = (num + a + owner, use - u.first[owner], u.d1[use], u.d2[use])
@@ -252,21 +253,20 @@ def _cleaned(position: int, least_run: int, least_line: int, sentences: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(position).to_pylist(), batch.column(batch.num_columns - 1)
-            count = np.asarray(found.value_lengths().fill_null(0))
-            flat, gone = found.flatten().to_numpy(), [[]] * len(texts)
-            cuts = np.concatenate(([0], np.cumsum(count)))
-            for a, b in blocks([len(t or "") for t in texts]):
-                u = cut([t or "" for t in texts[a:b]], least_line)
+            lengths = pc.fill_null(pc.utf8_length(batch.column(position)), 0).to_pylist()
+            for a, b in blocks(lengths):  # a block leaves before the next one is read
+                part = batch.slice(a, b - a)
+                texts, found = part.column(position).to_pylist(), part.column(part.num_columns - 1)
+                u, gone = cut([t or "" for t in texts], least_line), [[]] * len(texts)
                 flags = u.repeated & (sentences | (u.start == u.end))
-                flags[np.repeat(u.first[:-1], count[a:b]) + flat[cuts[a] : cuts[b]]] = True
+                flags[np.repeat(u.first[:-1], np.asarray(found.value_lengths().fill_null(0))) + found.flatten().to_numpy()] = True
                 for i in np.unique(u.owner[flags]).tolist():
                     if spans := _spans(u, int(u.first[i]), int(u.first[i + 1]), flags, least_run):
-                        texts[a + i] = without(texts[a + i], spans)
-                        gone[a + i] = [{"start": x, "end": y} for x, y in spans]
-            columns = [*batch.columns[:-1], pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-            columns[position] = pa.array(texts, pa.string())
-            yield pa.record_batch(columns, names=batch.schema.names)
+                        texts[i] = without(texts[i], spans)
+                        gone[i] = [{"start": x, "end": y} for x, y in spans]
+                columns = [*part.columns[:-1], pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+                columns[position] = pa.array(texts, pa.string())
+                yield pa.record_batch(columns, names=batch.schema.names)
 
     return run
 
