@@ -94,7 +94,7 @@ def select_detections(detections: DataFrame, keys: list[str], overlaps: DataFram
     centre = B.centre_y(F.col("box")) / F.col("height")
     first = s.isNotNull() & ~usable
     rules = [
-        (s.isNull(), "label_not_mapped_to_dimscan_segment"),
+        (s.isNull(), "label_not_mapped_to_segment"),
         (s.isNotNull() & F.col("n_pixels").isNull(), "missing_mask"),
         (first, "mask_pixel_count_below_minimum"),
         (~first & (s == "object") & (F.col("o.idx") != F.col("idx")) & ~joined_in, "lower_quality_than_selected_object"),
