@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanforge.llm.bytebpe import op11_bytebpe
 from spanforge.llm.chat import OP9_SQL, op9_snapshots
 from spanforge.llm.fertility import op1_fertility
 from spanforge.llm.language import op4_language
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_snapshots": op9_snapshots,
     "op10_hnsw": op10_hnsw,
+    "op11_bytebpe": op11_bytebpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_minmax": OP7_SQL, "op9_snapshots": OP9_SQL, "op10_hnsw": OP10_SQL}
