@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spanforge.llm.balls import OP13_SQL, op13_balls
 from spanforge.llm.bytebpe import op11_bytebpe
 from spanforge.llm.chat import OP9_SQL, op9_snapshots
 from spanforge.llm.fertility import op1_fertility
@@ -12,6 +13,7 @@ from spanforge.llm.packing import op8_packing
 from spanforge.llm.passages import op6_passages
 from spanforge.llm.sharding import op5_rendezvous
 from spanforge.llm.shards import op3_training_order
+from spanforge.llm.variants import OP12_SQL, op12_variants
 from spanforge.llm.vectors import OP10_SQL, op10_hnsw
 
 QUERIES = {
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_snapshots": op9_snapshots,
     "op10_hnsw": op10_hnsw,
     "op11_bytebpe": op11_bytebpe,
+    "op12_variants": op12_variants,
+    "op13_balls": op13_balls,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_minmax": OP7_SQL, "op9_snapshots": OP9_SQL, "op10_hnsw": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_minmax": OP7_SQL, "op9_snapshots": OP9_SQL, "op10_hnsw": OP10_SQL, "op12_variants": OP12_SQL, "op13_balls": OP13_SQL}
