@@ -4,7 +4,9 @@ Nodes draw their top layer from a seeded generator and enter from the highest la
 so every upper layer is complete before the ones below. A batch of new nodes searches the
 graph of the earlier ones and also sees itself; neighbours are chosen by the diversity
 rule (a candidate nearer to a chosen neighbour than to the node is passed over), which
-keeps groups of near-equal vectors connected to the rest. All steps work on arrays.
+keeps groups of near-equal vectors connected to the rest. Of the new links back to a node
+in one batch, the most similar ones, three times the layer's width at most, meet its
+earlier links in that rule. All steps work on arrays.
 """
 
 from __future__ import annotations
@@ -80,7 +82,8 @@ class Hnsw:
         target = chosen.ravel().astype(np.int64)
         use = target >= 0
         source, target = source[use], target[use]
-        order = np.argsort(target, kind="stable")
+        sims = np.einsum("nd,nd->n", self.x[source], self.x[target])
+        order = np.lexsort((-sims, target))  # of a node's new links the most similar come first
         source, target = source[order], target[order]
         nodes, first, counts = np.unique(target, return_index=True, return_counts=True)
         limit = layer.shape[1] * 3

@@ -12,10 +12,11 @@ of what 99.5 % of the training texts reach, it falls below 0.3 however few langu
 are: such a text is in none of them.
 
 Only the training sample is bounded: about ``per_language`` labelled texts of each label,
-drawn by a hash of id and text; every label is learned, with a landmark at least. What is
-collected are the features of the sample (2**18 bits a text at most, whatever its length)
-and a count for each label; the model (2**18 x landmarks bytes at most, and as many
-landmarks as labels where those are more) goes to the workers.
+drawn by a hash of id and text, and fewer of each where the labels together would pass ``most``
+texts; every label is learned. What is collected are the features of the sample (2**18 bits a
+text at most, whatever its length). The model has ``landmarks`` landmarks at most, spread over the
+labels or, where there are more labels, over some of them; 2**18 x landmarks bytes and landmarks
+x labels weights go to the workers.
 
 Defined results: a null text or one without letters is ``und`` with score 0.0; rows whose
 label is null are never learned from; without any labelled row all are ``und``; of equal
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.storage import with_clear_names
+from spanforge.llm.storage import discard, materialise, with_clear_names
 
 BITS = 18
 ORDERS = (1, 2, 3, 4)
@@ -113,7 +114,7 @@ def fit(texts: list[str], labels: list[str], **parameters) -> KernelModel:
     return fit_features([features(t, scratch) for t in texts], labels, **parameters)
 
 
-def fit_features(found: list[np.ndarray], labels: list[str], *, landmarks: int = 128, ridge: float = 1e-2, seed: int = 5) -> KernelModel:
+def fit_features(found: list[np.ndarray], labels: list[str], *, landmarks: int = 128, most_landmarks: int = 2048, ridge: float = 1e-2, seed: int = 5) -> KernelModel:
     """Nyström landmarks spread evenly over the languages, then ridge regression in their feature space."""
     pairs = [(f, y) for f, y in zip(found, labels, strict=True) if len(f)]
     languages = sorted({y for _, y in pairs})
@@ -123,8 +124,12 @@ def fit_features(found: list[np.ndarray], labels: list[str], *, landmarks: int =
     rng = np.random.default_rng(seed)
     chosen: list[np.ndarray] = []
     share = max(1, landmarks // len(languages))
-    for language in languages:
-        own = [f for f, y in pairs if y == language]
+    of: dict[str, list[np.ndarray]] = {}
+    for f, label in pairs:
+        of.setdefault(label, []).append(f)
+    lead = languages if len(languages) <= most_landmarks else [languages[i] for i in sorted(rng.permutation(len(languages))[:most_landmarks])]
+    for language in lead:
+        own = of[language]
         chosen += [own[i] for i in sorted(rng.permutation(len(own))[:share])]
     used = np.unique(np.concatenate(chosen))
     row_of[used] = np.arange(len(used), dtype=np.int32)
@@ -138,11 +143,17 @@ def fit_features(found: list[np.ndarray], labels: list[str], *, landmarks: int =
     good = values > 1e-8 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
     z = model.kernel([f for f, _ in pairs]) @ whiten
-    y = np.array([[1.0 if label == language else -1.0 for language in languages] for _, label in pairs])
-    balance = np.array([1.0 / sum(1 for _, b in pairs if b == a) for _, a in pairs])[:, None]
-    solved = np.linalg.solve(z.T @ (balance * z) + ridge / len(pairs) * np.eye(z.shape[1]), z.T @ (balance * y))
+    number = {language: i for i, language in enumerate(languages)}
+    label = np.array([number[y] for _, y in pairs])
+    balance = 1.0 / np.bincount(label)[label]
+    weighted = balance[:, None] * z
+    target = np.zeros((z.shape[1], len(languages)))  # of targets 1 for the own language and -1 for the others, never written out
+    np.add.at(target.T, label, 2.0 * weighted)
+    target -= weighted.sum(axis=0)[:, None]
+    solved = np.linalg.solve(z.T @ weighted + ridge / len(pairs) * np.eye(z.shape[1]), target)
     model.weights = whiten @ solved
-    model.least = max(0.1, 0.5 * float(np.quantile((z @ solved).max(axis=1), 0.005)))
+    best = np.concatenate([(z[at : at + BLOCK] @ solved).max(axis=1) for at in range(0, len(z), BLOCK)])
+    model.least = max(0.1, 0.5 * float(np.quantile(best, 0.005)))
     return model
 
 
@@ -153,25 +164,33 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(found, pa.list_(pa.int32())), batch.column(1), batch.column(2)], names=["features", "lang", "k"])
 
 
-def sample(labelled: DataFrame, per_language: int) -> list[tuple[np.ndarray, str]]:
-    """(features, lang) for training: about ``per_language`` texts of each label, whatever the input's size."""
-    counts = labelled.groupBy("lang").count().orderBy("lang").collect()  # a row per label
-    if not counts:
+def sample(labelled: DataFrame, per_language: int, most: int) -> list[tuple[np.ndarray, str]]:
+    """(features, lang) for training: about ``per_language`` texts of each label, fewer where all labels together would pass ``most``, whatever the input's size."""
+    counts = materialise(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "labels")
+    labels = counts.count()
+    if not labels:
+        discard(counts)
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["count"]) * (1 << 30)))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang"))
-    rows = labelled.filter(drawn).select("text", "lang", F.xxhash64("text", "doc_id").alias("k"))
-    few = rows.orderBy("k", "lang").limit(2 * per_language * len(counts))
+    each = min(per_language, max(1, most // labels))
+    share = (F.least(F.lit(1.0), each / F.col("n")) * (1 << 30)).cast("long")
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share")
+    rows = labelled.join(counts.select("lang", share.alias("share")), "lang").filter(drawn).select("text", "lang", F.xxhash64("text", "doc_id").alias("k"))
+    few = rows.orderBy("k", "lang").limit(min(2 * each * labels, 2 * most))
     found = few.mapInArrow(_featured, "features array<int>, lang string, k long").collect()
+    discard(counts)
     return [(np.array(r["features"], dtype=np.int64), r["lang"]) for r in sorted(found, key=lambda r: (r["k"], r["lang"]))]
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, landmarks: int = 128) -> KernelModel:
-    """Learn from the documents whose crc32 of the id leaves no 2 when divided by 4."""
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, most: int = 20_000, landmarks: int = 128, most_landmarks: int = 2048) -> KernelModel:
+    """Learn from the documents whose crc32 of the id leaves no 2 when divided by 4.
+
+    The driver gets the features of at most 2 * ``most`` texts, and the model has ``landmarks``
+    landmarks, or one for each label where there are more, ``most_landmarks`` at most.
+    """
     own = with_clear_names(docs, {"doc_id": id_col, "text": text_col, "lang": lang_col})
     labelled = own.filter(~held_out("doc_id") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = sample(labelled, per_language)
-    return fit_features([f for f, _ in rows], [y for _, y in rows], landmarks=landmarks)
+    rows = sample(labelled, per_language, most)
+    return fit_features([f for f, _ in rows], [y for _, y in rows], landmarks=landmarks, most_landmarks=most_landmarks)
 
 
 def held_out(column: str):

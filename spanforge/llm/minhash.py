@@ -325,7 +325,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """One row of each component with all its columns: the one of the least doc_id, without any id the one of the least text hash.
 
     A row is told by its doc_id and its text: rows that share both are one document and
-    give one row; rows that share only the id are told apart. Texts without words all stay.
+    give one row, the least by the JSON text of all columns; rows that share only the id are told apart. Texts without words all stay.
     """
     signed, linked = _labelled(docs, id_col, text_col, width, percent, block, least_estimate)
     row, times, names = fresh("row_key", docs.columns), fresh("row_times", docs.columns), [f"`{c}`" for c in docs.columns]
@@ -340,7 +340,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     again = kept.filter(F.col(times) > 1)
     if again.isEmpty():
         return once
-    return once.unionByName(keyed.join(again, row, "left_semi").dropDuplicates([row]).select(*names))
+    whole, order = fresh("row_all", docs.columns), fresh("row_order", docs.columns)
+    copies = keyed.join(again, row, "left_semi").select(row, F.struct(*names).alias(whole)).withColumn(order, F.to_json(F.struct(whole)))
+    return once.unionByName(copies.groupBy(row).agg(F.min_by(whole, order).alias(whole)).select(f"{whole}.*"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = BLOCK, least_estimate: float = 0.6) -> DataFrame:

@@ -5,8 +5,8 @@ document's remainder; each whole sequence is a piece of its own. Pieces go to ra
 groups of about ``group_docs`` documents' worth: a keyed hash of doc_id, ids and start
 decides, so that any order of rows, any partitions and any retried task give the same
 groups. Only a row equal to an earlier one of its task is told apart by its number there,
-so equal rows spread too, and a group holds one copy of a row for each task at most beside
-its share. In a group, pieces in falling order of length go to the first bin with room: a
+so equal rows spread too; a task remembers ``REMEMBERED`` rows for it and then starts anew, so a group
+holds one copy of a row for each so many rows at most beside its share. In a group, pieces in falling order of length go to the first bin with room: a
 tournament tree over bin capacities finds it in log time.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed once
@@ -34,6 +34,8 @@ from spanforge.llm.words import mixed
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Rows of a task that later ones are compared with.
+REMEMBERED = 1 << 16
 #: Bits of a sequence id that number the bins of a group.
 BIN_BITS = 24
 
@@ -92,6 +94,8 @@ def _cut(vocabulary: str, capacity: int, groups: int, seed: int):
                 raw = memoryview(document_ids(text.as_py(), vocabulary).tobytes())
                 n = len(raw) // 4
                 key = xxhash.xxh3_64_intdigest(f"{doc_id}", xxhash.xxh3_64_intdigest(raw, seed))
+                if len(times) >= REMEMBERED:
+                    times.clear()
                 copy = times[key] = times.get(key, -1) + 1
                 if copy:
                     key = xxhash.xxh3_64_intdigest(f"{part}/{copy}", key)

@@ -18,8 +18,9 @@ Texts are cut in blocks of about 250,000 characters, all at once by array operat
 longer text is a block of its own, so a text costs memory in proportion to its length.
 
 Defined results: a null text stays null; an empty one stays empty; a null doc_id ranks
-last; rows that share a doc_id, or have none, rank by a 128-bit hash of id and text, and
-those with the same text lose the same spans; an empty table gives no rows; extra columns
+last; rows that share a doc_id, or have none, rank by a 128-bit hash of id and text; of rows
+that share id and text one is the earliest and the others lose all of their lines and runs
+that are long enough; an empty table gives no rows; extra columns
 pass through whatever their names.
 """
 
@@ -45,6 +46,8 @@ BLOCK_CHARS = 250_000
 #: Units of numbered texts, and for each text one row of unit -1 that names it.
 UNITS = "num long, unit int, d1 long, d2 int, k1 long, k2 long, rank long"
 REMOVED = "array<struct<start:int,end:int>>"
+#: In place of the units that are repeats: all of them.
+EVERY = -1
 ENDS, CLOSERS = ".!?…。！？", "\"'”’)]"
 #: No letter with a case and no blank lies at or above this code point.
 _TOP = 0x20000
@@ -259,7 +262,11 @@ def _cleaned(position: int, least_run: int, least_line: int, sentences: bool):
                 texts, found = part.column(position).to_pylist(), part.column(part.num_columns - 1)
                 u, gone = cut([t or "" for t in texts], least_line), [[]] * len(texts)
                 flags = u.repeated & (sentences | (u.start == u.end))
-                flags[np.repeat(u.first[:-1], np.asarray(found.value_lengths().fill_null(0))) + found.flatten().to_numpy()] = True
+                held, which = np.asarray(found.value_lengths().fill_null(0)), found.flatten().to_numpy()
+                texts_of = np.repeat(np.arange(len(texts)), held)
+                for i in texts_of[which == EVERY].tolist():
+                    flags[u.first[i] : u.first[i + 1]] = sentences | (u.start[u.first[i] : u.first[i + 1]] == u.end[u.first[i] : u.first[i + 1]])
+                flags[(u.first[texts_of] + which)[which != EVERY]] = True
                 for i in np.unique(u.owner[flags]).tolist():
                     if spans := _spans(u, int(u.first[i]), int(u.first[i + 1]), flags, least_run):
                         texts[i] = without(texts[i], spans)
@@ -284,12 +291,23 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     digest, order = F.struct("d1", "d2").alias("digest"), F.struct("rank", "k1", "k2")
     shared = attach(found.select(digest, "num", "unit"), several.select(digest), "digest")
     shared = materialise(shared.join(listed.filter("unit < 0").select("num", "k1", "k2", "rank"), "num").drop("num"), "shared")
+    twins = materialise(listed.filter("unit < 0").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.struct("k1", "k2").alias(key)), "twins")
     discard(listed)
     least = shared.groupBy("digest").agg(F.min(order).alias("least"))
     again = attach(shared, least, "digest").filter(order > F.col("least"))
     flagged = materialise(again.groupBy("k1", "k2").agg(F.collect_set("unit").alias("repeats")).select(F.struct("k1", "k2").alias(key), F.col("repeats").alias(removed)), "repeats")
     discard(shared)
-    joined = keyed.join(flagged, key, "left").select(*[f"`{c}`" for c in docs.columns], f"`{removed}`")
+    names = [f"`{c}`" for c in docs.columns]
+    if twins.isEmpty():
+        joined = keyed.join(flagged, key, "left").select(*names, f"`{removed}`")
+    else:  # rows with the same id and text get numbers that stay, and all but one are repeats as a whole
+        number, first = fresh("row_number", docs.columns), fresh("row_first", docs.columns)
+        copies = materialise(keyed.join(twins, key, "left_semi").withColumn(number, F.monotonically_increasing_id()), "copies")
+        firsts = copies.groupBy(key).agg(F.min(number).alias(first))
+        marked = attach(copies, firsts, key).join(flagged, key, "left")
+        every = F.when(F.col(number) == F.col(first), F.col(f"`{removed}`")).otherwise(F.array(F.lit(EVERY)))
+        alone = keyed.join(twins, key, "left_anti").join(flagged, key, "left").select(*names, f"`{removed}`")
+        joined = alone.unionByName(marked.select(*names, every.alias(removed)))
     shape = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"`{removed}` {REMOVED}"])
     return joined.mapInArrow(_cleaned(docs.columns.index(text_col), least_run, least_line, sentences), shape)
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from spanforge.llm.language import BITS, ORDERS, _SLOT, features, fit, identify, keep_recognised, op4_language, train
+from spanforge.llm.language import BITS, ORDERS, _SLOT, features, fit, held_out, identify, keep_recognised, op4_language, sample, train
 
 
 def grams(text):
@@ -117,3 +117,11 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([*rows, (50, "das und der " * 100_000, None), (51, "x" * 500_000, None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in identify(docs, train(docs)).collect()}
     assert got[50] == "de" and got[51] in ("de", "en")
+
+
+def test_the_sample_is_bounded_whatever_the_number_of_labels(spark):
+    rows = [(4 * i, f"{chr(97 + i % 26) * 3} {chr(97 + i // 26 % 26) * 4} word{i}", f"l{i % 90:03}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, per_language=50, most=180, landmarks=16, most_landmarks=16)
+    assert len(model.languages) > 60 and model.weights.shape[0] <= 16 and model.weights.shape[1] == len(model.languages)
+    assert len(sample(docs.filter(~held_out("doc_id")), 50, 180)) <= 360

@@ -137,3 +137,21 @@ def test_many_rows_without_or_with_the_same_id(spark):
     got = near_duplicates(docs)
     assert got.count() == len(rows) and sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()])) == sorted(map(str, brute(rows, 5)))
     assert keep_one(docs).count() == len({c for *_, c in brute(list(enumerate(texts)), 5)})
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(14)
+    words = rng.integers(0, 50_000, 200_000)
+    near, far = words.copy(), words.copy()
+    near[rng.integers(0, len(words), 2000)] += 50_000
+    far[rng.integers(0, len(words), 30_000)] += 50_000
+    rows = [(i, " ".join(map(str, w.tolist()))) for i, w in enumerate((words, near, far))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 4))
+
+
+def test_of_rows_with_the_same_id_and_text_the_least_by_all_columns_stays(spark):
+    rows = [(1, "one two three four five six", c, {"k": c}) for c in ("z", "m", "b", "q")] + [(2, "", "y", {"k": "y"}), (2, "", "a", {"k": "a"})]
+    for parts in (1, 3):
+        got = keep_one(spark.createDataFrame(rows, "doc_id long, text string, row string, extra map<string,string>").repartition(parts)).collect()
+        assert sorted((r.doc_id, r.row, r.extra["k"]) for r in got) == [(1, "b", "b"), (2, "a", "a")]

@@ -72,3 +72,17 @@ def test_equal_rows_spread_over_groups(spark):
     got = pack(docs, capacity=64, group_docs=100).toPandas()
     sizes = got.groupby(got.sequence_id // 2**24).size()
     assert len(got) == 3000 and len(sizes) == 30 and sizes.max() < 200
+
+
+def test_a_task_remembers_a_bounded_number_of_rows(spark, monkeypatch):
+    import spanforge.llm.packing as packing
+
+    class Partition:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(packing, "REMEMBERED", 4)
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: Partition())
+    table = spark.createDataFrame([(i, "same" if i % 2 else f"text {i}") for i in range(40)], "doc_id long, text string").toArrow()
+    out = list(packing._cut("byte_bpe_50k", 64, 8, 17)(iter(table.to_batches())))
+    assert sum(b.num_rows for b in out) == 40

@@ -140,3 +140,20 @@ def test_lines_alone_are_the_plain_method(spark):
     assert {i: plain(r.text) for i, r in got.items()} == {i: plain(t) for i, t in want.items()}
     for i, r in got.items():
         assert without(dict(rows)[i], [(s.start, s.end) for s in r.removed]) == r.text
+
+
+def test_one_of_rows_with_the_same_id_and_text_stays_whole(spark):
+    rng = np.random.default_rng(12)
+    text = "\n".join(" ".join(words(rng, 30)) for _ in range(3))
+    other = " ".join(words(rng, 40))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "c"), (None, other, "d"), (None, other, "d"), (2, other, "e"), (3, "short one", "f"), (3, "short one", "f")]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string, row_key string").repartition(3)).collect()
+    assert sorted(r.row_key for r in got) == sorted(r[2] for r in rows)
+    whole = [r.text for r in got if r.doc_id == 1]
+    assert sorted(map(len, whole)) == [0, 0, len(text)]
+    assert {r.row_key: r.text for r in got}["e"] == other  # ids rank before rows without one
+    assert [r.text for r in got if r.doc_id is None] == ["", ""]
+    assert [r.text for r in got if r.doc_id == 3] == ["short one"] * 2
+    for r in got:
+        if r.doc_id == 1 and not r.text:
+            assert [(x.start, x.end) for x in r.removed] == [(0, len(text))]

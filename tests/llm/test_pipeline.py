@@ -40,3 +40,31 @@ def test_stages_keep_the_columns(spark):
     kept = sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted([*map(str, range(12)), "98", "99"])
     assert drop_repeats(docs).count() == len(rows)
+
+
+def test_a_stage_called_twice_and_two_runs_do_not_meet(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    a = corpus_pipeline.near_duplicates(spark, docs, "x")
+    b = corpus_pipeline.near_duplicates(spark, docs, "x")
+    c = corpus_pipeline.near_duplicates(spark, docs.limit(50), "y")
+    corpus_pipeline.repeats(spark, docs.limit(5), "y").count()
+    assert a.count() == b.count() > 0 and sorted(r.doc_id for r in a.collect()) == sorted(r.doc_id for r in b.collect())
+    c = corpus_pipeline.near_duplicates(spark, docs.limit(50), "z")
+    first = corpus_pipeline.run(spark, sf)
+    second = corpus_pipeline.run(spark, sf)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect())) and c.count() > 0
+
+
+def test_long_texts_and_clashing_names_pass_all_stages(spark):
+    rng = np.random.default_rng(6)
+    long_text = ". ".join(" ".join(f"the{i}" for i in rng.integers(0, 5000, 12)) for _ in range(20_000))
+    rows = [(i, " ".join(f"the{j}" for j in rng.integers(0, 900, 60)) + ".", "en", i, "k", 0) for i in range(9)] + [(20, long_text, "en", 1, "k", 1), (21, long_text + " more", "en", 1, "k", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, row_key long, root string, grp int")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = spark.createDataFrame(stage(spark, out, "long").collect(), docs.schema)
+        assert out.columns == docs.columns
+    left = {r.doc_id: r.text for r in out.collect()}
+    assert 21 not in left and len(left[20]) > 0.9 * len(long_text)
+    pieces = corpus_pipeline.packs(spark, out, "long").collect()
+    assert sum(r.length for r in pieces if r.doc_id == 20) == len(bpe.load().ids(left[20])) + 1

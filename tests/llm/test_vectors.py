@@ -73,3 +73,28 @@ def test_the_edge_of_the_threshold(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9 + 1e-9, math.sqrt(1 - (0.9 + 1e-9) ** 2)]), (3, [0.9 - 1e-9, math.sqrt(1 - (0.9 - 1e-9) ** 2)]), (4, [-1.0, 0.0])]
     got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert (got[2].n_links, got[3].n_links, got[4].n_links) == (2, 1, 0)
+
+
+def test_of_new_links_back_the_most_similar_stay():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = Hnsw(x, links=4)
+    layer, node = graph.layers[0], 7
+    layer[:] = -1
+    batch = np.array([i for i in range(400) if i != node])
+    graph._back_links(batch, np.full((len(batch), 1), node, dtype=np.int32), 0)
+    best = batch[np.argsort(-(x[batch] @ x[node]))][: 3 * layer.shape[1]]
+    kept = layer[node][layer[node] >= 0]
+    assert best[0] in kept and set(kept.tolist()) <= set(best.tolist())
+
+
+@pytest.mark.parametrize("least", [0.3, 0.45])
+def test_vectors_that_do_link_equal_sql_and_recall_is_measured(spark, least):
+    sf = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS FROM '{sf}/embeddings.parquet'")
+    want = duckdb.sql(OP10_SQL.replace("0.9", str(least))).fetchall()
+    got = near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), least=least).collect()
+    true = sum(r[1] for r in want)
+    assert true > 10 and sum(r.n_links for r in got) >= 0.9 * true
+    assert sum(tuple(r) in set(want) for r in got) >= 0.9 * len(want)
