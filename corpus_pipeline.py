@@ -4,18 +4,22 @@ Each stage reads what the one before it wrote, works on all of it and, but for t
 returns the columns of documents. Stages call the operators of ``spanforge.llm`` with
 their production parameters; shingles have five words here. A stage starts when its
 predecessor's result has been written, so it first deletes the intermediate tables that
-the predecessor left; ``run`` deletes a stage's result once the next one is written.
+the predecessor left in the same run (for stages called one by one: over the same folder; a stage
+that is called again leaves what it made before). ``run`` keeps a list of its own, so runs beside
+each other do not meet, and deletes a stage's result once the next one is written.
 
 Defined results: a document without a text or with an empty one fails the base counts and
 goes; without any labelled document languages reject nothing; of equal or repeated rows,
 with an id or without, one stays (the least doc_id, then one of the least text hash);
-ties are decided by doc_id and text alone; an empty table gives an empty result; further
+ties are decided by doc_id and text, then by all columns; texts of any length are read whole, cut
+by the operators that need blocks; an empty table gives an empty result; further
 columns of whatever names pass through all stages but the last, which gives pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,17 +28,25 @@ from pyspark.sql import functions as F
 from spanforge.llm import fertility, language, minhash, packing, passages
 from spanforge.llm.storage import recorded, remove, table_path
 
-#: Intermediate tables of the stage that ran last.
-_left: list[str] = []
+#: Intermediate tables of the stages of the run that is on, by stage.
+_of_run: ContextVar[dict[str, list[str]] | None] = ContextVar("tables of the run", default=None)
+#: The same for stages that are called one by one, by the folder that they work on.
+_of_folder: dict[str, dict[str, list[str]]] = {}
 
 
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @wraps(f)
     def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, *_left)
+        left = _of_run.get()
+        if left is None:
+            left = _of_folder.setdefault(sf_dir, {})
+        order = [stage.__name__ for _, stage in STAGES]
+        before = order[: order.index(f.__name__)][-1:]
+        for name in before:
+            remove(spark, *left.pop(name, []))
         with recorded() as made:
             out = f(spark, docs, sf_dir)
-        _left[:] = made
+        left.setdefault(f.__name__, []).extend(made)
         return out
 
     return run_one
@@ -87,10 +99,14 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared folder and read again."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for _, stage in STAGES[:-1]:
-        path = table_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if before:
-            remove(spark, before)
-        docs, before = spark.read.parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    token = _of_run.set({})
+    try:
+        for _, stage in STAGES[:-1]:
+            path = table_path(spark, "stage")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if before:
+                remove(spark, before)
+            docs, before = spark.read.parquet(path), path
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        _of_run.reset(token)
