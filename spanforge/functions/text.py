@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,14 @@ def first_match(pairs: list[tuple[Column, Column]], default: Column | None = Non
     return reduce(lambda rest, p: F.when(p[0], p[1]).otherwise(rest), reversed(pairs), F.lit(None) if default is None else default)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body reads it: it becomes the variable of a function.
+
+    An expression that is written out for each use grows with every step, past what generated code may hold.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- identifiers
 def normalize_sku(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.regexp_replace(strip(c), _BLANK, "-")), "[^A-Z0-9_.-]", "")
@@ -214,19 +223,24 @@ def _prior(available: bool, shape: str, diameter: Column | None, width: Column |
 
 def spec_prior(c: Column) -> Column:
     """Pot prior of a vendor's specification text: rectangle, then inches, then gallons, else unparsed."""
-    raw = blank_to_null(c.cast("string"))
-    text = F.regexp_replace(raw, _BLANK, " ")
-    number = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("double")
-    diameter = number(K.INCH_ROUND, 1)
-    return first_match(
-        [
-            (raw.isNull(), _prior(False, "unknown", None, None, None, F.lit(None).cast("string"), "unknown", ["spec_missing"])),
-            (text.rlike(K.INCH_RECT), _prior(True, "rectangular", None, number(K.INCH_RECT, 1), number(K.INCH_RECT, 2), raw, "catalog", ["rectangular_dimensions_parsed_from_spec"])),
-            (text.rlike(K.INCH_ROUND), _prior(True, "round", diameter, diameter, diameter, raw, "catalog", ["diameter_parsed_from_spec", "width_depth_derived_from_diameter"])),
-            (text.rlike(K.GALLON), _prior(False, "unknown", None, None, None, raw, "unknown", ["gallon_spec_not_mapped"])),
-        ],
-        _prior(False, "unknown", None, None, None, raw, "unknown", ["spec_unparsed"]),
-    )
+    nothing = F.lit(None).cast("string")
+
+    def groups(text: Column) -> Column:
+        number = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("double")
+        return F.struct(text.rlike(K.INCH_RECT).alias("rect"), number(K.INCH_RECT, 1).alias("width"), number(K.INCH_RECT, 2).alias("depth"), text.rlike(K.INCH_ROUND).alias("round"), number(K.INCH_ROUND, 1).alias("diameter"), text.rlike(K.GALLON).alias("gallon"))
+
+    def prior(raw: Column, g: Column) -> Column:
+        return first_match(
+            [
+                (raw.isNull(), _prior(False, "unknown", None, None, None, nothing, "unknown", ["spec_missing"])),
+                (g["rect"], _prior(True, "rectangular", None, g["width"], g["depth"], raw, "catalog", ["rectangular_dimensions_parsed_from_spec"])),
+                (g["round"], _prior(True, "round", g["diameter"], g["diameter"], g["diameter"], raw, "catalog", ["diameter_parsed_from_spec", "width_depth_derived_from_diameter"])),
+                (g["gallon"], _prior(False, "unknown", None, None, None, raw, "unknown", ["gallon_spec_not_mapped"])),
+            ],
+            _prior(False, "unknown", None, None, None, raw, "unknown", ["spec_unparsed"]),
+        )
+
+    return let(blank_to_null(c.cast("string")), lambda raw: let(let(F.regexp_replace(raw, _BLANK, " "), groups), lambda g: prior(raw, g)))
 
 
 def model_confidence(confidence: Column) -> Column:
@@ -252,26 +266,42 @@ def metadata_prior(fields: dict[str, Column], containers: list[tuple[str, float,
         v = F.lit(None) if volume is None else volume
         return F.struct(F.lit(available).alias("available"), src.alias("source"), d.alias("diameter_in"), v.alias("volume_qt"), confidence.alias("confidence"), raw.alias("raw_value"), unit.alias("raw_unit"), note.alias("note")).cast(out)
 
-    pairs, raws = [], []
-    for key in (*K.PRIOR_NUMERIC_KEYS, *K.PRIOR_TEXT_KEYS):
-        if key not in fields:
-            continue
-        raw = F.nullif(fields[key].cast("string"), F.lit(""))
-        text = strip(raw)
-        raws.append(raw)
-        number = F.when(text.rlike(r"\A[0-9.eE+-]+\z"), positive(text))
-        size, size_unit = F.nullif(F.regexp_extract(text, K.LENGTH_TEXT, 1), F.lit("")).try_cast("double"), F.regexp_extract(text, K.LENGTH_TEXT, 2)
-        vol_unit = F.regexp_extract(text, K.VOLUME_TEXT, 2)
-        vol = volume_in_quarts(F.nullif(F.regexp_extract(text, K.VOLUME_TEXT, 1), F.lit("")).try_cast("double"), vol_unit)
-        pairs.append((number.isNotNull(), found(True, F.lit(source), number, None, F.lit("high"), raw, F.lit("in"), F.lit(f"parsed_direct_numeric:{key}"))))
-        pairs.append((size.isNotNull(), found(True, F.lit(source), length_in_inches(size, size_unit), None, F.lit("high"), raw, size_unit, F.lit(f"parsed_direct_length:{key}"))))
-        if containers:
-            best = nearest_container(vol, containers)
-            pairs.append((vol.isNotNull(), found(True, F.lit("sku_container_lookup"), best["diameter_in"], vol, F.when(best["delta"] <= 1.0, "medium").otherwise("low"), raw, vol_unit, F.concat(F.lit("matched_container_lookup:"), best["name"]))))
-    any_raw = F.coalesce(*raws) if raws else F.lit(None).cast("string")
+    def parsed(text: Column) -> Column:
+        volume = F.nullif(F.regexp_extract(text, K.VOLUME_TEXT, 1), F.lit("")).try_cast("double")
+        unit = F.regexp_extract(text, K.VOLUME_TEXT, 2)
+        return F.struct(
+            F.when(text.rlike(r"\A[0-9.eE+-]+\z"), positive(text)).alias("number"),
+            F.nullif(F.regexp_extract(text, K.LENGTH_TEXT, 1), F.lit("")).try_cast("double").alias("size"),
+            F.regexp_extract(text, K.LENGTH_TEXT, 2).alias("size_unit"),
+            volume_in_quarts(volume, unit).alias("volume"),
+            unit.alias("volume_unit"),
+        )
+
+    def candidate(key: str, text: Column) -> Column:
+        return let(text, lambda raw: hit(key, raw))
+
+    def hit(key: str, raw: Column) -> Column:
+        def choose(g: Column) -> Column:
+            pairs = [
+                (g["number"].isNotNull(), found(True, F.lit(source), g["number"], None, F.lit("high"), raw, F.lit("in"), F.lit(f"parsed_direct_numeric:{key}"))),
+                (g["size"].isNotNull(), found(True, F.lit(source), length_in_inches(g["size"], g["size_unit"]), None, F.lit("high"), raw, g["size_unit"], F.lit(f"parsed_direct_length:{key}"))),
+            ]
+            if containers:
+                near = let(nearest_container(g["volume"], containers), lambda best: found(True, F.lit("sku_container_lookup"), best["diameter_in"], g["volume"], F.when(best["delta"] <= 1.0, "medium").otherwise("low"), raw, g["volume_unit"], F.concat(F.lit("matched_container_lookup:"), best["name"])))
+                pairs.append((g["volume"].isNotNull(), near))
+            return first_match(pairs)
+
+        return let(let(strip(raw), parsed), choose)
+
     nothing = F.lit(None).cast("string")
+    raws = [(key, F.nullif(fields[key].cast("string"), F.lit(""))) for key in (*K.PRIOR_NUMERIC_KEYS, *K.PRIOR_TEXT_KEYS) if key in fields]
     missing = found(False, F.lit("missing"), None, None, F.lit("none"), nothing, nothing, F.lit("no_pot_prior_text_in_sku_metadata"))
-    return first_match([(any_raw.isNull(), missing), *pairs], found(False, F.lit("unparseable"), None, None, F.lit("none"), any_raw, nothing, F.lit("unparseable_pot_prior")))
+    if not raws:
+        return missing
+    any_raw = F.coalesce(*[raw for _, raw in raws])
+    hits = F.filter(F.array(*[candidate(key, raw) for key, raw in raws]), lambda x: x.isNotNull())
+    unparsed = found(False, F.lit("unparseable"), None, None, F.lit("none"), any_raw, nothing, F.lit("unparseable_pot_prior"))
+    return F.when(any_raw.isNull(), missing).otherwise(F.coalesce(F.get(hits, F.lit(0)), unparsed))
 
 
 def segment_of_label(c: Column) -> Column:

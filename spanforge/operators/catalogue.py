@@ -62,9 +62,11 @@ def dedupe(rows: DataFrame, *, key: str = "sku", order: str = "ord", score: str
 def build_report(all_rows: DataFrame, winners: DataFrame) -> DataFrame:
     """One row: rows seen, without SKU, kept, repeated, conflicting, and the first 25 specifications that were not parsed."""
     unparsed = F.array_contains(F.col("pot_prior.notes"), "spec_unparsed")
-    seen = all_rows.agg(F.count(F.lit(1)).alias("n_rows_seen"), F.count_if("missing_sku").alias("n_missing_sku"), F.slice(F.array_sort(F.collect_set(F.when(unparsed, F.col("spec")))), 1, 25).alias("unparsed_specs"))
+    seen = all_rows.agg(F.count(F.lit(1)).alias("n_rows_seen"), F.count_if("missing_sku").alias("n_missing_sku"))
+    first = all_rows.filter(unparsed).select("spec").distinct().orderBy("spec").limit(25)
+    specs = first.agg(F.array_sort(F.collect_list("spec")).alias("unparsed_specs"))
     kept = winners.agg(F.count(F.lit(1)).alias("n_skus"), F.count_if(F.col("n_rows") > 1).alias("n_repeated"), F.count_if("has_conflict").alias("n_conflicting"))
-    return seen.crossJoin(F.broadcast(kept))  # one row each
+    return seen.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(specs))  # one row each
 
 
 def lookup(rows: DataFrame, catalogue: DataFrame, *, sku: str = "sku") -> DataFrame:

@@ -1,7 +1,7 @@
 """Planes, connected components and the choice of an object's clusters.
 
-Connected components of one view run as grouped Python over its occupied voxels, which
-are few against its points; everything before and after is columns.
+Connected cells and density clusters come from ``density``, tile by tile; everything before
+and after is columns.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from spanforge.functions import constants as K
 from spanforge.functions.boxes import gap_3d
 from spanforge.functions.text import first_match
 from spanforge.operators import points as P
+from spanforge.operators.density import connected_cells, density_clusters
 
 
 # --- planes
@@ -163,45 +164,6 @@ def latest_plane(fits: DataFrame, cache_keys: list[str]) -> DataFrame:
 
 
 # --- components
-def label_components(cells: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Component of each integer cell, numbered in lexicographic order of their least cells."""
-    order = np.lexsort(cells.T[::-1])
-    place = {tuple(cells[i]): int(i) for i in order}
-    out = np.full(len(cells), -1, dtype=np.int64)
-    label = 0
-    for i in order.tolist():
-        if out[i] >= 0:
-            continue
-        out[i], todo = label, [i]
-        while todo:
-            at = cells[todo.pop()]
-            for step in offsets:
-                j = place.get(tuple(at + step))
-                if j is not None and out[j] < 0:
-                    out[j] = label
-                    todo.append(j)
-        label += 1
-    return out
-
-
-def _steps(dims: int, diagonal: bool) -> np.ndarray:
-    every = np.array(np.meshgrid(*[[-1, 0, 1]] * dims)).reshape(dims, -1).T
-    size = np.abs(every).sum(axis=1)
-    return every[size > 0] if diagonal else every[size == 1]
-
-
-def connected_cells(cells: DataFrame, keys: list[str], axes: list[str], diagonal: bool = True) -> DataFrame:
-    """``component`` of every distinct cell of each view: one group holds a view's occupied cells."""
-    own = cells.select(*keys, *axes).distinct()
-    steps = _steps(len(axes), diagonal)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(component=label_components(part[axes].to_numpy(np.int64), steps))
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return own.groupBy(*keys).applyInPandas(run, f"{shape}, component long")
-
-
 def voxel_clusters(points: DataFrame, keys: list[str], size: float = K.CLUSTER_VOXEL) -> DataFrame:
     """All points with the ``component`` of their voxel; voxels touch also at edges and corners."""
     cells = points.withColumns({f"v{a}": P.voxel(F.col(a), size) for a in P.AXES})
@@ -259,11 +221,11 @@ def select_clusters(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def table_planes(points: DataFrame, keys: list[str], voxel_size: float | None = None, most: int = K.PLANE_MAX_FIT_POINTS) -> DataFrame:
-    """Table plane of each view and whether it took the second try: where too few thinned points agree, all points are fitted."""
+    """Table plane of each view and whether it took the second try: where too few thinned points agree, all points are fitted; null where these do not either."""
     sampled = plane_fit_points(points, keys, voxel_size, most)
     first = fit_plane(sampled, keys, draw_table(sampled, keys)).filter("plane is not null").withColumn("full_resolution", F.lit(False))
     rest = points.join(first.select(*keys), keys, "left_anti")
-    second = fit_plane(rest, keys, draw_table(rest, keys)).filter("plane is not null").withColumn("full_resolution", F.lit(True))
+    second = fit_plane(rest, keys, draw_table(rest, keys)).withColumn("full_resolution", F.lit(True))
     return first.unionByName(second)
 
 
@@ -281,53 +243,13 @@ def object_points(points: DataFrame, keys: list[str], *, planes: DataFrame | Non
 
 
 # --- density clusters
-def dbscan(points: DataFrame, keys: list[str], eps: float = K.DBSCAN_EPS, least: int = K.DBSCAN_MIN) -> DataFrame:
-    """``cluster`` of every point of a view, -1 for noise. Neighbours come from a grid of cells of side eps.
-
-    A border point goes to the cluster of its nearest core point.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[list(P.AXES)].to_numpy(np.float64)
-        cells = np.floor(x / eps).astype(np.int64)
-        inside: dict[tuple, np.ndarray] = {k: np.asarray(v) for k, v in pd.Series(range(len(x))).groupby([cells[:, 0], cells[:, 1], cells[:, 2]]).groups.items()}
-        steps = np.concatenate([_steps(3, True), np.zeros((1, 3), np.int64)])
-        near: list[np.ndarray] = [np.empty(0, np.int64)] * len(x)
-        for cell, own in inside.items():
-            around = np.concatenate([inside[t] for s in steps if (t := tuple(np.array(cell) + s)) in inside])
-            far = np.linalg.norm(x[own][:, None] - x[around][None], axis=2) <= eps
-            for i, row in zip(own.tolist(), far, strict=True):
-                near[i] = around[row]
-        core = np.array([len(n) >= least for n in near])
-        out = np.full(len(x), -1, dtype=np.int64)
-        label = 0
-        for i in np.flatnonzero(core).tolist():
-            if out[i] >= 0:
-                continue
-            out[i], todo = label, [i]
-            while todo:
-                for j in near[todo.pop()].tolist():
-                    if core[j] and out[j] < 0:
-                        out[j] = label
-                        todo.append(j)
-            label += 1
-        for i in np.flatnonzero(~core).tolist():
-            cores = near[i][core[near[i]]]
-            if len(cores):
-                out[i] = out[cores[np.linalg.norm(x[cores] - x[i], axis=1).argmin()]]
-        return part.assign(cluster=out)
-
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(*keys).applyInPandas(run, f"{shape}, cluster long")
-
-
 def largest_cluster(points: DataFrame, keys: list[str]) -> DataFrame:
     """Points of the largest density cluster with its share.
 
     The whole cloud with share 0 when all is noise, and with share 1 when it is smaller
     than a cluster must be.
     """
-    labelled = dbscan(points, keys)
+    labelled = density_clusters(points, keys).drop("is_core")
     sizes = labelled.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.groupBy(*keys).agg(F.max_by("cluster", F.when(F.col("cluster") >= 0, F.struct(F.col("n"), -F.col("cluster")))).alias("best"), F.max(F.when(F.col("cluster") >= 0, F.col("n"))).alias("n_best"), F.sum("n").alias("n_all"), F.count_if(F.col("cluster") >= 0).alias("cluster_count"))
     kept = labelled.join(best, keys).filter(F.col("best").isNull() | (F.col("cluster") == F.col("best")))
@@ -337,24 +259,3 @@ def largest_cluster(points: DataFrame, keys: list[str]) -> DataFrame:
 def mask_components(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Number of four-connected parts of each mask."""
     return connected_cells(pixels, keys, ["row", "col"], diagonal=False).groupBy(*keys).agg((F.max("component") + 1).alias("n_components"))
-
-
-def measure_fallback(points: DataFrame, keys: list[str], triples: DataFrame | None = None) -> DataFrame:
-    """Dimensions of a cloud that no trusted object stands for: crop, thin out, cut the centre, drop the table, keep the largest cluster."""
-    cropped = P.apply_roi(points, use_y=False).filter("inside").drop("inside")
-    sizes = cropped.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in"))
-    many = cropped.join(sizes, keys)
-    thin = P.voxel_centroids(many.filter(F.col("n_in") > K.MAX_MEASURE_POINTS), keys, K.MEASURE_VOXEL).select(*keys, *P.AXES)
-    kept = P.central_crop(many.filter(F.col("n_in") <= K.MAX_MEASURE_POINTS).select(*keys, *P.AXES).unionByName(thin), keys)
-    ordered = kept.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(*P.AXES)))
-    planes = fit_plane(ordered, keys, draw_table(ordered, keys, K.MEASURE_ITERATIONS) if triples is None else triples, K.MEASURE_PLANE)
-    table = planes.filter(F.col("n_inliers") >= F.greatest(F.lit(100), F.floor(F.col("n_points") * 0.05))).filter("plane is not null")
-    above = P.remove_plane(ordered, table, keys, K.MEASURE_PLANE).unionByName(ordered.join(table.select(*keys), keys, "left_anti"), allowMissingColumns=True)
-    return P.dimensions(largest_cluster(above.drop("ord"), keys), keys)
-
-
-def measure_segment(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Dimensions of a pot or leaf cloud: crop, voxel centroids, largest cluster."""
-    cropped = P.apply_roi(points, use_y=False).filter("inside")
-    thin = P.voxel_centroids(cropped, keys, K.MEASURE_VOXEL).select(*keys, *P.AXES)
-    return P.dimensions(largest_cluster(thin, keys), keys)

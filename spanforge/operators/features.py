@@ -245,12 +245,14 @@ def first_item_prior(items: Column, fields: list[str], containers: list[tuple[st
 
     ``prior_type`` names the common fields that leave, as a struct type.
     """
-    meta = first_item(items)["metadata"]
-    parsed = T.metadata_prior({f: meta[f] for f in fields}, containers)
     names = [p.split(":")[0] for p in prior_type.removeprefix("struct<").removesuffix(">").split(",")]
-    own = F.struct(*[meta["pot_prior"][n].alias(n) for n in names]).cast(prior_type)
-    other = F.struct(*[parsed[n].alias(n) for n in names]).cast(prior_type)
-    return F.when(meta["pot_prior"].isNotNull(), own).otherwise(other)
+    common = lambda prior: F.struct(*[prior[n].alias(n) for n in names]).cast(prior_type)
+
+    def prior_of(meta: Column) -> Column:
+        parsed = T.let(T.metadata_prior({f: meta[f] for f in fields}, containers), common)
+        return F.when(meta["pot_prior"].isNotNull(), common(meta["pot_prior"])).otherwise(parsed)
+
+    return T.let(first_item(items)["metadata"], prior_of)
 
 
 def roles(views: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import constants as K
 from spanforge.functions.text import first_match
+from spanforge.sources.store import written
 
 AXES = ("x", "y", "z")
 
@@ -168,32 +169,76 @@ def robust_span(values: Column, low: float = 0.01, high: float = 0.99) -> Column
     return p[1] - p[0]
 
 
-def quantiles(rows: DataFrame, keys: list[str], column: str, shares: list[float], buckets: int = 4096) -> DataFrame:
-    """Exact, interpolated quantiles of groups of any size: keys, n, low, high and ``q``, an array.
+#: Cut points of equal depth that a sketch gives, and values that one window sorts.
+CUTS, SORTED = 256, 1 << 17
+
+
+def quantiles(rows: DataFrame, keys: list[str], column: str, shares: list[float], most: int = SORTED) -> DataFrame:
+    """Exact, interpolated quantiles of groups of any size and distribution: keys, n, low, high and ``q``, an array.
 
     An aggregate that holds a group's distinct values in one task ends where a group is a
-    third of a large table. Here counts per bucket of equal width tell which buckets hold the
-    wanted ranks; only their rows are counted by value, and running counts inside a bucket
-    give the values. Null and NaN do not count.
+    third of a large table. Here a sketch cuts each group into parts of about equal depth, whatever
+    its values; the few parts around a wanted rank make its bracket. One pass counts what
+    lies below a bracket and, by value, what lies inside. A bracket with more than ``most``
+    values is cut again; a sketch that missed the rank costs another pass, not the result. Null
+    and NaN do not count.
     """
-    v = rows.select(*keys, F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    bounds = v.groupBy(*keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
-    width = F.col("high") - F.col("low")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    placed = v.join(bounds, keys).withColumn("bucket", bucket)
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("here")).withColumn("earlier", F.coalesce(F.sum("here").over(before), F.lit(0)))
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("share")) for i, q in enumerate(shares)])).alias("w")
-    place = (F.col("n") - 1) * F.col("w.share")
-    ends = bounds.select(*keys, "n", at).select(*keys, "w.i", (place - F.floor(place)).alias("part"), F.explode(F.array(*[F.struct(F.lit(s).alias("side"), f(place).cast("long").alias("rank")) for s, f in ((0, F.floor), (1, F.ceil))])).alias("e")).select(*keys, "i", "part", "e.side", "e.rank")
-    found = counts.join(ends, keys).filter((F.col("rank") >= F.col("earlier")) & (F.col("rank") < F.col("earlier") + F.col("here"))).select(*keys, "bucket", "earlier", "i", "part", "side", "rank")
-    inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    values = placed.join(found.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("times")).withColumn("less", F.coalesce(F.sum("times").over(inside), F.lit(0)))
-    hit = values.join(found, [*keys, "bucket"]).filter((F.col("rank") - F.col("earlier") >= F.col("less")) & (F.col("rank") - F.col("earlier") < F.col("less") + F.col("times")))
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
-    each = hit.groupBy(*keys, "i").agg((side(0) + (side(1) - side(0)) * F.max("part")).alias("x"))
-    whole = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("q"))
-    return bounds.join(whole, keys)
+    own = rows.select(*keys, F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    depth = F.percentile_approx("v", F.array(*[F.lit(i / CUTS) for i in range(CUTS + 1)]), 20 * CUTS)
+    groups = written(own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), depth.alias("cuts")), "groups")
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+
+    def bracket(i: int, q: float) -> Column:
+        first = F.floor(place(q) / F.col("n") * CUTS) - 1
+        low = F.when(first > 0, F.least(F.get("cuts", first.cast("int")), F.col("high"))).otherwise(F.col("low"))
+        last = F.ceil((place(q) + 1) / F.col("n") * CUTS) + 1
+        high = F.when(last < CUTS, F.greatest(F.get("cuts", last.cast("int")), F.col("low"))).otherwise(F.col("high"))
+        return F.struct(F.lit(i).alias("i"), low.alias("a"), high.alias("b"))
+
+    wanted = groups.select(*keys, F.posexplode(F.array(*[F.struct(place(q).alias("p")) for q in shares])).alias("i", "w"))
+    ranks = wanted.select(*keys, "i", F.floor("w.p").alias("r0"), F.ceil("w.p").alias("r1"), (F.col("w.p") - F.floor("w.p")).alias("part"))
+
+    def counted(brackets: DataFrame) -> DataFrame:
+        """(keys, i, v, times): values inside each bracket, and one row without a value for all below it."""
+        each = own.join(brackets, keys).select(*keys, "v", F.explode("brackets").alias("k")).filter(F.col("v") <= F.col("k.b"))
+        return each.groupBy(*keys, F.col("k.i").alias("i"), F.when(F.col("v") >= F.col("k.a"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("times"))
+
+    held = written(counted(groups.select(*keys, F.array(*[bracket(i, q) for i, q in enumerate(shares)]).alias("brackets"))), "held")
+    by = [*keys, "i"]
+    inside = lambda df: df.groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("times"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("times"))), F.lit(0)).alias("here"), F.count("v").alias("n_values"))
+    fit = (F.col("below") <= F.col("r0")) & (F.col("r1") < F.col("below") + F.col("here"))
+    missed = ranks.join(inside(held), by, "left").filter(~F.coalesce(fit, F.lit(False))).select(*by)
+    if missed.limit(1).count():
+        whole = groups.join(missed.groupBy(*keys).agg(F.collect_set("i").alias("which")), keys)
+        again = counted(whole.select(*keys, F.transform("which", lambda i: F.struct(i.alias("i"), F.col("low").alias("a"), F.col("high").alias("b"))).alias("brackets")))
+        held = written(held.join(missed, by, "left_anti").unionByName(again), "held")
+    while True:
+        sizes = written(inside(held).join(ranks, by), "sizes")
+        large = sizes.filter(F.col("n_values") > most)
+        if not large.limit(1).count():
+            break
+        held = written(held.join(large.select(*by), by, "left_anti").unionByName(_narrowed(held, large, by)), "held")
+
+    before = Window.partitionBy(*by).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.withColumn("less", F.coalesce(F.sum("times").over(before), F.lit(0))).filter("v is not null").join(sizes.select(*by, "r0", "r1", "part"), by)
+    at = lambda r: F.max(F.when((F.col(r) >= F.col("less")) & (F.col(r) < F.col("less") + F.col("times")), F.col("v")))
+    each = placed.groupBy(*by).agg(at("r0").alias("x0"), at("r1").alias("x1"), F.max("part").alias("part")).select(*by, (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("part")).alias("x"))
+    q = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("q"))
+    return groups.drop("cuts").join(q, keys)
+
+
+def _narrowed(held: DataFrame, large: DataFrame, by: list[str]) -> DataFrame:
+    """The brackets of ``large`` cut down to the parts, of about equal numbers of values, that hold the wanted ranks."""
+    own = held.join(large.select(*by, "r0", "r1"), by)
+    cuts = own.groupBy(*by).agg(F.array_distinct(F.percentile_approx("v", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), 20 * CUTS)).alias("cuts"))
+    parted = written(own.join(cuts, by).withColumn("no", F.when(F.col("v").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("v"))))).drop("cuts"), "parted")
+    whole = parted.groupBy(*by, "no").agg(F.sum("times").alias("times"), F.first("r0").alias("r0"), F.first("r1").alias("r1"))
+    before = Window.partitionBy(*by).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    ends = whole.withColumn("less", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    holds = lambda r: (F.col(r) >= F.col("less")) & (F.col(r) < F.col("less") + F.col("times"))
+    span = ends.groupBy(*by).agg(F.max(F.when(holds("r0"), F.col("no"))).alias("first"), F.max(F.when(holds("r1"), F.col("no"))).alias("last"))
+    kept = parted.join(span, by).filter(F.col("no") <= F.col("last"))
+    return kept.groupBy(*by, F.when(F.col("no") >= F.col("first"), F.col("v")).alias("v")).agg(F.sum("times").alias("times"))
 
 
 def robust_extents(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -217,10 +262,14 @@ def dimensions(points: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumns(out)
 
 
-def depth_stats(pixels: DataFrame, keys: list[str], depth: str = "depth") -> DataFrame:
-    """Least, greatest and median valid depth and the share of pixels that have one."""
+def depth_stats(pixels: DataFrame, keys: list[str], depth: str = "depth", *, any_size: bool = False) -> DataFrame:
+    """Least, greatest and median valid depth and the share of pixels that have one; ``any_size`` where a key is more than an image."""
     d = F.when(valid_depth(F.col(depth)), F.col(depth).cast("double"))
-    return pixels.groupBy(*keys).agg(F.min(d).alias("min_depth"), F.max(d).alias("max_depth"), F.median(d).alias("median_depth"), F.count(d).alias("n_valid"), (F.count(d) * 100.0 / F.count(F.lit(1))).alias("valid_percent"))
+    aggs = [F.min(d).alias("min_depth"), F.max(d).alias("max_depth"), F.count(d).alias("n_valid"), (F.count(d) * 100.0 / F.count(F.lit(1))).alias("valid_percent")]
+    if not any_size:
+        return pixels.groupBy(*keys).agg(*aggs, F.median(d).alias("median_depth"))
+    middle = quantiles(pixels.select(*keys, d.alias("d")), keys, "d", [0.5]).select(*keys, F.get("q", F.lit(0)).alias("median_depth"))
+    return pixels.groupBy(*keys).agg(*aggs).join(middle, keys, "left")
 
 
 def voxel(c: Column, size: float) -> Column:
@@ -239,13 +288,14 @@ def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     return F.when(high > low, F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1))).otherwise(bins // 2)
 
 
-def profile(points: DataFrame, keys: list[str], bins: int = K.PROFILE_BINS) -> DataFrame:
-    """Vertical density profile of each cloud: percentiles, bins, compactness, mean height and thirds."""
+def profile(points: DataFrame, keys: list[str], bins: int = K.PROFILE_BINS, *, any_size: bool = False) -> DataFrame:
+    """Vertical density profile of each cloud: percentiles, bins, compactness, mean height and thirds; ``any_size`` where a cloud is more than a view."""
     bounds = extents(points, keys)
     placed = points.join(bounds, keys).withColumn("bin", bin_of(F.col("y"), F.col("min_y"), F.col("max_y"), bins))
     y_in = F.col("y") * K.M_TO_IN
     at = [p / 100 for p in K.PROFILE_PERCENTILES]
-    aggs = [F.percentile(y_in, F.array(*[F.lit(p) for p in at])).alias("ps"), F.avg(y_in).alias("mean_y_in"), F.array(*[F.count_if(F.col("bin") == i) for i in range(bins)]).alias("hist")]
+    aggs = [] if any_size else [F.percentile(y_in, F.array(*[F.lit(p) for p in at])).alias("ps")]
+    aggs += [F.avg(y_in).alias("mean_y_in"), F.array(*[F.count_if(F.col("bin") == i) for i in range(bins)]).alias("hist")]
     thirds = ("lower_third", "middle_third", "upper_third")
     for k, name in enumerate(thirds):
         low = F.col("min_y") + F.col("span_y") * (k / 3.0)
@@ -255,6 +305,8 @@ def profile(points: DataFrame, keys: list[str], bins: int = K.PROFILE_BINS) -> D
             v = F.when(band, F.col(a))
             aggs.append(((F.max(v) - F.min(v)) * K.M_TO_IN).alias(f"{name}_{side}"))
     parts = placed.groupBy(*keys).agg(*aggs).join(bounds, keys)
+    if any_size:
+        parts = parts.join(quantiles(points.select(*keys, y_in.alias("y_in")), keys, "y_in", at).select(*keys, F.col("q").alias("ps")), keys)
     volume = F.col("span_x") * F.col("span_y") * F.col("span_z") * K.M_TO_IN**3
     density = F.transform("hist", lambda n: n / F.col("n_points"))
     return parts.select(

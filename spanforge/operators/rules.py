@@ -79,6 +79,113 @@ def decision(checks: dict[str, Column]) -> Column:
     return F.struct(verdict.alias("decision"), F.array_join(failed, ",").alias("failed"), F.array_join(warned, ",").alias("warned"))
 
 
+#: Fields that only serve debugging and must not reach a model.
+DEBUG_FIELDS = ("debug_features", "rejected_pot_dimensions_in", "raw_pot_candidate_measurements", "pot_debug")
+_DEBUG_KEY = r'(?<!\\)"(' + "|".join(DEBUG_FIELDS) + r')"\s*:'
+
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def has_debug_fields(json: Column) -> Column:
+    """A JSON text has a debug field at any depth."""
+    return F.coalesce(json.rlike(_DEBUG_KEY), F.lit(False))
+
+
+def pot_leak(*, debug_fields: Column, usable: Column, view_pot: Column, combined_pot: Column, combined_source: Column, prior_confidence: Column) -> Column:
+    """Why pot fields that no trusted mask or prior stands for have reached a model; null when none has."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    backed = no((combined_source == "sku_prior") & prior_confidence.isin("high", "medium"))
+    return T.first_match(
+        [
+            (no(debug_fields), F.lit("Rejected/debug pot fields appear in model-facing features.")),
+            (~no(usable) & no(view_pot), F.lit("Rejected/fallback pot dimensions appear in view ai2_features.")),
+            (~no(usable) & no(combined_pot) & ~backed, F.lit("Combined pot dimensions are not backed by a high/medium SKU prior.")),
+        ]
+    )
+
+
+def _shown(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("None"))
+
+
+def _all_positive(box: Column) -> Column:
+    return F.coalesce((box["length_in"] > 0) & (box["width_in"] > 0) & (box["height_in"] > 0), F.lit(False))
+
+
+def _segment_message(label: str, status: Column, available: Column, box: Column) -> Column:
+    sides = [F.concat(F.lit(f"{n} "), _shown(box[f"{f}_in"])) for n, f in (("L", "length"), ("W", "width"), ("H", "height"))]
+    known = F.concat(F.lit(f"{label} dimensions available: "), F.concat_ws(", ", *sides), F.lit("."))
+    return T.first_match([(status == "missing", F.lit(f"{label} segment missing.")), (~F.coalesce(available, F.lit(False)), F.lit(f"{label} unavailable in ai2_features.")), (box.isNull(), F.lit(f"{label} dimensions missing."))], known)
+
+
+def _cloud_message(label: str, cloud: Column) -> Column:
+    box = lambda b: F.concat_ws("/", *[_shown(cloud[b][f]) for f in K.LABEL_FIELDS])
+    full = lambda c, d: F.coalesce(F.when(c != "", c), F.lit(d))
+    known = F.concat(F.lit(f"{label} cloud "), F.upper(full(cloud["quality"], "unknown")), F.lit("; source "), full(cloud["source"], "unknown"), F.lit("; points "), _shown(cloud["point_count"]), F.lit("; raw L/W/H "), box("raw_bbox_in"), F.lit("; robust L/W/H "), box("robust_bbox_in"), F.lit("."))
+    return F.when(cloud.isNull(), f"{label} cloud diagnostics missing.").otherwise(known)
+
+
+def _cloud_status(cloud: Column) -> Column:
+    quality = F.lower(cloud["quality"])
+    return T.first_match([(quality == "ok", F.lit("pass")), (quality == "review", F.lit("warn"))], F.lit("fail"))
+
+
+def quality_summary(views: DataFrame) -> DataFrame:
+    """``views`` with ``checks`` (name to status and message, nine of them), decision, status_label, reasons and warnings.
+
+    A row is a view with what its records hold, null where a record or a field is missing:
+    ``segments`` (segment to status), ``pot`` (status, usable_for_model), ``geometry`` (status,
+    object_dimensions_in, leaf_canopy_dimensions_in, dimensions_in, warnings, object_cloud,
+    leaf_cloud), ``features`` (object_available, leaf_available, table_available, has_pot,
+    pot_source), ``combined`` (geometry_trusted, has_pot, pot_source, pot_prior_confidence),
+    ``debug_fields``, ``failures`` (texts of load_failures) and ``truth`` (present, well_formed).
+    """
+    no = lambda c: F.coalesce(c, F.lit(False))
+    seg = lambda n: F.try_element_at("segments", F.lit(n))
+    geometry, features, combined = F.col("geometry"), F.col("features"), F.col("combined")
+    box, leaf_box = geometry["object_dimensions_in"], geometry["leaf_canopy_dimensions_in"]
+    geometry_ok = ~no(geometry["status"].isin("failed", "missing")) & _all_positive(box) & _all_positive(geometry["dimensions_in"])
+    cloud_status = {n: _cloud_status(geometry[f"{n}_cloud"]) for n in ("object", "leaf")}
+    object_ok = no(combined["geometry_trusted"]) | (no(features["object_available"]) & geometry_ok & (cloud_status["object"] == "pass"))
+    leaf_ok = ~no(seg("leaf") == "missing") & no(features["leaf_available"]) & _all_positive(leaf_box)
+    leak = pot_leak(debug_fields=F.col("debug_fields"), usable=F.col("pot")["usable_for_model"], view_pot=features["has_pot"], combined_pot=combined["has_pot"], combined_source=combined["pot_source"], prior_confidence=combined["pot_prior_confidence"])
+    pot_status = F.col("pot")["status"]
+    failed_files = F.size(F.coalesce("failures", _no_texts())) > 0
+    status, said = {}, {}
+
+    status["object"] = F.when(object_ok, "pass").otherwise("fail")
+    said["object"] = F.when(object_ok & no(seg("object") == "missing"), "Authoritative geometry-primary object is available; AI1 object segmentation missing is non-blocking.").otherwise(_segment_message("Object", seg("object"), features["object_available"], box))
+    status["leaf"] = F.when(leaf_ok, "pass").otherwise("fail")
+    said["leaf"] = _segment_message("Leaf/canopy", seg("leaf"), features["leaf_available"], leaf_box)
+    status["geometry"] = F.when(geometry_ok, "pass").otherwise("fail")
+    said["geometry"] = F.when(geometry_ok, "Object geometry available.").otherwise("Geometry failed or required dimensions are missing.")
+    for n, label in (("object", "Object"), ("leaf", "Leaf")):
+        status[f"{n}_cloud"], said[f"{n}_cloud"] = cloud_status[n], _cloud_message(label, geometry[f"{n}_cloud"])
+    status["features"] = F.when(failed_files, "fail").otherwise("pass")
+    said["features"] = T.first_match([(failed_files, F.array_join("failures", "; ")), (leak.isNull(), F.lit("Model-facing features are clean."))], F.lit("Model-facing feature files are present."))
+    there, fine = no(F.col("truth")["present"]), no(F.col("truth")["well_formed"])
+    status["gt"] = F.when(there & fine, "pass").otherwise("warn")
+    said["gt"] = T.first_match([(~there, F.lit("GT pending.")), (~fine, F.lit("Ground truth malformed."))], F.lit("Ground truth present."))
+    status["table"] = check_table(geometry_ok, geometry["status"], no(seg("table") == "ok") | no(features["table_available"]))
+    said["table"] = T.first_match([(status["table"] == "pass", F.lit("Table support available.")), (status["table"] == "warn", F.lit("Table mask missing, but geometry still produced usable dimensions."))], F.lit("Table missing and geometry is degraded or suspicious."))
+    status["pot"] = check_pot(leak.isNotNull(), pot_status, features["pot_source"], combined["pot_source"], combined["pot_prior_confidence"])
+    trusted = no((pot_status == "trusted") & (features["pot_source"] == "segmentation_trusted"))
+    excluded = F.coalesce(pot_status.isin("fallback", "missing") | pot_status.startswith("rejected"), F.lit(False)) | F.col("pot").isNull()
+    said["pot"] = T.first_match([(leak.isNotNull(), leak), (trusted, F.lit("Trusted pot segmentation is available.")), (status["pot"] == "pass", F.lit("Pot segmentation excluded; high/medium SKU prior is available.")), (excluded, F.lit("Pot segmentation safely excluded from model features."))], F.lit("Pot status needs review."))
+
+    # every check is computed once, in a step of its own, before the verdict reads it
+    checked = views.select("*", F.struct(*[F.struct(status[n].alias("status"), said[n].alias("message")).alias(n) for n in CHECKS]).alias("checks"))
+    verdict = decision({n: F.col(f"checks.{n}.status") for n in CHECKS})["decision"]
+    reasons = F.transform(F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"checks.{n}.status").alias("s"), F.col(f"checks.{n}.message").alias("m")) for n in CHECKS]), lambda c: (c["s"] == "fail") & (c["n"] != "gt")), lambda c: c["m"])
+    usual = F.when(F.col("decision") == "proceed", F.array(F.lit("Object, leaf/canopy, geometry, and model-facing features are usable."))).when(F.col("decision") == "review", F.array(F.lit("Capture is usable, but one or more checks needs operator review."))).otherwise(_no_texts())
+    label = F.when(F.col("decision") == "recapture", "RECAPTURE RECOMMENDED").when(F.col("decision") == "review", "REVIEW").otherwise("GOOD TO PROCEED")
+    warnings = F.slice(F.coalesce(F.col("geometry")["warnings"], _no_texts()), 1, 5)
+    decided = checked.withColumn("decision", verdict).withColumns({"status_label": label, "reasons": reasons, "warnings": F.array_sort(F.array_distinct(F.filter(warnings, lambda w: F.coalesce(w != "", F.lit(False)))))})
+    return decided.withColumn("reasons", F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(usual))
+
+
 def load_failures(files: dict[str, tuple[Column, Column]]) -> Column:
     """Texts of the files (present, well-formed) that are missing or malformed."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(p, F.lit(False)), f"{n} missing").when(~F.coalesce(w, F.lit(False)), f"{n} malformed") for n, (p, w) in files.items()]))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.sources.store import scratch  # noqa: F401  queries take it from here
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -28,16 +28,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that the driver and all executors share; the session names it."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        place = tempfile.mkdtemp(prefix="spanforge-")
-    return f"{place.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def r6(c: Column | str) -> Column:
     """Rounded to six decimals: sums of doubles depend on their order."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6)

@@ -116,7 +116,8 @@ SELECT view, count(*) AS n_points, round(max(x) - min(x), 6) AS horizontal, roun
 def small_segments(t):
     q = xyz(t).select((F.col("vec_id") % 60).alias("view"), (F.col("x") * 0.3).alias("x"), (F.col("y") * 0.3).alias("y"), F.least(F.col("z") * 0.2 + 0.3, F.lit(1.3)).alias("z"))
     both = P.merge_clouds(q, q.withColumn("y", F.col("y") + 0.0001))
-    out = C.measure_segment(both, ["view"])
+    thin = P.voxel_centroids(P.apply_roi(both, use_y=False).filter("inside"), ["view"], K.MEASURE_VOXEL).select("view", *P.AXES)
+    out = P.dimensions(C.largest_cluster(thin, ["view"]), ["view"])
     return out.filter("n_points < 30").select("view", "n_points", r6("horizontal_span_m").alias("horizontal"), r6("vertical_span_in").alias("vertical_in"))
 
 

@@ -115,7 +115,7 @@ comp AS (SELECT n.label, a, b, c, dense_rank() OVER (PARTITION BY n.label ORDER
 @query(f"WITH RECURSIVE {VOXELS_SQL} SELECT label, a AS vx, b AS vy, c AS vz, component FROM comp")
 def voxel_components(t):
     cells = xyz(t).select("label", *[P.voxel(F.col(a), 0.4).alias(f"v{a}") for a in P.AXES])
-    return C.connected_cells(cells, ["label"], ["vx", "vy", "vz"]).select("label", "vx", "vy", "vz", "component")
+    return C.connected_cells(cells, ["label"], ["vx", "vy", "vz"], tile=8, few=0).select("label", "vx", "vy", "vz", "component")
 
 
 @query(f"""
@@ -161,11 +161,7 @@ m AS (SELECT label, s, min(t) AS root FROM r GROUP BY ALL)
 SELECT p.label, p.vec_id, m.root IS NOT NULL AS is_core, m.root AS first_core, m.root IS NOT NULL OR EXISTS (SELECT 1 FROM near JOIN core USING (label, s) WHERE near.t = p.vec_id AND near.label = p.label) AS clustered
 FROM p LEFT JOIN m ON m.label = p.label AND m.s = p.vec_id""")
 def density_clusters(t):
-    pts = xyz(t)
-    found = C.dbscan(pts, ["label"], 0.45, 5)
-    a, b = pts.select("label", *P.AXES), pts.select("label", "vec_id", *[F.col(c).alias(f"o{c}") for c in P.AXES])
-    dense = b.join(a, "label").filter(F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 + (F.col("z") - F.col("oz")) ** 2) <= 0.45).groupBy("label", "vec_id").agg((F.count(F.lit(1)) >= 5).alias("is_core"))
-    marked = found.join(dense, ["label", "vec_id"])
+    marked = C.density_clusters(xyz(t), ["label"], 0.45, 5, few=0)
     first = F.min(F.when(F.col("is_core"), F.col("vec_id"))).over(C.Window.partitionBy("label", "cluster"))
     return marked.select("label", "vec_id", "is_core", F.when(F.col("is_core"), first).alias("first_core"), (F.col("cluster") >= 0).alias("clustered"))
 
@@ -180,14 +176,14 @@ SELECT o_orderstatus, n AS n_points, round(quantile_cont(y * 39.3701, 0.5), 6) A
 FROM h GROUP BY o_orderstatus, n""" % ", ".join(f"round(count(*) FILTER (bin = {i}) / n, 6) AS bin_{i}" for i in range(10)))
 def vertical_profile(t):
     pts = t("orders").select("o_orderstatus", (F.col("o_custkey") % 100 / 100.0).alias("x"), (F.col("o_totalprice") / 100000).alias("y"), (F.col("o_orderkey") % 50 / 50.0).alias("z"))
-    p = P.profile(pts, ["o_orderstatus"])
+    p = P.profile(pts, ["o_orderstatus"], any_size=True)
     q = lambda k: F.element_at("height_percentiles", F.lit(k))
     return p.select("o_orderstatus", "n_points", r6(q("y_p50")).alias("y_p50"), r6(q("y_p95")).alias("y_p95"), F.round("density_center_of_mass_y", 4).alias("mean_y"), *[r6(F.get("vertical_density_bins", F.lit(i))).alias(f"bin_{i}") for i in range(10)], r6("compactness").alias("compactness"), r6(F.element_at("thirds", F.lit("lower_third"))["width_in"]).alias("lower_width"))
 
 
 @query("SELECT event_type, round(min(value), 6) AS min_depth, round(max(value), 6) AS max_depth, round(median(value), 6) AS median_depth, count(*) AS n_valid, round(count(*) * 100.0 / (SELECT count(*) FROM events e WHERE e.event_type = events.event_type), 6) AS valid_percent FROM events WHERE value > 0 GROUP BY event_type")
 def depth_stats(t):
-    out = P.depth_stats(t("events"), ["event_type"], "value")
+    out = P.depth_stats(t("events"), ["event_type"], "value", any_size=True)
     return out.select("event_type", *[r6(c).alias(c) for c in ("min_depth", "max_depth", "median_depth")], "n_valid", r6("valid_percent").alias("valid_percent"))
 
 

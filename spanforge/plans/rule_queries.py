@@ -252,8 +252,8 @@ def first_items(t):
     meta = F.struct(prior.alias("pot_prior"), F.when(k == 1, F.concat((F.col("p_size") + 1).cast("string"), F.lit(" in"))).otherwise(none.cast("string")).alias("pot_size"))
     item = F.array(F.struct(meta.alias("metadata"), F.lit(1).alias("n")))
     items = F.when(k != 3, F.concat(item, item)).otherwise(F.slice(item, 1, 0))
-    rows = t("part").select("p_partkey", items.alias("items"))
-    p = Fe.first_item_prior(F.col("items"), ["pot_size"], Cat.CONTAINERS, prior_type)
+    rows = t("part").select("p_partkey", items.alias("items")).withColumn("p", Fe.first_item_prior(F.col("items"), ["pot_size"], Cat.CONTAINERS, prior_type))
+    p = F.col("p")
     return rows.select("p_partkey", p["diameter_in"].alias("diameter_in"), p["confidence"].alias("confidence"), p["available"].alias("available"), Fe.first_item(F.col("items")).isNull().alias("no_item"))
 
 

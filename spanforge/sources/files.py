@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import flatten
+from spanforge.sources.store import drop, written
 
 #: Fixed value: the namespace of a workbook's cells.
 _CELLS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -170,6 +171,45 @@ def write_table(df: DataFrame, path: str) -> None:
     flat.select(*[(F.to_json(f"`{c}`") if c in nested else F.col(f"`{c}`")).alias(c) for c in sorted(flat.columns)]).hint("rebalance").write.csv(path, header=not df.isEmpty())
 
 
+def replace_partitions(df: DataFrame, path: str, parts: list[str]) -> None:
+    """Write ``df`` in place of the partitions that it has rows of; the files of the others stay as they are.
+
+    New files are staged and take a partition's place when the job commits, so a job that
+    fails leaves the table as it was.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def merge_rows(changes: DataFrame, path: str, keys: list[str], parts: list[str], *, delete: str | None = None) -> None:
+    """Put ``changes`` in place of the rows of the table at ``path`` with the same keys, rewriting only their partitions.
+
+    ``parts`` must follow from the keys. Rows of ``changes`` whose boolean column ``delete`` is true only take theirs
+    away. Applied again, the same changes give the same table. The new content is written aside
+    first, since a partition cannot be read while it is replaced; a partition that loses
+    its last row keeps its folder without rows.
+    """
+    spark = changes.sparkSession
+    new = written(changes, "changes")
+    gone = new.select(*parts).distinct()
+    old = spark.read.parquet(path)
+    kept = old.join(gone, parts, "left_semi").join(new.select(*keys), keys, "left_anti")
+    added = new.filter(~F.coalesce(F.col(delete), F.lit(False))).drop(delete) if delete else new
+    content = written(kept.unionByName(added, allowMissingColumns=True).select(*old.columns), "content")
+    replace_partitions(content, path, parts)
+    empty = gone.join(content.select(*parts).distinct(), parts, "left_anti").collect()  # partitions, as many as the table has at most
+    for row in empty:
+        _drop_files(spark, "/".join([path.rstrip("/"), *[f"{p}={row[p]}" for p in parts]]))
+    drop(new, content)
+
+
+def _drop_files(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(path):
+        for found in system.listStatus(path):
+            system.delete(found.getPath(), True)
+
+
 def public_columns(df: DataFrame, prefix: str = "_runtime_") -> DataFrame:
     """Without columns that only serve a run."""
     return df.drop(*[c for c in df.columns if c.startswith(prefix)])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import constants as K
 from spanforge.operators import cluster as C
+from spanforge.operators import measuring as M
 from spanforge.operators import points as P
 
 
@@ -178,7 +179,7 @@ def test_components_and_density_clusters(spark):
     assert {(r.row, r.col): r.component for r in joined.collect()} == {(0, 0): 0, (1, 1): 0, (5, 5): 1, (5, 6): 1}
     rng = np.random.default_rng(2)
     pts = np.concatenate([rng.normal(0, 0.01, (60, 3)), rng.normal(1, 0.01, (40, 3)), [[5, 5, 5]]])
-    got = [r.cluster for r in C.dbscan(cloud(spark, pts), ["view"]).orderBy("ord").collect()]
+    got = [r.cluster for r in C.density_clusters(cloud(spark, pts), ["view"]).orderBy("ord").collect()]
     assert len(set(got[:60])) == 1 and len(set(got[60:100])) == 1 and got[0] != got[60] and got[100] == -1
     kept = C.largest_cluster(cloud(spark, pts), ["view"])
     assert kept.count() == 60 and kept.first().largest_cluster_ratio == pytest.approx(60 / 101)
@@ -204,6 +205,6 @@ def table_and_object(seed):
 def test_fallback_finds_a_table_of_a_fifth_of_the_points(spark, monkeypatch):
     fits, fit = [], C.fit_plane
     monkeypatch.setattr(C, "fit_plane", lambda *args: fits.append(fit(*args)) or fits[-1])
-    C.measure_fallback(cloud(spark, table_and_object(1)), ["view"])
+    M.measure_object(cloud(spark, table_and_object(1)), ["view"])
     plane = fits[0].first()  # none of the first 160 draws lies on the table
     assert abs(plane.plane[1]) > 0.99 and abs(abs(plane.plane[3]) - 0.3) < 0.01
