@@ -73,14 +73,17 @@ def lookup(rows: DataFrame, catalogue: DataFrame, *, sku: str = "sku") -> DataFr
     """Left join on the SKU: the exact one, else in upper case, else in any case; ``status`` found or not_found.
 
     Each step is an equality join against catalogue keys that are unique for it, so no
-    row multiplies.
+    row multiplies. Rows without a SKU get keys of their own that meet nothing, so that they
+    do not all go to one task.
     """
     clean = rows.withColumn("clean_sku", T.require_valid_sku(F.col(sku)))
+    own_key = F.concat(F.lit("\0"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("string"))
+    clean = clean.withColumn("exact_key", F.coalesce("clean_sku", own_key))
     fields = [c for c in catalogue.columns if c != "sku"]
     entry = F.struct(*[F.col(c) for c in fields])
-    exact = catalogue.select(F.col("sku").alias("clean_sku"), entry.alias("exact"))
+    exact = catalogue.select(F.col("sku").alias("exact_key"), entry.alias("exact"))
     loose = catalogue.groupBy(F.lower("sku").alias("low_sku")).agg(F.min_by(entry, "sku").alias("loose"))
-    joined = clean.withColumn("low_sku", F.lower("clean_sku")).join(exact, "clean_sku", "left").join(loose, "low_sku", "left")
+    joined = clean.withColumn("low_sku", F.lower("exact_key")).join(exact, "exact_key", "left").join(loose, "low_sku", "left")
     item = F.coalesce("exact", "loose")
     return joined.select(*rows.columns, "clean_sku", F.when(item.isNotNull(), "found").otherwise("not_found").alias("status"), *[item[c].alias(c if c not in rows.columns else f"catalogue_{c}") for c in fields])
 

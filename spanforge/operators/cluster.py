@@ -19,6 +19,7 @@ from spanforge.functions.boxes import gap_3d
 from spanforge.functions.text import first_match
 from spanforge.operators import points as P
 from spanforge.operators.density import connected_cells, density_clusters
+from spanforge.sources.store import written
 
 
 # --- planes
@@ -222,8 +223,8 @@ def select_clusters(records: DataFrame, keys: list[str]) -> DataFrame:
 
 def table_planes(points: DataFrame, keys: list[str], voxel_size: float | None = None, most: int = K.PLANE_MAX_FIT_POINTS) -> DataFrame:
     """Table plane of each view and whether it took the second try: where too few thinned points agree, all points are fitted; null where these do not either."""
-    sampled = plane_fit_points(points, keys, voxel_size, most)
-    first = fit_plane(sampled, keys, draw_table(sampled, keys)).filter("plane is not null").withColumn("full_resolution", F.lit(False))
+    sampled = written(plane_fit_points(points, keys, voxel_size, most), "sampled")
+    first = written(fit_plane(sampled, keys, draw_table(sampled, keys)).filter("plane is not null").withColumn("full_resolution", F.lit(False)), "first")
     rest = points.join(first.select(*keys), keys, "left_anti")
     second = fit_plane(rest, keys, draw_table(rest, keys)).withColumn("full_resolution", F.lit(True))
     return first.unionByName(second)

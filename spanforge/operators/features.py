@@ -110,11 +110,16 @@ def group_composition(items: DataFrame, *, job: str = "job_id") -> DataFrame:
         use = F.col("trusted") & T.positive(F.col(d)).isNotNull()
         parts.append(F.try_divide(F.sum(F.when(use, F.col(d) * F.col("q"))), F.sum(F.when(use, F.col("q")))).alias(f"group_pot_prior_{d}_weighted_mean"))
     whole = rows.groupBy(job).agg(F.bool_and(F.coalesce(F.col("q") > 0, F.lit(False))).alias("valid"), F.sum("q").alias("total"), F.count_distinct("sku").alias("n_skus"), F.sum(F.when(F.col("trusted"), F.col("q")).otherwise(0)).alias("prior_q"), F.count_if("trusted").alias("prior_n"), *parts)
-    types = rows.groupBy(job, "category", "spec").agg(F.sum("q").alias("q")).groupBy(job).agg(F.count(F.lit(1)).alias("n_types"), F.max("q").alias("largest"), F.array_sort(F.collect_list(F.struct("category", "spec", "q"))).alias("sig"))
-    maps = [rows.groupBy(job, c).agg(F.sum("q").alias("q")).groupBy(job).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(c).alias("k"), F.col("q").cast("double").alias("v"))))).alias(f"group_{c}_qty")) for c in ("category", "spec")]
-    out = whole.filter("valid and total > 0").join(types, job)
-    for m in maps:
-        out = out.join(m, job)
+    types = rows.groupBy(job, "category", "spec").agg(F.sum("q").alias("q")).groupBy(job).agg(F.array_sort(F.collect_list(F.struct("category", "spec", "q"))).alias("sig"))
+
+    def quantities(c: str) -> Column:
+        """Quantity of each name among a job's few types."""
+        of = lambda k: F.aggregate(F.filter("sig", lambda s: s[c] == k), F.lit(0).cast("long"), lambda n, s: n + s["q"])
+        names = F.array_sort(F.array_distinct(F.transform("sig", lambda s: s[c])))
+        return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("k"), of(k).cast("double").alias("v"))))
+
+    counted = types.withColumns({"n_types": F.size("sig"), "largest": F.array_max(F.transform("sig", lambda s: s["q"])), **{f"group_{c}_qty": quantities(c) for c in ("category", "spec")}})
+    out = whole.filter("valid and total > 0").join(counted, job)
     total = F.col("total").cast("double")
     return out.select(
         job,

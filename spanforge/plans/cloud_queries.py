@@ -135,11 +135,11 @@ def stand_in_masks(t):
 
 
 @query("""
-WITH f AS (SELECT o_custkey, max(o_totalprice) AS c, 1 AS idx FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), k AS (SELECT o_custkey, max(o_totalprice) AS c, 2 AS idx FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+WITH f AS (SELECT o_custkey, max(o_totalprice) AS c, 1 AS idx FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), k AS (SELECT o_custkey, max(o_totalprice) AS c, 2 AS idx FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT coalesce(f.o_custkey, k.o_custkey) AS view, CASE WHEN k.c IS NOT NULL AND (f.c IS NULL OR k.c > f.c) THEN 2 ELSE 1 END AS idx, k.c IS NOT NULL AND (f.c IS NULL OR k.c > f.c) AS from_crop FROM f FULL JOIN k ON f.o_custkey = k.o_custkey""")
 def crop_masks(t):
-    of = lambda s, i: t("orders").filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("view")).agg(F.max("o_totalprice").alias("confidence"), F.lit(i).alias("idx"))
-    return V.crop_override(of("O", 1), of("F", 2), ["view"]).select("view", "best.idx", "from_crop")
+    of = lambda s, i: t("orders").filter(s).groupBy(F.col("o_custkey").alias("view")).agg(F.max("o_totalprice").alias("confidence"), F.lit(i).alias("idx"))
+    return V.crop_override(of("o_orderstatus <> 'F'", 1), of("o_orderstatus = 'F'", 2), ["view"]).select("view", "best.idx", "from_crop")
 
 
 @query("""

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from spanforge.functions import constants as K
+from spanforge.operators import cluster as C
 from spanforge.operators import measuring as M
 from spanforge.plans.base import query, r6
 from spanforge.plans.plane_queries import _T, scene, scene_sql, stated_fit
@@ -94,3 +95,19 @@ def trusted_sizes(t):
     """The parts above the table as trusted clouds, measured as they are."""
     out = M.measure_trusted(scene(t, PER).filter("not flat").drop("flat"), ["view"])
     return out.select("view", "n_object", "error", r6("depth_span_m").alias("depth"), r6(F.element_at("height_percentiles", F.lit("y_p50"))).alias("y_p50"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(f"""
+WITH {scene_sql(PER)},
+k AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY view) AS m, abs(CASE WHEN view % 7 = 5 THEN z - 0.3::DOUBLE ELSE y END - 0.4::DOUBLE - 0.05::DOUBLE * (view // 6 % 5) - 0.02::DOUBLE * x) / sqrt(1.0004::DOUBLE) <= 0.008 AS near FROM p),
+g AS (SELECT DISTINCT view, CASE WHEN m <= 40 THEN j ELSE floor(j * ((m - 1) / 39.0::DOUBLE))::BIGINT END AS i FROM (SELECT DISTINCT view, m FROM k), range(40) t(j)),
+s AS (SELECT k.view, count(*) FILTER (near) AS n, count(*) AS m FROM k JOIN g ON g.view = k.view AND g.i = k.i GROUP BY k.view),
+a AS (SELECT view, count(*) FILTER (near) AS n, count(*) AS m FROM k GROUP BY view)
+SELECT a.view, view_ok AND (first_ok OR second_ok) AS found, CASE WHEN view_ok AND (first_ok OR second_ok) THEN NOT first_ok END AS full_resolution, CASE WHEN view_ok AND first_ok THEN sn WHEN view_ok AND second_ok THEN an END AS n_inliers, CASE WHEN view_ok AND (first_ok OR second_ok) THEN CASE WHEN a.view % 7 = 5 THEN 0.0 ELSE 0.9998 END END AS normal_y
+FROM (SELECT a.view, s.n AS sn, a.n AS an, a.view % 11 <> 9 AS view_ok, s.n >= greatest(30, floor(s.m * 0.03)) AS first_ok, a.n >= greatest(30, floor(a.m * 0.03)) AS second_ok FROM a JOIN s ON s.view = a.view) a""")
+def table_plane_tries(t):
+    """Seeded draws over 40 points of each view, and over all of them where too few of those agree. The table holds more than half of a view, so the draws find it."""
+    planes = C.table_planes(scene(t, PER).drop("flat"), ["view"], most=40)
+    planes = planes.withColumn("plane", F.when(F.col("view") % 11 != 9, F.col("plane")))  # scattered views hold whatever the draws find
+    found = F.col("plane").isNotNull()
+    return planes.select("view", found.alias("found"), F.when(found, F.col("full_resolution")).alias("full_resolution"), F.when(found, F.col("n_inliers")).alias("n_inliers"), F.round(F.abs(F.get("plane", F.lit(1))), 4).alias("normal_y"))

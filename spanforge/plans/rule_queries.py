@@ -292,9 +292,16 @@ def complete_jobs(t):
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS frame, epoch(TIMESTAMP '2030-01-01') - max(epoch(ts)) > 2.0 AS stale FROM events GROUP BY user_id")
 def frame_cache(t):
-    e = t("events").select("user_id", F.struct("ts", "event_id").alias("key"), "ts", "event_id")
-    newest = J.latest(e, ["user_id"], F.struct("ts", "event_id").desc()).select("user_id", "ts", F.col("event_id").alias("frame"))
-    return Se.latest_frames(newest, F.lit("2030-01-01").cast("timestamp_ntz"), camera="user_id").select("user_id", "frame", "stale")
+    frames = t("events").select("user_id", "ts", F.col("event_id").alias("frame"))
+    return Se.latest_frames(frames, F.lit("2030-01-01").cast("timestamp_ntz"), camera="user_id").select("user_id", "frame", "stale")
+
+
+@query("SELECT c_custkey, min(c_custkey) OVER (PARTITION BY round(c_acctbal / 100), c_nationkey % 5, c_mktsegment) AS first_of_setting FROM customer")
+def setting_rows(t):
+    """Customers with the same setting share a key: the first of each."""
+    setting = F.struct(F.struct(F.round(F.col("c_acctbal") / 100).alias("crop"), (F.col("c_nationkey") % 5).alias("profile")).alias("camera"), F.col("c_mktsegment").alias("mode"))
+    keyed = t("customer").select("c_custkey", T.canonical_key(setting.alias("setting")).alias("k"))
+    return keyed.join(keyed.groupBy("k").agg(F.min("c_custkey").alias("first_of_setting")), "k").drop("k")
 
 
 @query("""
