@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.operators import jobs as J
 from spanforge.plans.base import ORACLE_SQL, QUERIES, scratch
 from spanforge.plans.state_queries import rocks_store
+from spanforge.sources import formats as Fm
 from spanforge.streaming import reprocess as Re
 from spanforge.streaming import sessions as Se
 
@@ -116,3 +120,65 @@ def reprocessed_views(spark, t):
         captures.filter(part).write.mode("append").parquet(source)
         Re.process_stream(spark.readStream.schema(captures.schema).parquet(source), apply, progress).awaitTermination()
     return spark.read.parquet(path).select("view", F.round("value", 4).alias("value"), "batch")
+
+
+def _as_files(rows: DataFrame, folder: str, encode) -> None:
+    """One file for each ``name`` of the rows, put in place by renaming; the names and values go to the tasks by group."""
+
+    def write(part):
+        name = part["name"].iloc[0]
+        os.makedirs(folder, exist_ok=True)
+        aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        with open(aside, "wb") as f:
+            encode(part, f)
+        os.replace(aside, f"{folder}/{name}")
+        return part[["name"]].head(1)
+
+    rows.groupBy("name").applyInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+def _save_depth(part, f) -> None:
+    grid = np.zeros((40, 25), dtype=np.float32)
+    grid[part["row"], part["col"]] = part["depth"]
+    np.save(f, grid)
+
+
+def _save_cloud(part, f) -> None:
+    lines = [f"{x!r} {y!r} {z!r}" for x, y, z in zip(part["x"], part["y"], part["z"], strict=True)]
+    f.write("\n".join(["ply", "format ascii 1.0", f"element vertex {len(lines)}", *[f"property float {a}" for a in "xyz"], "end_header", *lines, ""]).encode())
+
+
+@streamed("""
+WITH d AS (SELECT o_custkey % 7 AS camera, o_orderkey % 40 AS row, o_custkey % 25 AS col, max(o_totalprice) AS depth FROM orders GROUP BY ALL)
+SELECT 'f' || camera || '.npy' AS name, row, count(*) AS n_valid, round(sum(depth::FLOAT::DOUBLE), 2) AS total FROM d GROUP BY ALL""")
+def depth_frame_format(spark, t):
+    """Depth arrays as a format, read in ranges of seven rows: first as a stream that ends and goes on, and what it gave against the rows."""
+    folder = shared_folder(spark, "frames")
+    o = t("orders")
+    pixels = o.groupBy((F.col("o_custkey") % 7).alias("camera"), (F.col("o_orderkey") % 40).alias("row"), (F.col("o_custkey") % 25).alias("col")).agg(F.max("o_totalprice").alias("depth"))
+    named = pixels.withColumn("name", F.concat(F.lit("f"), F.col("camera").cast("string"), F.lit(".npy")))
+    Fm.register(spark)
+    out, progress = scratch(spark, "pixels"), scratch(spark, "progress")
+    for part in ("camera < 4", "camera >= 4"):
+        _as_files(named.filter(part), folder, _save_depth)
+        frames = spark.readStream.format("depth_frames").option("step", 7).load(folder)
+        frames.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.parquet(out).filter("depth > 0")
+    return seen.groupBy(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("row").cast("long").alias("row")).agg(F.count(F.lit(1)).alias("n_valid"), F.round(F.sum(F.col("depth").cast("double")), 2).alias("total"))
+
+
+@streamed("SELECT l_orderkey // 1000 AS cloud, count(*) AS n_points, round(sum(l_extendedprice), 2) AS sum_x, round(max(l_quantity * 1.5), 6) AS max_y, round(min(l_discount), 6) AS min_z FROM lineitem GROUP BY 1")
+def cloud_format(spark, t):
+    """Clouds as a format, read in ranges of 5,000 bytes."""
+    folder = shared_folder(spark, "clouds")
+    rows = t("lineitem").select(F.concat(F.lit("c"), F.floor(F.col("l_orderkey") / 1000).cast("string"), F.lit(".ply")).alias("name"), F.col("l_extendedprice").cast("double").alias("x"), (F.col("l_quantity") * 1.5).cast("double").alias("y"), F.col("l_discount").cast("double").alias("z"))
+    _as_files(rows, folder, _save_cloud)
+    Fm.register(spark)
+    points = spark.read.format("ascii_clouds").option("step", 5000).load(folder)
+    cloud = F.regexp_extract("path", r"c(\d+)\.ply$", 1).cast("long")
+    return points.groupBy(cloud.alias("cloud")).agg(F.count(F.lit(1)).alias("n_points"), F.round(F.sum("x"), 2).alias("sum_x"), F.round(F.max("y"), 6).alias("max_y"), F.round(F.min("z"), 6).alias("min_z"))
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A scratch path as the tasks open it themselves."""
+    return scratch(spark, label).removeprefix("file://").removeprefix("file:")
