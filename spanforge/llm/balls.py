@@ -18,7 +18,7 @@ repeats its own part of one step. No group is gathered anywhere, so a cluster of
 of the rows is like any other.
 
 Defined results: a vector that is null, has another number of components, or null or
-non-finite ones, is left out, and so is one with a component of 2**26 / ``scale`` or more in magnitude, whose
+non-finite ones, is left out, and so is one of length 2**29 / ``scale`` or more, whose
 squared distances no long can hold; repeated rows are members each for itself; ties of
 distance go to the smaller number; a vector without an id starts a centroid only where
 ids run out, and equal ids go by their components; fewer vectors than ``k`` make fewer centroids;
@@ -41,8 +41,8 @@ from spanforge.llm.storage import discard, materialise, with_clear_names
 
 MEMBERS = "vec_id long, q binary, cluster int, distance long"
 CLUSTERED = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
-#: Magnitude that integer components stay below.
-MOST = 1 << 26
+#: Squared length that integer vectors stay below, so that four times a squared distance fits a long.
+MOST = 1 << 58
 
 
 def integers(column: pa.Array, dims: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,8 +51,8 @@ def integers(column: pa.Array, dims: int, scale: int) -> tuple[np.ndarray, np.nd
     rows = np.flatnonzero(sizes == dims)
     flat = column.take(pa.array(rows)).flatten().cast(pa.float64())
     x = np.floor(flat.to_numpy(zero_copy_only=False).reshape(len(rows), dims) * scale)  # nulls are not a number here
-    with np.errstate(invalid="ignore"):
-        good = (np.abs(x) < MOST).all(axis=1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        good = np.einsum("nd,nd->n", x, x) < MOST
     return rows[good], x[good].astype(np.int32)
 
 

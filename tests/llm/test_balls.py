@@ -76,8 +76,9 @@ def test_rows_of_every_kind(spark):
     assert result(cluster_vectors(docs.repartition(1), k=7, dims=4)) == plain_clusters(rows, 7, 5, 4)
     few = docs.filter("vec_id < 3")
     assert result(cluster_vectors(few, k=7, dims=4)) == plain_clusters(rows[:3], 7, 5, 4)
-    huge = spark.createDataFrame([(1, [2.0**18] + [0.0] * 3, "x", 1, None), (2, [1.0] * 4, "x", 1, None)], SCHEMA)
-    assert [r[0] for r in result(cluster_vectors(huge, k=2, dims=4))] == [2]
+    huge = [(1, [2.0**21] + [0.0] * 3), (2, [1.0] * 4), (3, [-(2.0**20)] * 3 + [3.0]), (4, [1e300] * 4), (5, [2.0**20.9, 0.0, -1.0, 2.0])]
+    got = result(cluster_vectors(spark.createDataFrame([(i, v, "x", 1, None) for i, v in huge], SCHEMA), k=3, dims=4))
+    assert [r[0] for r in got] == [2, 3, 5] and got == plain_clusters([huge[1], huge[2], huge[4]], 3, 5, 4)
     nothing = cluster_vectors(docs.filter("false"), k=7, dims=4)
     assert nothing.count() == 0 and nothing.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
 
