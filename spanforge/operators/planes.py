@@ -21,7 +21,7 @@ from spanforge.functions import constants as K
 from spanforge.functions.text import first_match
 from spanforge.operators import cluster as C
 from spanforge.operators import points as P
-from spanforge.sources.store import scratch, written
+from spanforge.sources.store import drop, scratch, written
 
 Fit = Callable[[DataFrame], DataFrame]
 
@@ -61,7 +61,8 @@ def plane_sequence(points: DataFrame, captures: DataFrame, *, view: list[str], c
         rest = stopped.filter("k > stop").join(now, cache, "left")
         moved = rest.filter("anew").select(*view, F.col("new_plane").alias("plane"))
         verdict = C.plane_valid(points.join(moved.select(*view), view, "left_semi"), moved, view, threshold).select(*view, F.col("reason").alias("verdict"))
-        left = written(rest.join(verdict, view, "left").select(*names, "k", F.coalesce("new_plane", "plane").alias("plane"), F.when(F.col("anew"), F.col("verdict")).otherwise(F.col("cache_reason")).alias("cache_reason"), F.when(F.col("anew"), 1).otherwise(F.col("budget") * 2).alias("budget")), "open")
+        before, left = left, written(rest.join(verdict, view, "left").select(*names, "k", F.coalesce("new_plane", "plane").alias("plane"), F.when(F.col("anew"), F.col("verdict")).otherwise(F.col("cache_reason")).alias("cache_reason"), F.when(F.col("anew"), 1).otherwise(F.col("budget") * 2).alias("budget")), "open")
+        drop(before, fits, stopped)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in captures.select(*names).schema.fields)
     result = f"{fields}, k int, plane array<double>, source string, cache_reason string, refit_reason string, replaced boolean, n_inliers long"
     if captures.limit(1).count():

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import constants as K
 from spanforge.functions.text import first_match
-from spanforge.sources.store import written
+from spanforge.sources.store import drop, written
 
 AXES = ("x", "y", "z")
 
@@ -217,7 +217,8 @@ def quantiles(rows: DataFrame, keys: list[str], column: str, shares: list[float]
         large = sizes.filter(F.col("n_values") > most)
         if not large.limit(1).count():
             break
-        held = written(held.join(large.select(*by), by, "left_anti").unionByName(_narrowed(held, large, by)), "held")
+        before, held = held, written(held.join(large.select(*by), by, "left_anti").unionByName(_narrowed(held, large, by)), "held")
+        drop(before, sizes)
 
     before = Window.partitionBy(*by).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     placed = held.withColumn("less", F.coalesce(F.sum("times").over(before), F.lit(0))).filter("v is not null").join(sizes.select(*by, "r0", "r1", "part"), by)

@@ -149,9 +149,15 @@ def union_parts(detections: DataFrame, keys: list[str]) -> DataFrame:
         union, out = set(first.pixels), []
         diagonal = (float(first.width) ** 2 + float(first.height) ** 2) ** 0.5
 
-        def bounds(px: set) -> tuple:
+        def grown(u: tuple, px: set) -> tuple:
+            """Bounds of a mask that has bounds ``u`` and these pixels."""
+            if not px:
+                return u
             rows, cols = [p // width for p in px], [p % width for p in px]
-            return min(cols), min(rows), max(cols) + 1, max(rows) + 1
+            return min(u[0], *cols), min(u[1], *rows), max(u[2] - 1, *cols) + 1, max(u[3] - 1, *rows) + 1
+
+        far = float("inf")
+        u = grown((far, far, -far, -far), union)
 
         for d in part.itertuples():
             pixels = set(d.pixels if d.pixels is not None else ())
@@ -170,7 +176,7 @@ def union_parts(detections: DataFrame, keys: list[str]) -> DataFrame:
             if d.blocked and d.segment == "object":
                 out.append((False, "candidate_has_blocking_rejection"))
                 continue
-            b, p, u = d.box, first.box, bounds(union)
+            b, p = d.box, first.box
             inter = max(0.0, min(b["x2"], p["x2"]) - max(b["x1"], p["x1"])) * max(0.0, min(b["y2"], p["y2"]) - max(b["y1"], p["y1"]))
             own = max(1.0, (b["x2"] - b["x1"]) * (b["y2"] - b["y1"]))
             dx, dy = max(0.0, b["x1"] - u[2], u[0] - b["x2"]), max(0.0, b["y1"] - u[3], u[1] - b["y2"])
@@ -178,6 +184,7 @@ def union_parts(detections: DataFrame, keys: list[str]) -> DataFrame:
             out.append((near, None if near else "not_spatially_consistent_with_primary_object"))
             if near:
                 union |= pixels
+                u = grown(u, pixels)
         return part.assign(accepted=[a for a, _ in out], reason=[r for _, r in out])[columns]
 
     columns = [*keys, "idx", "accepted", "reason"]
