@@ -48,7 +48,7 @@ def stated_fit(own, threshold=K.PLANE_THRESHOLD):
 
 @query(f"""
 WITH RECURSIVE {scene_sql(250)},
-views AS (SELECT DISTINCT view, view % 2 AS setting, view % 13 <> 12 AS has_depth FROM p),
+views AS (SELECT DISTINCT view, view // 15 AS setting, view % 13 <> 12 AS has_depth FROM p),
 roi AS MATERIALIZED (SELECT * FROM p WHERE abs(x) <= 0.5334 + 0.05 AND z BETWEEN 0.25 - 0.05 AND 1.3168 + 0.05 AND y <= 1.0668 + 0.05),
 n AS (SELECT v.*, (SELECT count(*) FROM roi WHERE roi.view = v.view) AS n_roi FROM views v),
 e AS (SELECT *, CASE WHEN NOT has_depth THEN 'geometry_primary_missing_depth_aligned_to_rgb' WHEN n_roi < 30 THEN 'geometry_primary_roi_too_few_points:' || n_roi END AS early FROM n),
@@ -88,6 +88,6 @@ FROM e LEFT JOIN w ON w.view = e.view LEFT JOIN na ON na.view = e.view LEFT JOIN
 def view_extraction(t):
     """Every view with the way it came to its plane and the error that left it without an object."""
     points = scene(t).drop("flat")
-    captures = points.select("view").distinct().select("view", (F.col("view") % 2).alias("setting"), (F.col("view") % 13 != 12).alias("has_depth"))
+    captures = points.select("view").distinct().select("view", F.floor(F.col("view") / 15).alias("setting"), (F.col("view") % 13 != 12).alias("has_depth"))
     _, status = Pl.extract_objects(points, captures, view=["view"], cache=["setting"], order=["view"], fit=stated_fit)
     return status.select("view", "n_roi", "source", "cache_reason", "refit_reason", "replaced", "n_above", "error")
