@@ -132,7 +132,8 @@ class FrameProcessor(StatefulProcessor):
     Frames may come in any order: only a later one, or at the same time one of a greater
     number, replaces the kept one, is given out as fresh and winds the timer up again. With
     event time the timer runs on the stream's watermark, so a replay gives the same rows; with
-    processing time it runs on the clock, from the arrival of the frame.
+    processing time it runs on the clock, from the arrival of the frame. A timer already runs
+    when the time reaches it; a frame as old as allowed is not stale, so it gets one more millisecond.
     """
 
     def __init__(self, stale_ms: int, event_time: bool):
@@ -164,8 +165,13 @@ class FrameProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ts, frame, deadline = self.last.get()
-        if expiredTimerInfo.getExpiryTimeInMs() == deadline:
+        now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        if expiredTimerInfo.getExpiryTimeInMs() not in (deadline, deadline + 1):
+            return
+        if now > deadline:
             yield self._row(key, pd.Timestamp(ts), frame, True)
+        else:
+            self.handle.registerTimer(deadline + 1)
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@
 
 import os
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -133,6 +134,20 @@ def test_a_later_frame_winds_the_timer_up_again():
     assert frames((5001, 1)) == [(1, False)] and state.timers == {7001}
 
 
+def test_a_frame_as_old_as_allowed_is_not_stale():
+    p, state = Se.FrameProcessor(2000, True), Keeper()
+    p.init(state)
+    list(p.handleInputRows(("c",), iter([pd.DataFrame({"ts": [pd.Timestamp(5000, unit="ms")], "frame": [1]})]), None))
+
+    def runs(at, watermark):
+        state.timers.discard(at)
+        return [bool(x["stale"][0]) for x in p.handleExpiredTimer(("c",), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), SimpleNamespace(getExpiryTimeInMs=lambda: at))]
+
+    assert runs(7000, 7000) == [] and state.timers == {7001}
+    assert runs(6999, 7001) == []
+    assert runs(7001, 7001) == [True] and state.timers == set()
+
+
 def test_frames_go_stale_on_the_clock(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     first = spark.sql("SELECT 'c' AS camera_id, timestamp '2024-01-01' AS ts, 1L AS frame UNION ALL SELECT 'c', timestamp '2023-01-01', 2L")
