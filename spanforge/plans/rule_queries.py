@@ -259,8 +259,10 @@ def first_items(t):
 
 @query("SELECT l_orderkey, l_returnflag AS role, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) = 1")
 def view_roles(t):
-    rows = t("lineitem").select("l_orderkey", F.col("l_returnflag").alias("role"), F.col("l_linenumber").alias("ord"), "l_quantity")
-    return Fe.roles(rows, ["l_orderkey"]).select("l_orderkey", "role", F.col("ord").alias("l_linenumber"), "l_quantity")
+    """Lines of an order that share flag and number are many; of these the first in the file counts, as in SQL on one thread."""
+    place = F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index")
+    rows = t("lineitem").select("l_orderkey", F.col("l_returnflag").alias("role"), place.alias("ord"), "l_quantity")
+    return Fe.roles(rows, ["l_orderkey"]).select("l_orderkey", "role", "ord.l_linenumber", "l_quantity")
 
 
 @query("""

@@ -1,11 +1,13 @@
 """View features, records and saved models."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from spanforge.operators import features as Fe
 from spanforge.operators import points as P
 from spanforge.operators import rules as R
 from spanforge.operators import training as Tr
+from spanforge.plans import catalog
 from spanforge.sources import files as S
 
 
@@ -35,3 +37,15 @@ def test_records(spark, tmp_path):
     stats = P.depth_stats(px, ["view"])
     meta = S.capture_meta(spark.createDataFrame([(1, "cam")], "view int, camera string"), stats, stats, ["view"]).first()
     assert meta.raw_depth.median_depth == 3.0 == meta.aligned_depth.median_depth
+
+
+def test_view_roles_of_equal_lines_is_the_first_in_the_files(spark, tmp_path):
+    con = duckdb.connect(config={"threads": 1})
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for name, first, n in (("a", 0, 900), ("b", 900, 30000)):  # Spark takes the longer file first
+        con.sql(f"COPY (SELECT (i % 300)::BIGINT AS l_orderkey, (i % 2)::VARCHAR AS l_returnflag, 1::INTEGER AS l_linenumber, i::DOUBLE AS l_quantity FROM range({first}, {first + n}) t(i)) TO '{folder}/{name}.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS FROM '{folder}/*.parquet'")
+    want = con.sql(catalog.ORACLE_SQL["view_roles"]).fetchall()
+    got = catalog.QUERIES["view_roles"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 300
