@@ -7,10 +7,12 @@ and after is columns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,28 +23,20 @@ from spanforge.operators import points as P
 from spanforge.operators.density import connected_cells, density_clusters
 from spanforge.sources.store import written
 
-
-# --- planes
-def plane_of(p: Column, q: Column, r: Column) -> Column:
-    """(a, b, c, d) with a unit normal through three points (structs x, y, z); null when they lie on a line."""
-    ux, uy, uz = (q[a] - p[a] for a in P.AXES)
-    vx, vy, vz = (r[a] - p[a] for a in P.AXES)
-    n = [uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx]
-    size = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
-    unit = [c / size for c in n]
-    d = -(unit[0] * p["x"] + unit[1] * p["y"] + unit[2] * p["z"])
-    return F.when(size > 1e-12, F.array(*unit, d))
+#: Points of a view that are one row while planes are fitted.
+CHUNK = 512
 
 
+# --- planes
 def stride_sample(points: DataFrame, keys: list[str], most: int = K.PLANE_MAX_FIT_POINTS) -> DataFrame:
     """At most ``most`` points of each view at even places of its order ``ord``, ends included."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     i = F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1
     placed = points.withColumns({"n_all": n, "i_all": i})
     step = (F.col("n_all") - 1) / float(most - 1)
-    k = F.ceil(F.col("i_all") / step)  # the one place that may truncate to this index
-    hit = (k < most) & (F.floor(k * step) == F.col("i_all"))
-    return placed.filter((F.col("n_all") <= most) | hit).drop("n_all", "i_all")
+    k = F.ceil(F.col("i_all") / step)  # the place that may truncate to this index; the quotient may be rounded past it
+    hits = [(p >= 0) & (p < most) & (F.floor(p * step) == F.col("i_all")) for p in (k - 1, k, k + 1)]
+    return placed.filter((F.col("n_all") <= most) | hits[0] | hits[1] | hits[2]).drop("n_all", "i_all")
 
 
 def plane_fit_points(points: DataFrame, keys: list[str], voxel_size: float | None = None, most: int = K.PLANE_MAX_FIT_POINTS) -> DataFrame:
@@ -62,6 +56,7 @@ def plane_fit_points(points: DataFrame, keys: list[str], voxel_size: float | Non
     return stride_sample(own, keys, most)
 
 
+@lru_cache(maxsize=4096)
 def draws(n: int, iterations: int = K.PLANE_ITERATIONS, seed: int = K.PLANE_SEED) -> list[tuple[int, int, int]]:
     """Index triples of the seeded generator for a cloud of n points."""
     rng = np.random.default_rng(seed)
@@ -72,52 +67,118 @@ def fit_plane(points: DataFrame, keys: list[str], triples: DataFrame, threshold:
     """Best plane of each view: ``plane``, ``n_inliers``, ``iteration``; null where too few points agree.
 
     ``triples`` has, per view, ``iteration`` and the indices a, b, c into the order
-    ``ord`` of the fit points; there are at most a thousand of them. A point stays one row:
-    each partition holds its points against the list of its view's planes by a matrix
-    product, and what leaves is one list of counts for each view.
+    ``ord`` of the fit points; there are at most a thousand of them. A view is cut into
+    chunks of points. Each chunk meets the list of its view's triples and gives the points
+    that these name, then meets the list of planes by a matrix product; what leaves are
+    counts. Spark cannot tell how long the lists are, so it may not broadcast them.
     """
-    numbered = points.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1)
-    corner = numbered.select(*keys, "i", F.struct(*P.AXES).alias("p"))
-    wanted = triples.select(*keys, "iteration", F.posexplode(F.array("a", "b", "c")).alias("k", "i"))
-    found = wanted.join(corner, [*keys, "i"]).groupBy(*keys, "iteration").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda s: s["p"]).alias("ps"))
-    planes = found.withColumn("plane", plane_of(*[F.get("ps", F.lit(i)) for i in range(3)])).filter("plane is not null")
-    lists = planes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("iteration", "plane"))).alias("planes"))
-    near = _near_planes(points.join(lists, keys), keys, threshold)
-    counted = near.groupBy(*keys, "iteration").agg(F.sum("n").alias("n_inliers")).join(planes.select(*keys, "iteration", "plane"), [*keys, "iteration"])
+    chunks = _chunks(points, keys)
+    lists = triples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("iteration").cast("int").alias("iteration"), *[F.col(c).cast("long").alias(c) for c in "abc"]))).alias("triples"))
+    named = _corners(chunks.join(lists.hint("merge"), keys), keys).groupBy(*keys).agg(F.flatten(F.collect_list("corners")).alias("corners"), F.any_value("triples", True).alias("triples"))
+    near = _near_planes(chunks.join(_planes(named, keys).hint("merge"), keys), keys, threshold)
+    counted = near.groupBy(*keys, "iteration").agg(F.sum("n").alias("n_inliers"), F.any_value("plane").alias("plane"))
     best = counted.groupBy(*keys).agg(F.max_by(F.struct("plane", "n_inliers", "iteration"), F.struct(F.col("n_inliers"), -F.col("iteration"))).alias("b"))
     sizes = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
     enough = F.col("b.n_inliers") >= F.greatest(F.lit(K.PLANE_MIN_INLIERS), F.floor(F.col("n_points") * K.PLANE_MIN_INLIER_RATIO))
-    return sizes.join(best, keys, "left").select(*keys, "n_points", F.when(enough, F.col("b.plane")).alias("plane"), F.col("b.n_inliers").alias("n_inliers"), F.col("b.iteration").alias("iteration"))
+    return sizes.join(best.hint("merge"), keys, "left").select(*keys, "n_points", F.when(enough, F.col("b.plane")).alias("plane"), F.col("b.n_inliers").alias("n_inliers"), F.col("b.iteration").alias("iteration"))
+
+
+def _chunks(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Points of a view in rows of at most ``CHUNK``, each with its place ``i`` in the order ``ord``, and the number of those rows."""
+    view = Window.partitionBy(*keys)
+    numbered = points.withColumns({"i": F.row_number().over(view.orderBy("ord")).cast("long") - 1, "n_view": F.count(F.lit(1)).over(view)})
+    chunk = F.floor(F.col("i") / CHUNK).alias("chunk")
+    rows = numbered.groupBy(*keys, chunk, F.ceil(F.col("n_view") / CHUNK).alias("n_chunks"))
+    return rows.agg(F.collect_list(F.struct("i", *[F.col(a).cast("double").alias(a) for a in P.AXES])).alias("points"))
+
+
+def _shape(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+
+
+def _lists(column: pa.ListArray) -> Iterator[list[np.ndarray]]:
+    """Of each row the fields of its list of structs, as arrays."""
+    for row in column:
+        yield [np.asarray(f) for f in row.values.flatten()]
+
+
+def _by_row(batch: pa.RecordBatch, keys: list[str], rows: list[int], **columns: pa.Array) -> pa.RecordBatch:
+    """Columns beside the keys of the rows they come from."""
+    return pa.record_batch([*[batch.column(k).take(pa.array(rows, pa.int64())) for k in keys], *columns.values()], names=[*keys, *columns])
+
+
+def _corners(held: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each chunk the points that the view's triples name; the first one hands on the triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, (_, a, b, c) in zip(batch.column("points"), _lists(batch.column("triples")), strict=True):
+                points = row.values
+                place = np.asarray(points.field("i"))
+                whole = np.all([np.asarray(points.field(x).is_valid()) for x in P.AXES], axis=0)
+                out.append(points.filter(pa.array(np.isin(place, np.concatenate([a, b, c])) & whole)))
+            if out:
+                ends = np.cumsum([0, *map(len, out)])
+                corners = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(out))
+                first = pa.array(np.asarray(batch.column("chunk")) == 0)
+                yield _by_row(batch, keys, list(range(batch.num_rows)), corners=corners, triples=pc.if_else(first, batch.column("triples"), pa.scalar(None, batch.column("triples").type)))
+
+    corner = f"struct<i:bigint,{','.join(f'{x}:double' for x in P.AXES)}>"
+    return held.select(*keys, "chunk", "points", "triples").mapInArrow(run, f"{_shape(held, keys)}, corners array<{corner}>, triples array<struct<iteration:int,a:bigint,b:bigint,c:bigint>>")
+
+
+def _planes(named: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b, c, d) with a unit normal through each triple of points, in the order of iterations; triples on a line have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, iterations, planes = [], [], []
+            for at, ((place, *xyz), (iteration, *abc)) in enumerate(zip(_lists(batch.column("corners")), _lists(batch.column("triples")), strict=True)):
+                order = np.argsort(place)
+                place, xyz = place[order], np.stack(xyz, axis=1)[order]
+                known = np.all([np.isin(i, place) for i in abc], axis=0)
+                p, q, r = (xyz[np.searchsorted(place, i[known])].T for i in abc)
+                (ux, uy, uz), (vx, vy, vz) = q - p, r - p
+                n = [uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx]
+                size = np.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+                flat = size <= 1e-12  # on a line
+                a, b, c = (x[~flat] / size[~flat] for x in n)
+                x, y, z = p[:, ~flat]
+                rows.append(at)
+                iterations.append(iteration[known][~flat])
+                planes.append(np.stack([a, b, c, -(a * x + b * y + c * z)], axis=1))
+            if rows:
+                ends = pa.array(np.cumsum([0, *map(len, iterations)]), pa.int32())
+                flat4 = np.concatenate(planes).ravel()
+                four = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat4) + 1, 4), pa.int32()), pa.array(flat4))
+                both = pa.StructArray.from_arrays([pa.array(np.concatenate(iterations), pa.int32()), four], names=["iteration", "plane"])
+                yield _by_row(batch, keys, rows, planes=pa.ListArray.from_arrays(ends, both))
+
+    return named.select(*keys, "corners", "triples").mapInArrow(run, f"{_shape(named, keys)}, planes array<struct<iteration:int,plane:array<double>>>")
 
 
 def _near_planes(held: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Per batch of points, view and plane: how many points lie within ``threshold``. ``held`` has x, y, z and the view's planes."""
-    fields = held.select(*keys).schema.fields
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    """Per chunk and plane: how many points lie within ``threshold``. A view of a single chunk gives only its best plane."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            views = [batch.column(i).to_pylist() for i in range(len(keys))]
-            xyz = np.column_stack([np.asarray(batch.column(len(keys) + i).cast(pa.float64())) for i in range(3)])
-            where: dict[tuple, list[int]] = {}
-            for i, view in enumerate(zip(*views, strict=True)):
-                where.setdefault(view, []).append(i)
-            out: list[tuple] = []
-            for view, own in where.items():
-                planes = batch.column(len(keys) + 3)[own[0]].as_py()
-                plane = np.array([p["plane"] for p in planes])
-                total = np.zeros(len(planes), dtype=np.int64)
-                for at in range(0, len(own), 4096):
-                    total += (np.abs(xyz[own[at : at + 4096]] @ plane[:, :3].T + plane[:, 3]) <= threshold).sum(axis=0)
-                out += [(*view, p["iteration"], int(n)) for p, n in zip(planes, total, strict=True)]
-            columns = list(zip(*out, strict=True))
-            kinds = [*[batch.schema.field(i).type for i in range(len(keys))], pa.int32(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*keys, "iteration", "n"])
-
-    ready = held.select(*keys, *P.AXES, F.transform("planes", lambda p: F.struct(p["iteration"].cast("int").alias("iteration"), p["plane"].alias("plane"))).alias("planes"))
-    return ready.mapInArrow(run, f"{shape}, iteration int, n long")
+            rows, iterations, counts, planes = [], [], [], []
+            for at, ((_, *xyz), row, n_chunks) in enumerate(zip(_lists(batch.column("points")), batch.column("planes"), batch.column("n_chunks").to_pylist(), strict=True)):
+                if not len(row.values):
+                    continue
+                iteration = np.asarray(row.values.field("iteration"))
+                plane = np.asarray(row.values.field("plane").flatten()).reshape(-1, 4)
+                total = (np.abs(np.stack(xyz, axis=1) @ plane[:, :3].T + plane[:, 3]) <= threshold).sum(axis=0)
+                take = [int(np.lexsort((iteration, -total))[0])] if n_chunks == 1 else range(len(total))
+                rows += [at] * len(take)
+                iterations += [int(iteration[i]) for i in take]
+                counts += [int(total[i]) for i in take]
+                planes += [plane[i].tolist() for i in take]
+            if rows:
+                yield _by_row(batch, keys, rows, iteration=pa.array(iterations, pa.int32()), n=pa.array(counts, pa.int64()), plane=pa.array(planes, pa.list_(pa.float64())))
+
+    return held.select(*keys, "n_chunks", "points", "planes").mapInArrow(run, f"{_shape(held, keys)}, iteration int, n long, plane array<double>")
 
 
 def draw_table(points: DataFrame, keys: list[str], iterations: int = K.PLANE_ITERATIONS, seed: int = K.PLANE_SEED) -> DataFrame:

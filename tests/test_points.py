@@ -208,3 +208,15 @@ def test_fallback_finds_a_table_of_a_fifth_of_the_points(spark, monkeypatch):
     M.measure_object(cloud(spark, table_and_object(1)), ["view"])
     plane = fits[0].first()  # none of the first 160 draws lies on the table
     assert abs(plane.plane[1]) > 0.99 and abs(abs(plane.plane[3]) - 0.3) < 0.01
+
+
+def test_stride_sample_loses_no_place_to_rounding(spark):
+    got = sorted(r.ord for r in C.stride_sample(cloud(spark, [(i, 0, 0) for i in range(170)]), ["view"], 40).collect())
+    assert got == [int(j * (169 / 39)) for j in range(40)]
+
+
+def test_triples_and_planes_are_not_broadcast(spark, tmp_path):
+    cloud(spark, np.random.default_rng(3).uniform(size=(60, 3))).write.parquet(str(tmp_path / "points"))
+    pts = spark.read.parquet(str(tmp_path / "points"))
+    fit = C.fit_plane(pts, ["view"], C.draw_table(pts, ["view"]))
+    assert "Broadcast" not in fit._jdf.queryExecution().executedPlan().toString()
