@@ -1,15 +1,15 @@
 """Captures as formats of their own: ``spark.read.format(...)`` and ``spark.readStream.format(...)``.
 
 Formats read a folder that the driver and the executors see at one place (a mounted store);
-``files`` reads the same files through Spark's own file systems. A partition is a range of
-one file. A stream's offset is the last file that it has taken, by time and name, so files have to
+``files`` reads the same files through Spark's own file systems. A file is cut into ranges and a
+partition takes a run of them, so that small files and small ranges do not make a task each. A stream's offset is the last file that it has taken, by time and name, so files have to
 be put in place by renaming, in the order of their times; a restart goes on behind the offset.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-#: Rows of an array, and bytes of a cloud, that one partition reads unless options say otherwise.
+#: Rows of an array, and bytes of a cloud, that are one range unless options say otherwise.
 ROWS, BYTES = 256, 32 << 20
+#: Ranges share a partition once there are more; a partition of several has at most ``BYTES``.
+PARTITIONS = 256
 #: Pixels or points of one batch of rows.
 BATCH = 1 << 16
 
@@ -38,12 +40,17 @@ def listed(folder: str, ending: str) -> list[tuple[int, str]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     start: int
     end: int
 
 
+@dataclass
+class Run(InputPartition):
+    ranges: list[Range]
+
+
 class _Ranges:
     """What batch and stream share: cutting files into ranges and reading one."""
 
@@ -60,6 +67,28 @@ class _Ranges:
         step = self.step or usual
         return [Range(path, at, min(at + step, size)) for at in range(0, size, step)]
 
+    def runs(self, paths: Iterable[str]) -> list[Run]:
+        """All ranges of the files, in order, dealt out to partitions by their share of a file's bytes."""
+        sized = []
+        for path in paths:
+            own = self.ranges(path)
+            places = sum(r.end - r.start for r in own)
+            size = os.path.getsize(path)
+            sized += [(r, size * (r.end - r.start) / max(1, places)) for r in own]
+        most = min(BYTES, sum(n for _, n in sized) / PARTITIONS)
+        runs, held = [], 0.0
+        for r, n in sized:
+            if not runs or held + n > most:
+                runs.append(Run([]))
+                held = 0.0
+            runs[-1].ranges.append(r)
+            held += n
+        return runs if len(sized) > PARTITIONS else [Run([r]) for r, _ in sized]
+
+    def read_run(self, run: Run) -> Iterator[pa.RecordBatch]:
+        for part in run.ranges:
+            yield from self.read(part)
+
 
 class _Depth(_Ranges):
     """Two-dimensional .npy arrays, opened without reading more than the rows of a range."""
@@ -147,11 +176,11 @@ class _Reader(DataSourceReader):
     def __init__(self, ranges: _Ranges):
         self.of = ranges
 
-    def partitions(self) -> list[Range]:
-        return [r for _, path in listed(self.of.folder, self.of.ending) for r in self.of.ranges(path)]
+    def partitions(self) -> list[Run]:
+        return self.of.runs(path for _, path in listed(self.of.folder, self.of.ending))
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return self.of.read(partition)
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        return self.of.read_run(partition)
 
 
 class _Stream(DataSourceStreamReader):
@@ -165,19 +194,19 @@ class _Stream(DataSourceStreamReader):
         found = listed(self.of.folder, self.of.ending)
         return {"time": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Run]:
         low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        return [r for at in listed(self.of.folder, self.of.ending) if low < at <= high for r in self.of.ranges(at[1])]
+        return self.of.runs(at[1] for at in listed(self.of.folder, self.of.ending) if low < at <= high)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return self.of.read(partition)
+    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+        return self.of.read_run(partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class DepthFrames(DataSource):
-    """``depth_frames``: pixels of the .npy arrays below ``path``; option ``step``, rows of a partition."""
+    """``depth_frames``: pixels of the .npy arrays below ``path``; option ``step``, rows of a range."""
 
     ranges = _Depth
 
@@ -196,7 +225,7 @@ class DepthFrames(DataSource):
 
 
 class AsciiClouds(DepthFrames):
-    """``ascii_clouds``: points of the .ply files below ``path``, ``ord`` their place in the file; option ``step``, bytes of a partition."""
+    """``ascii_clouds``: points of the .ply files below ``path``, ``ord`` their place in the file; option ``step``, bytes of a range."""
 
     ranges = _Cloud
 

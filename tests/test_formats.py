@@ -23,6 +23,17 @@ def test_ranges_of_a_cloud_hold_each_line_once(tmp_path, step):
     assert [[r["x"], r["y"], r["z"]] for r in got] == points and [r["ord"] for r in got] == sorted(r["ord"] for r in got)
 
 
+def test_many_ranges_share_partitions(tmp_path):
+    points = np.random.default_rng(2).uniform(-5, 5, (300, 3)).round(3).tolist()
+    for i in range(8):
+        cloud(tmp_path / f"{i}.ply", points)
+    reader = Fm._Reader(Fm._Cloud({"path": str(tmp_path), "step": "40"}))
+    parts = reader.partitions()
+    assert 256 <= len(parts) <= 600 and sum(len(p.ranges) for p in parts) > 1000
+    got = [row for p in parts for b in reader.read(p) for row in b.to_pylist()]
+    assert sorted((r["x"], r["y"], r["z"]) for r in got) == sorted(map(tuple, points * 8))
+
+
 def test_faces_and_hidden_files_do_not_count(spark, tmp_path):
     cloud(tmp_path / "a.ply", [(1, 2, 3), (4, 5, 6)], "3 0 1 1\n", "element face 1\nproperty list uchar int vertex_indices\n")
     cloud(tmp_path / "none.ply", [])
