@@ -46,6 +46,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if whole is not None:
         return [whole]
     n = len(piece)
+    if n <= SHORT_SLICE:
+        return _merged_short(piece, ranks)
     end = list(range(1, n + 1))  # end of the part that starts here; 0 once it is part of another
     before = list(range(-1, n - 1))
 
@@ -75,6 +77,22 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for a few bytes, where looking at every pair is less work than a heap."""
+    get, none = ranks.get, 1 << 62
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != none:
+        i = pairs.index(least)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+    return [ranks[part] for part in parts]
+
+
 class Codec:
     """Ranks of a public vocabulary, with the slices that were merged lately."""
 

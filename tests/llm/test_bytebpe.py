@@ -116,3 +116,11 @@ def test_query_on_whole_documents(spark, sf):
         ids = library_of_session.encode_ordinary(docs[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_short_and_long_slices_merge_alike(monkeypatch):
+    rng, ranks = np.random.default_rng(7), bytebpe.codec().ranks
+    pieces = [bytes(rng.choice(np.frombuffer(b"aeinrst hg\xc3\xa90", np.uint8), rng.integers(1, bytebpe.SHORT_SLICE + 1))) for _ in range(500)]
+    short = [bytebpe._merged_short(p, ranks) for p in pieces]
+    monkeypatch.setattr(bytebpe, "SHORT_SLICE", 0)
+    assert short == [bytebpe.merged(p, ranks) for p in pieces]
