@@ -2,7 +2,8 @@
 
 Texts are split into pre-tokens by ``pretokens`` (arrays, no regular expression). Each slice
 of bytes is merged once and remembered, up to ``REMEMBERED`` slices of at most ``SHORT_SLICE``
-bytes a worker; beyond that the memory starts anew. A long slice is merged with a heap, so a
+bytes a worker; beyond that the memory starts anew. A remembered slice has its ids as bytes, so
+those of a text are one join and no list. A long slice is merged with a heap, so a
 text without any blank costs n log n. Each id keeps the byte at which it starts, and decoding
 writes the bytes of every id to its own place. Texts are read whole; arrays are made for
 about a megabyte of text at a time, and a longer text passes the scan's state from block to
@@ -20,8 +21,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from spanforge.llm.storage import with_clear_names
 
 ENCODED = "doc_id long, ids array<int>, starts array<int>"
 #: Slices that a worker remembers, and the longest of them in bytes.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 SHORT_SLICE = 48
 #: Ids in one batch of rows that leaves a worker.
 BATCH_IDS = 1 << 20
@@ -80,17 +82,32 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 def _merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same for a few bytes, where looking at every pair is less work than a heap."""
     get, none = ranks.get, 1 << 62
-    parts = [piece[i : i + 1] for i in range(len(piece))]
+    cuts = list(range(len(piece) + 1))
     pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
     while pairs and (least := min(pairs)) != none:
         i = pairs.index(least)
-        parts[i] += parts.pop(i + 1)
-        del pairs[i]
+        del pairs[i], cuts[i + 1]
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-    return [ranks[part] for part in parts]
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in pairwise(cuts)]
+
+
+class Slices(dict):
+    """Ids of the slices that were merged lately, as the bytes of their int32 array: {slice: ids}."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = array("i", merged(piece, self.ranks)).tobytes()
+        if len(piece) <= SHORT_SLICE:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -105,22 +122,13 @@ class Codec:
         self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
         self.places = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.known: dict[bytes, list[int]] = {}
-
-    def _merge(self, piece: bytes) -> list[int]:
-        ids = merged(piece, self.ranks)
-        if len(piece) <= SHORT_SLICE:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
-        return ids
+        self.known = Slices(self.ranks)
 
     def ids(self, raw: bytes, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text whose pre-tokens start at ``opens``, and the byte that each id starts at."""
-        ends = [*opens[1:].tolist(), len(raw)]
-        known, merge = self.known.get, self._merge
-        lists = [known(piece) or merge(piece) for piece in map(raw.__getitem__, map(slice, opens.tolist(), ends))]
-        ids = np.fromiter(chain.from_iterable(lists), dtype=np.int32)
+        cuts = opens.tolist()
+        pieces = map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)]))
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype=np.int32)
         sizes = self.sizes[ids]
         return ids, (np.cumsum(sizes) - sizes).astype(np.int32)
 
@@ -129,9 +137,10 @@ class Codec:
         if len(ids) != len(starts) or (len(ids) and (ids.min() < 0 or ids.max() >= len(self.sizes) or not self.sizes[ids].all())):
             return None
         sizes = self.sizes[ids]
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        before = np.cumsum(sizes) - sizes
+        every = np.arange(int(sizes.sum()))
         out = np.zeros(int((starts + sizes).max(initial=0)), dtype=np.uint8)
-        out[np.repeat(starts, sizes) + within] = self.bytes[np.repeat(self.places[ids], sizes) + within]
+        out[np.repeat(starts - before, sizes) + every] = self.bytes[np.repeat(self.places[ids] - before, sizes) + every]
         return out.tobytes()
 
 

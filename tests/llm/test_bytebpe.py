@@ -1,6 +1,7 @@
 """Boundaries against the pattern, ids and bytes against the public library."""
 
 import base64
+import gc
 import hashlib
 
 import numpy as np
@@ -124,3 +125,19 @@ def test_short_and_long_slices_merge_alike(monkeypatch):
     short = [bytebpe._merged_short(p, ranks) for p in pieces]
     monkeypatch.setattr(bytebpe, "SHORT_SLICE", 0)
     assert short == [bytebpe.merged(p, ranks) for p in pieces]
+
+
+def test_remembered_slices_are_bytes_that_no_collector_walks():
+    own, text = bytebpe.Codec(), "Ça va — it's 2024!  some slices some slices " + "q" * 60
+    raw = text.encode()
+    for _ in range(2):  # merged, then remembered
+        ids, starts = own.ids(raw, pretokens.long_openings(raw_of(text)))
+        assert ids.tolist() == library_of_session.encode_ordinary(text) and own.text(ids, starts) == raw
+    assert b" slices" in own.known and not any(len(piece) > bytebpe.SHORT_SLICE for piece in own.known)
+    assert not any(gc.is_tracked(ids) for ids in own.known.values())
+    assert all(np.frombuffer(ids, np.int32).tolist() == library_of_session.encode_ordinary(piece.decode()) for piece, ids in own.known.items())
+
+
+def test_offsets_with_gaps_and_out_of_order_are_kept():
+    own = codec()
+    assert own.text(np.array([39, 40, 262]), np.array([6, 0, 2])) == b"I\0" + own.text(np.array([262]), np.array([0])).ljust(4, b"\0") + b"H"
