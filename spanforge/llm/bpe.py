@@ -11,6 +11,8 @@ import tiktoken
 #: Fixed value: the special string of the vocabulary and its id.
 SPECIAL = {"<|endoftext|>": 50256}
 DEFAULT = "byte_bpe_50k"
+#: Fixed value: the one alternative of the public pattern that looks ahead.
+AHEAD = r"|\s+(?!\S)"
 
 
 def vocabulary_path(name: str, ending: str, folder: str | None = None) -> str:
@@ -23,6 +25,16 @@ def vocabulary_path(name: str, ending: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name + ending)
 
 
+def grouped(pattern: str) -> str:
+    """The same alternatives in the same order, those before the one that looks ahead as a group.
+
+    The library hands a part without look-ahead to a machine that reads each character
+    once; ungrouped alternatives beside one with look-ahead are tried one after the other.
+    """
+    plain, ahead, rest = pattern.partition(AHEAD)
+    return f"(?:{plain}){ahead}{rest}" if ahead else pattern
+
+
 class ByteBpe:
     """Encoder whose ids equal those of the vocabulary's JSON file with ``add_special_tokens=False``."""
 
@@ -31,7 +43,7 @@ class ByteBpe:
 
         with open(vocabulary_path(name, ".tiktoken", folder), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=SPECIAL)
+        self.encoding = tiktoken.Encoding(name, pat_str=grouped(public_tokenizers.PATTERN), mergeable_ranks=self.ranks, special_tokens=SPECIAL)
         self.allowed = frozenset(SPECIAL)
 
     def ids(self, text: str | None) -> np.ndarray:

@@ -2,7 +2,9 @@ import os
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,3 +100,19 @@ def test_query_equals_a_plain_loop(spark, sf):
     lengths = [sum(1 for d, _ in want if d == r.doc_id) for r in rows[:60]]
     assert all(b - a == n for a, b, n in zip(runs[:59], runs[1:60], lengths, strict=False))
     assert all(r.shard == r.slot // 16_384 and r.byte_offset == r.slot % 16_384 * 1024 for r in got)
+
+
+LIBRARY = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load().ranks, special_tokens=bpe.SPECIAL)
+
+
+def test_alternatives_before_the_look_ahead_are_one_group():
+    plain, rest = public_tokenizers.PATTERN.split(r"|\s+(?!\S)")
+    assert bpe.load().encoding._pat_str == rf"(?:{plain})|\s+(?!\S){rest}"
+    assert bpe.grouped("a|b") == "a|b"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab s t're've'll 'm  \n\t\r\u00a0\u2003'd12é!.,\u0301´日٣'S𝟘🙂_\u200b"), max_size=80) | st.text(max_size=60), st.booleans())
+def test_ids_are_those_of_the_public_pattern(text, special):
+    text = text.replace("_", "<|endoftext|>") if special else text
+    assert bpe.load().ids(text).tolist() == LIBRARY.encode(text, allowed_special="all")
